@@ -28,6 +28,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE = 20_000
 #: The ratio must be at least so much in all, and so much a character.
 TOTAL, EACH = 15.0, 0.75
+#: Pairs that the frequency of the second character counts as.
+BACK = 4.0
 
 SPANS = "array<struct<start: bigint, stop: bigint>>"
 
@@ -65,11 +67,27 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def codes_of(token: Column) -> Column:
+    """ASCII codes of a token's characters."""
+    return F.filter(F.transform(F.split(token, ""), lambda c: F.ascii(c)), lambda c: c > 0)
+
+
 def pairs_of(token: Column) -> Column:
     """Character pairs of an ASCII token as 128 * first + second."""
-    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
-    codes = F.filter(codes, lambda c: c > 0)
-    return F.transform(F.slice(codes, 1, F.size(codes) - 1), lambda c, i: c * 128 + F.get(codes, i + 1))
+    codes = codes_of(token)
+    n = F.char_length(token) - 1
+    return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * 128 + b)
+
+
+def total_of(token: Column, ratios: Column) -> Column:
+    """Sum of the ratios of a token's pairs, in one pass."""
+    first = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(x: Column, c: Column) -> Column:
+        gain = F.when(x["last"] < 0, F.lit(0.0)).otherwise(F.coalesce(F.get(ratios, x["last"] * 128 + c), F.lit(0.0)))
+        return F.struct(c.alias("last"), (x["sum"] + gain).alias("sum"))
+
+    return F.aggregate(codes_of(token), first, step, lambda x: x["sum"])
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[float] | None:
@@ -93,18 +111,20 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[flo
     if not tables[True] or not tables[False]:
         return None
     used = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-."]
-    out = [0.0] * (128 * 128)
-    for a in used:
-        for b in used:
-            p = [math.log((tables[k].get(a * 128 + b, 0) + 0.5) / (sum(tables[k].get(a * 128 + c, 0) for c in used) + 0.5 * len(used))) for k in (True, False)] if a in starts(tables) else [0.0, 0.0]
-            out[a * 128 + b] = p[0] - p[1]
-    return out
+    models = [conditional(tables[label], used) for label in (True, False)]
+    return [models[0][p] - models[1][p] if p in models[0] else 0.0 for p in range(128 * 128)]
 
 
-def starts(tables: dict) -> set[int]:
-    if "starts" not in tables:
-        tables["starts"] = {p // 128 for k in (True, False) for p in tables[k]}
-    return tables["starts"]
+def conditional(counts: dict[int, int], used: list[int]) -> dict[int, float]:
+    """Log-probability of each second character given the first; rare pairs fall back to how often the second occurs."""
+    single = {b: sum(counts.get(a * 128 + b, 0) for a in used) for b in used}
+    total = sum(single.values())
+    single = {b: (n + 0.5) / (total + 0.5 * len(used)) for b, n in single.items()}
+    out = {}
+    for a in used:
+        row = sum(counts.get(a * 128 + b, 0) for b in used)
+        out |= {a * 128 + b: math.log((counts.get(a * 128 + b, 0) + BACK * single[b]) / (row + BACK)) for b in used}
+    return out
 
 
 def markov_spans(text: Column, table: list[float] | None) -> Column:
@@ -116,8 +136,7 @@ def markov_spans(text: Column, table: list[float] | None) -> Column:
     gaps = F.split(text, TOKEN, -1)
 
     def judged(m: Column) -> Column:
-        total = F.aggregate(pairs_of(m), F.lit(0.0), lambda s, p: s + F.coalesce(F.get(ratios, p), F.lit(0.0)))
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (total >= F.greatest(F.lit(TOTAL), EACH * F.char_length(m)))
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (total_of(m, ratios) >= F.greatest(F.lit(TOTAL), EACH * F.char_length(m)))
 
     rows = F.transform(
         F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")),
