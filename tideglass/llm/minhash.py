@@ -4,11 +4,12 @@ A document's set is its distinct word shingles. Two permutations, the second shi
 coordinate i; bands of ROWS coordinates are buckets. Documents of one bucket become linked only after their full sets
 are compared: 100 * intersection >= percent * union.
 
-Documents with equal sets form a class and go through once. In each bucket every class is compared with one leader, so
-work is linear in a bucket's size. Buckets whose classes then still lie in more than one component are finished
-exactly: every member outside the bucket's largest component is compared with every other member of another
-component. Set size and a 128-bit sketch of the signature's lowest bits (12 standard deviations of slack in 128 bits
-at the threshold are left out, see SLACK) drop pairs that cannot be linked before their sets are read.
+Documents with equal sets form a class and go through once. In each bucket every class is compared with one leader,
+the class that shares most buckets with others, so work is linear in a bucket's size. Buckets whose classes then still
+lie in more than one component are finished: every member outside the bucket's largest component is compared with
+every member of another component, each pair in the first band that it shares. Pairs are dropped before their sets
+are read if set sizes forbid a link, or if a sketch of the signature's lowest bits (128 bits at first, WIDE bits in
+the last step, from further shifts of the same permutations) falls SLACK standard deviations below the threshold.
 
 Defined cases: null, empty or wordless text has an empty set, is linked with nothing and kept; fewer words than the
 width are one shingle; repeated rows are copies of each other; a null doc_id is never chosen while another is there.
@@ -31,8 +32,11 @@ from .common import U64, append_columns, circulant_minima, connected_components,
 BANDS, ROWS = 32, 4
 #: Bands of the first round, which joins most copies before the others are looked at.
 FIRST = 8
-#: Standard deviations by which a sketch may fall short.
-SLACK = 6
+#: Standard deviations by which a sketch may fall short: a linked pair is lost with probability 3e-7 at most.
+SLACK = 5
+#: Bits of the sketch that finishes unresolved buckets, in words of 64.
+WIDE = 2048
+WORDS = [f"w{i}" for i in range(WIDE // 64)]
 
 
 def sketch(df: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
@@ -87,14 +91,31 @@ def set_arrays(df: DataFrame, text: str, width: int) -> DataFrame:
     return append_columns(df, [text], fields, fn)
 
 
-def may_link(percent: int, x: str = "x", y: str = "y") -> Column:
+def wide_sketches(df: DataFrame, text: str, width: int) -> DataFrame:
+    """df with key, the set's digest, and the words of the wide sketch."""
+    fields = [T.StructField("key", T.BinaryType()), *[T.StructField(w, T.LongType()) for w in WORDS]]
+
+    def fn(cols: list[list]) -> list[pa.Array]:
+        sets = [np.unique(shingle_hashes(t, width)) for t in cols[0]]
+        bits = np.array([np.packbits((circulant_minima(h, WIDE) & 1).astype(np.uint8)).view(np.int64) for h in sets])
+        return [pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], type=pa.binary()), *[pa.array(bits[:, i]) for i in range(len(WORDS))]]
+
+    return append_columns(df, [text], fields, fn)
+
+
+def may_link(percent: int, x: str = "x", y: str = "y", words: list[str] = ("s1", "s2")) -> Column:
     """Necessary for a link: sizes within the ratio, and enough equal bits in the sketches."""
-    j = percent / 100
-    agree = (1 + j) / 2
-    least = 128 * agree - SLACK * (128 * agree * (1 - agree)) ** 0.5
-    differ = F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2")))
+    bits, agree = 64 * len(words), (1 + percent / 100) / 2
+    least = bits * agree - SLACK * (bits * agree * (1 - agree)) ** 0.5
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in words])
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= int(128 - least))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= int(bits - least))
+
+
+def first_shared(x: str = "x", y: str = "y") -> Column:
+    """No band before this one is shared."""
+    before = lambda c: F.slice(F.col(f"{c}.bands"), F.lit(1), F.col(f"{x}.no"))
+    return ~F.exists(F.zip_with(before(x), before(y), lambda p, q: p == q), lambda e: e)
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -121,8 +142,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2")])
     classes = stage(classes.withColumn("cid", F.xxhash64("set_key")), "classes")
     members = classes.select(F.col("cid").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode("bands").alias("no", "band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("of")).where("of > 1").select("band")
-    members = stage(members.join(shared, "band").select("band", "no", "id", "n", "s1", "s2"), "members")
+    shared = members.groupBy("band").agg(F.count("*").alias("of")).where("of > 1")
+    members = stage(members.join(shared, "band").select("band", "no", "id", "n", "s1", "s2", "of"), "members")
+    central = members.groupBy("id").agg(F.sum("of").alias("central"))
+    members = stage(members.drop("of").join(central, "id"), "central")
 
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
@@ -153,8 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return out.join(mixed, "band")
 
     def with_leaders(own: DataFrame) -> DataFrame:
-        own = own.select("band", F.struct("id", "n", "s1", "s2", "comp").alias("x"))
-        leaders = own.groupBy("band").agg(F.min("x").alias("y"))
+        own = own.select("band", F.struct("central", "id", "n", "s1", "s2", "comp").alias("x"))
+        leaders = own.groupBy("band").agg(F.max("x").alias("y"))
         pairs = own.join(leaders, "band").where((F.col("x.comp") != F.col("y.comp")) & may_link(percent))
         return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -162,11 +185,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     check(with_leaders(labelled(members)))
     rest = stage(labelled(members), "rest")
     if not rest.isEmpty():
+        # Only classes outside the largest component of a bucket, and what they meet there, need the wide sketch.
+        ids = rest.select(F.col("id").alias("cid")).distinct()
+        ids = stage(ids.join(classes, "cid").select("cid", "set_key", "bands", F.col("doc").alias("__doc")), "unresolved")
+        texts = only.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text"))
+        wide = wide_sketches(texts.join(small_or_shuffled(ids.select("cid", "set_key", "__doc")), "__doc"), "__text", width).where("key = set_key")
+        wide = wide.groupBy("cid").agg(*[F.first(w).alias(w) for w in WORDS])
+        wide = stage(wide.join(ids.select("cid", "bands"), "cid").withColumnRenamed("cid", "id"), "wide")
         sizes = rest.groupBy("band", "comp").agg(F.count("*").alias("of"))
         largest = sizes.groupBy("band").agg(F.max(F.struct("of", "comp")).alias("top")).select("band", F.col("top.comp").alias("top"))
-        few = rest.join(largest, "band").where("comp <> top").select("band", F.struct("id", "n", "s1", "s2", "comp").alias("x"))
-        pairs = few.join(rest.select("band", F.struct("id", "n", "s1", "s2", "comp").alias("y")), "band")
-        check(pairs.where((F.col("x.comp") != F.col("y.comp")) & may_link(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        held = rest.select("band", "no", "id", "n", "comp").join(wide, "id").select("band", F.struct("id", "n", "comp", "no", "bands", *WORDS).alias("x"))
+        few = held.join(largest, "band").where("x.comp <> top").select("band", "x")
+        pairs = few.join(held.withColumnRenamed("x", "y"), "band")
+        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & may_link(percent, words=WORDS) & first_shared())
+        check(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
 
     heads = classes.select("set_key", "cid", F.col("doc"))
     if comp is not None:
