@@ -41,9 +41,13 @@ def stage(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """ids (already staged) with a broadcast hint only if its counted rows are within the limit."""
-    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+def small_or_shuffled(ids: DataFrame, limit: int = BROADCAST_ROWS, parts: str | None = None) -> DataFrame:
+    """ids (already staged) with a broadcast hint only if its counted rows, or the elements of its array column parts,
+    are within the limit."""
+    if parts is None:
+        return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+    n = ids.agg(F.count("*") + F.coalesce(F.sum(F.size(parts)), F.lit(0))).first()[0]
+    return F.broadcast(ids) if n <= limit else ids
 
 
 def append_columns(

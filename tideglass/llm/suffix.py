@@ -156,7 +156,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         return [pa.array(o, type=k) for o, k in zip(out, kinds, strict=True)]
 
     fields = [("key", T.BinaryType()), *[(n, LONG) for n in ("lo", "hi", "anchor", "n")], ("raw", T.BinaryType())]
-    cuts = mapped(texts.join(small_or_shuffled(wanted), ["doc", "key"]).select("doc", "key", "text", "own"), fields, cut, [2])
+    cuts = mapped(texts.join(small_or_shuffled(wanted, parts="own"), ["doc", "key"]).select("doc", "key", "text", "own"), fields, cut, [2])
     cuts = stage(cuts.dropDuplicates(["key", "lo"]), "cuts")
 
     def parts(key, lo, hi, anchor, n, raw):
@@ -235,5 +235,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return [pa.array(o, type=k) for o, k in zip(out, [pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
 
     fields = [T.StructField("kept", T.BinaryType()), *[T.StructField(n, LONG) for n in ("n_bytes", "n_removed", "n_spans")]]
-    with_spans = docs.withColumn("__key", key).join(small_or_shuffled(spans), "__key", "left").drop("__key")
+    with_spans = docs.withColumn("__key", key).join(small_or_shuffled(spans, parts="__spans"), "__key", "left").drop("__key")
     return append_columns(with_spans, [text, "__spans"], fields, fn).drop("__spans")
