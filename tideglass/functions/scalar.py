@@ -257,7 +257,7 @@ def clean_sector(c: Column) -> Column:
 
 def article_record(fields: Column) -> Column:
     """Struct of doc_id, orgs, themes and locations from a row of at least 27 fields, else null."""
-    full = lambda a: F.filter(F.transform(a, F.trim), lambda x: x != "")
+    full = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
     at = lambda i: F.get(fields, i)
     first = full(F.transform(F.split(at(13), ";"), F.lower))
     second = full(F.transform(F.split(at(14), ";"), lambda x: F.lower(F.substring_index(x, ",", 1))))

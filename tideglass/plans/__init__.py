@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import attention, graph, serving  # noqa: F401
+from . import attention, graph, io, serving, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import graph as G
 from ..operators import lift as L
+from . import scratch
 from .registry import STEPS, query
 
 STEPS["s_ranked"] = "SELECT *, row_number() OVER (PARTITION BY source, snapshot_ts ORDER BY views DESC, page_id) AS n FROM f_root_rows"
@@ -56,18 +57,10 @@ WITH RECURSIVE e AS (SELECT snapshot_ts, a, b FROM s_edges UNION SELECT snapshot
 r AS (SELECT snapshot_ts, page_id AS x, page_id AS y FROM s_roots UNION SELECT r.snapshot_ts, r.x, e.b FROM r JOIN e ON e.snapshot_ts = r.snapshot_ts AND e.a = r.y)
 SELECT snapshot_ts, x AS page_id, min(y) AS comp FROM r GROUP BY 1, 2""")
 def grf01(t):
-    set_checkpoint(t)
+    scratch.path(t.spark, "components")  # names the checkpoint folder of a local run
     return G.components(roots(t), G.root_edges(roots(t), links(t))).select("snapshot_ts", "page_id", "comp")
 
 
-def set_checkpoint(t):
-    import tempfile
-
-    sc = t.spark.sparkContext
-    if not (t.spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tideglass-"))  # local runs only: a cluster names its shared folder
-
-
 @query("grf02_focus_ratio", """
 WITH d AS (SELECT snapshot_ts, p AS page_id, count(*) AS degree FROM (SELECT snapshot_ts, a AS p FROM s_edges UNION ALL SELECT snapshot_ts, b FROM s_edges) GROUP BY 1, 2), o AS (SELECT snapshot_ts, page_id, count(DISTINCT target) AS outlinks FROM f_links GROUP BY 1, 2)
 SELECT snapshot_ts, page_id, coalesce(degree, 0) AS degree, outlinks, round(CASE WHEN outlinks > 0 THEN coalesce(degree, 0) / outlinks END, 9) AS ratio FROM s_roots LEFT JOIN d USING (snapshot_ts, page_id) LEFT JOIN o USING (snapshot_ts, page_id)""")
