@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, first_permutation, second_permutation, shingle_hashes
+from .common import U64, append_columns, first_permutation, second_permutation, shingle_hashes
 
 COORDINATES = 64
+#: Shingles that a task looks at together.
+GROUP = 1 << 16
 #: Items (and shingles of items) of one broadcast index: at most about 100 MB.
 ITEMS, SHINGLES = 100_000, 5_000_000
 
@@ -45,59 +47,86 @@ class Index:
                 self.sets.append(s)
         self.classes = {}
         for c, own in sorted(by_class.items()):
-            values = np.stack([minima(self.sets[i], [0])[:, 0] for i in own])
-            order = np.argsort(values, axis=0, kind="stable")
-            self.classes[c] = (np.array(own), order, np.take_along_axis(values, order, axis=0))
-
-    def candidates(self, hashes: np.ndarray) -> set[int]:
-        found: set[int] = set()
-        if not len(hashes) or not self.classes:
+            values = np.stack([minima(self.sets[i], np.array([0]))[:, 0] for i in own], axis=1)
+            keys = keyed(values).ravel()
+            order = np.argsort(keys, kind="stable")
+            bits = min(28, max(20, int(len(keys) * 64).bit_length()))
+            seen = np.zeros(1 << bits, dtype=bool)
+            seen[spread(keys, bits)] = True
+            self.classes[c] = (keys[order], np.tile(np.array(own), COORDINATES)[order], seen, bits)
+
+    def candidates(self, sets: list[np.ndarray]) -> dict[int, set[int]]:
+        """Items that share a coordinate with a window, by place of the document; all documents go through together."""
+        found: dict[int, set[int]] = defaultdict(set)
+        sizes = np.array([len(s) for s in sets])
+        if not self.classes or not sizes.sum():
             return found
-        size, blocks = None, None
-        for c, (own, order, values) in self.classes.items():
-            if blocks is None:
-                blocks = minima(hashes, np.arange(0, len(hashes), 1 << c))
-            else:
-                blocks = np.minimum.reduceat(blocks, np.arange(0, blocks.shape[1], 1 << (c - size)), axis=1)
-            size = c
-            windows = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-            for k in range(COORDINATES):
-                column = values[:, k]
-                lo = np.searchsorted(column, windows[k])
-                hit = column[np.minimum(lo, len(column) - 1)] == windows[k]
-                if hit.any():
-                    for at in np.unique(lo[hit]):
-                        stop = np.searchsorted(column, column[at], side="right")
-                        found.update(own[order[at:stop, k]].tolist())
+        x, blocks, size = np.concatenate(sets), None, None
+        for c, (keys, own, seen, bits) in self.classes.items():
+            counts = sizes if blocks is None else n
+            step = 1 << (c if blocks is None else c - size)
+            n = -(-counts // step)
+            starts = np.repeat(np.cumsum(counts) - counts, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+            blocks, size = minima(x, starts) if blocks is None else np.minimum.reduceat(blocks, starts, axis=1), c
+            doc = np.repeat(np.arange(len(sets)), n)
+            windows = blocks.copy()
+            together = np.flatnonzero(doc[:-1] == doc[1:])
+            windows[:, together] = np.minimum(blocks[:, together], blocks[:, together + 1])
+            wanted = keyed(windows)
+            k, w = np.nonzero(seen[spread(wanted, bits)])
+            hits = wanted[k, w]
+            lo, hi = np.searchsorted(keys, hits), np.searchsorted(keys, hits, side="right")
+            for i in np.flatnonzero(hi > lo):
+                found[int(doc[w[i]])].update(own[lo[i] : hi[i]].tolist())
         return found
 
-    def matches(self, text: str | None, percent: int) -> list[dict]:
-        hashes = shingle_hashes(text, self.width)
-        near = self.candidates(hashes)
-        if not near:
-            return []
-        whole, out = np.unique(hashes), []
-        for i in sorted(near):
-            s = self.sets[i]
-            at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
-            shared = int((whole[at] == s).sum())
-            if 100 * shared >= percent * len(s):
-                out.append({"item_id": self.ids[i], "n_item": len(s), "n_shared": shared})
+    def matches(self, texts: list[str | None], percent: int) -> list[list[dict]]:
+        """For each text the items that it contains. Texts go through in groups of about GROUP shingles."""
+        out: list[list[dict]] = []
+        sets: list[np.ndarray] = []
+        total = 0
+        for t in texts:
+            sets.append(shingle_hashes(t, self.width))
+            total += len(sets[-1])
+            if total >= GROUP:
+                out += self.verified(sets, percent)
+                sets, total = [], 0
+        return out + self.verified(sets, percent)
+
+    def verified(self, sets: list[np.ndarray], percent: int) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in sets]
+        for d, near in self.candidates(sets).items():
+            whole = np.unique(sets[d])
+            for i in sorted(near):
+                s = self.sets[i]
+                at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
+                shared = int((whole[at] == s).sum())
+                if 100 * shared >= percent * len(s):
+                    out[d].append({"item_id": self.ids[i], "n_item": len(s), "n_shared": shared})
         return out
 
 
-def minima(hashes: np.ndarray, starts, step: int = 8192) -> np.ndarray:
-    """Coordinates by blocks that begin at starts (a multiple of each other's distance)."""
-    x = first_permutation(hashes)
+def keyed(values: np.ndarray) -> np.ndarray:
+    """Values [coordinate, column] with their coordinate in the upper half."""
+    return values.astype(U64) | (np.arange(len(values), dtype=U64)[:, None] << U64(32))
+
+
+def spread(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)
+
+
+def minima(x: np.ndarray, starts: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Coordinates of the blocks of hashes that begin at starts."""
+    x = first_permutation(x)
     shifts = np.arange(COORDINATES, dtype=np.uint32)
-    starts = np.asarray(starts)
     out = np.empty((COORDINATES, len(starts)), dtype=np.uint32)
-    for k in range(0, COORDINATES, 16):
-        for group in np.array_split(np.arange(len(starts)), max(1, len(x) // step)):
-            if len(group):
-                a, b = starts[group[0]], starts[group[-1] + 1] if group[-1] + 1 < len(starts) else len(x)
-                values = second_permutation(x[None, a:b] - shifts[k : k + 16, None])
-                out[k : k + 16, group] = np.minimum.reduceat(values, starts[group] - a, axis=1)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(x), step)))
+    for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        if a < b:
+            lo, hi = starts[a], starts[b] if b < len(starts) else len(x)
+            for k in range(0, COORDINATES, 16):
+                values = second_permutation(x[None, lo:hi] - shifts[k : k + 16, None])
+                out[k : k + 16, a:b] = np.minimum.reduceat(values, starts[a:b] - lo, axis=1)
     return out
 
 
@@ -112,7 +141,7 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", item_
         index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.toLocalIterator()], width))
 
         def fn(cols: list[list], index=index) -> list[pa.Array]:
-            return [pa.array([index.value.matches(t, percent) for t in cols[0]], type=pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])))]
+            return [pa.array(index.value.matches(cols[0], percent), type=pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])))]
 
         names.append(out if k == 0 else f"__{out}_{k}")
         docs = append_columns(docs, [text], [T.StructField(names[-1], MATCH)], fn)
