@@ -266,6 +266,7 @@ def test_suffix_against_all_windows(spark, awkward, piece, monkeypatch):
     import random
 
     monkeypatch.setattr(suffix, "PIECE", piece)
+    monkeypatch.setattr(suffix, "GROUP", 4 * piece)
     rng = random.Random(3)
     line = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     a, b, c = line(200), line(333), line(700)

@@ -34,6 +34,8 @@ from .common import U64, append_columns, chunks, mix64, small_or_shuffled, stage
 GRAM, CHUNK = 32, 16
 #: Bytes of a text that are looked at together; longer texts go through in pieces that overlap.
 PIECE = 1 << 22
+#: Bytes of several texts that are looked at together.
+GROUP = 1 << 18
 
 SEEDS = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
 
@@ -58,25 +60,43 @@ def identity(level: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return mix64(name + level[start + size - 128] * U64(0xC4CEB9FE1A85EC53) + size.astype(U64))
 
 
-def anchors(grams: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor) of each run of windows with one anchor; ties go to the leftmost."""
-    width = length - GRAM + 1
+def anchors(parts: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """Items of parts that lie one after another: (all bytes, their gram buckets, part, first window, last window, anchor),
+    one for each run of windows with one anchor; ties go to the leftmost gram. Windows do not cross parts."""
+    data = np.concatenate(parts)
+    grams, sizes = buckets(data, GRAM, 0), np.array([len(p) for p in parts])
+    width, span = length - GRAM + 1, 1
     key = (mix64(grams) & ~U64(0xFFFFFF)) | np.arange(len(grams), dtype=U64)
-    span = 1
     while span * 2 <= width:
         key = np.minimum(key[:-span], key[span:])
         span *= 2
     if span < width:
         key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
-    at = (key & U64(0xFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return first, np.concatenate((first[1:] - 1, [len(at) - 1])), at[first]
-
-
-def pieces(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts with their places; each window lies in exactly one."""
-    for at in range(0, max(1, len(data) - length + 1), PIECE):
-        yield at, data[at : at + PIECE + length - 1]
+    ends = np.cumsum(sizes)
+    part = np.repeat(np.arange(len(parts)), sizes)[: len(key)]
+    start = np.flatnonzero(np.arange(len(key)) + length <= ends[part])
+    at, part = (key[start] & U64(0xFFFFFF)).astype(np.int64), part[start]
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
+    last = np.concatenate((first[1:] - 1, [len(at) - 1]))
+    return data, grams, part[first], start[first], start[last], at[first]
+
+
+def groups(texts: list[str], length: int) -> Iterator[tuple[list[int], np.ndarray, list[np.ndarray]]]:
+    """(row of each part, place of each part in its text, parts) of about GROUP bytes; each window lies in one part."""
+    rows: list[int] = []
+    places: list[int] = []
+    parts: list[np.ndarray] = []
+    total = 0
+    for i, t in enumerate(texts):
+        data = as_bytes(t)
+        for at in range(0, len(data) - length + 1, PIECE):
+            rows.append(i), places.append(at), parts.append(data[at : at + PIECE + length - 1])
+            total += len(parts[-1])
+            if total >= GROUP:
+                yield rows, np.array(places), parts
+                rows, places, parts, total = [], [], [], 0
+    if parts:
+        yield rows, np.array(places), parts
 
 
 def as_bytes(text: str | None) -> np.ndarray:
@@ -103,121 +123,133 @@ LONG, INT = T.LongType(), T.IntegerType()
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(key, lo, hi): the windows from lo to hi of the text with this key repeat. texts: key, doc, text."""
+    """(doc, tid, lo, hi): windows from lo to hi repeat in the texts with this doc and tid. texts: doc, tid, text."""
+    own = ["doc", "tid"]
 
     def grams_only(text):
         out = []
-        for t in text:
-            data = as_bytes(t)
-            if len(data) >= length:
-                for _, part in pieces(data, length):
-                    grams = buckets(part, GRAM, 0)
-                    out.append(grams[anchors(grams, length)[2]])
+        for _, _, parts in groups(text, length):
+            _, grams, _, _, _, anchor = anchors(parts, length)
+            out.append(grams[anchor])
         return [joined(out)]
 
-    def items(key, doc, text):
-        rows: list[list] = [[], [], [], [], [], []]
-        keys, docs = [], []
-        for k, d, t in zip(key, doc, text, strict=True):
-            data = as_bytes(t)
-            if len(data) < length:
-                continue
-            for at, part in pieces(data, length):
-                grams = buckets(part, GRAM, 0)
-                lo, hi, anchor = anchors(grams, length)
-                names = [identity(buckets(part, 128, s), lo, hi - lo + length) for s in (0, 1)]
-                for r, x in zip(rows, (grams[anchor], *names, lo + at, hi + at, anchor + at), strict=True):
-                    r.append(x)
-                keys.extend([k] * len(lo)), docs.append(np.full(len(lo), d, dtype=np.int64))
-        return [pa.array(keys, type=pa.binary()), joined(docs), *[joined(r) for r in rows]]
+    def items(doc, tid, text):
+        out: list[list] = [[] for _ in range(8)]
+        doc, tid = np.array(doc, dtype=np.int64), np.array(tid, dtype=np.int64)
+        for rows, places, parts in groups(text, length):
+            data, grams, part, lo, hi, anchor = anchors(parts, length)
+            names = [identity(buckets(data, 128, s), lo, hi - lo + length) for s in (0, 1)]
+            base = np.cumsum([len(p) for p in parts]) - [len(p) for p in parts]
+            row = np.array(rows)[part]
+            for o, x in zip(out, (doc[row], tid[row], grams[anchor], *names, lo - base[part] + places[part], hi - lo, anchor - lo), strict=True):
+                o.append(x)
+        return [*[joined(o) for o in out[:5]], *[joined(o, np.int32) for o in out[5:]]]
 
     known = mapped(texts.select("text"), [("gram", LONG)], grams_only, [0]).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     known = stage(known, "grams")
-    names = ["gram", "h1", "h2", "lo", "hi", "anchor"]
-    rows = mapped(texts.select("key", "doc", "text"), [("key", T.BinaryType()), ("doc", LONG), *[(n, LONG) for n in names]], items, [2])
-    rows = stage(rows.join(small_or_shuffled(known), "gram"), "items")
-
-    hulls = stage(rows.groupBy("gram", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "lo", "hi", "anchor")).alias("one")), "hulls")
-    twice = hulls.where("n > 1").select("h1", "h2").distinct()
-    found = rows.join(twice, ["h1", "h2"], "left_semi").select("key", "lo", "hi").distinct()
-
-    several = hulls.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    wanted = hulls.join(several, "gram").select(F.least("n", F.lit(2)).alias("n"), "one.*")
-    wanted = stage(wanted.groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "hi", "anchor", "n")).alias("own")), "wanted")
-
-    def cut(doc, key, text, own):
-        out: list[list] = [[], [], [], [], [], []]
-        for k, t, rows in zip(key, text, own, strict=True):
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            for r in rows:
-                for o, x in zip(out, (k, r["lo"], r["hi"], r["anchor"], r["n"], raw[r["lo"] : r["hi"] + length]), strict=True):
+    fields = [*[(n, LONG) for n in (*own, "gram", "h1", "h2")], *[(n, INT) for n in ("lo", "span", "off")]]
+    rows = stage(mapped(texts, fields, items, [2]).join(small_or_shuffled(known), "gram"), "items")
+
+    hull = ["gram", "h1", "h2"]
+    counts = stage(rows.groupBy(*hull).agg(F.count("*").alias("n"), F.min("doc").alias("of")), "hulls")
+    several = counts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram", F.lit(True).alias("several"))
+    counts = counts.join(several, "gram", "left").where("n > 1 or several").select(*hull, F.least("n", F.lit(2)).cast("int").alias("n"), F.when(F.col("several"), F.col("of")).alias("of"))
+    both = stage(rows.join(counts, hull).select(*own, "lo", "span", "off", "n", F.coalesce(F.col("doc") == F.col("of"), F.lit(False)).alias("one")).where("n > 1 or one"), "refined")
+    found = both.where("n > 1").select(*own, "lo", (F.col("lo") + F.col("span")).alias("hi"))
+
+    # One item of each hull whose bucket has several; rows alike in doc and text give it more than once.
+    wanted = both.where("one").groupBy(*own).agg(F.collect_set(F.struct("lo", "span", "off", "n")).alias("own"))
+    wanted = stage(wanted, "wanted")
+    alike = texts.groupBy(*own).count().where("count > 1")
+
+    def parts(doc, tid, text, own):
+        out: list[list] = [[] for _ in range(8)]
+        rows, raws, base, total = [], [], 0, len(doc)
+        for i in range(total):
+            raw = as_bytes(text[i])
+            for r in own[i]:
+                a, b, p, n = r["lo"], r["lo"] + r["span"], r["lo"] + r["off"], r["n"]
+                c = np.arange((p - b) // CHUNK, (p - a) // CHUNK + 1)
+                start, stop = np.maximum(a, p - c * CHUNK - CHUNK + 1), np.minimum(b, p - c * CHUNK)
+                rows.append((np.full(len(c), i), c, start, stop, p - c * CHUNK - a + base, start - a + base, np.full(len(c), n)))
+                raws.append(raw[a : b + length])
+                base += b - a + length
+            if rows and (base >= GROUP or i == total - 1):
+                at, c, start, stop, core, whole, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+                data = np.concatenate(raws)
+                level = buckets(data, 128, 0)
+                names = [identity(level, core, np.full(len(core), length - CHUNK + 1)) + c.astype(U64) * SEEDS[1], identity(level, whole, stop - start + length)]
+                names.append(identity(buckets(data, 128, 1), whole, stop - start + length))
+                for o, x in zip(out, (np.array(doc, dtype=np.int64)[at], np.array(tid, dtype=np.int64)[at], *names, start, stop - start, n), strict=True):
                     o.append(x)
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return [pa.array(o, type=k) for o, k in zip(out, kinds, strict=True)]
-
-    fields = [("key", T.BinaryType()), *[(n, LONG) for n in ("lo", "hi", "anchor", "n")], ("raw", T.BinaryType())]
-    cuts = mapped(texts.join(small_or_shuffled(wanted, parts="own"), ["doc", "key"]).select("doc", "key", "text", "own"), fields, cut, [2])
-    cuts = stage(cuts.dropDuplicates(["key", "lo"]), "cuts")
-
-    def parts(key, lo, hi, anchor, n, raw):
-        """Chunks of aligned offsets from the anchor, cut to the windows that the item has."""
-        rows, data, base = [], b"".join(raw), 0
-        for i, (a, b, p) in enumerate(zip(lo, hi, anchor, strict=True)):
-            first, last = (p - b) // CHUNK, (p - a) // CHUNK
-            c = np.arange(first, last + 1)
-            start, stop = np.maximum(a, p - c * CHUNK - CHUNK + 1), np.minimum(b, p - c * CHUNK)
-            core = p - c * CHUNK
-            rows.append((np.full(len(c), i), c, start, stop, core - a + base, start - a + base))
-            base += b - a + length
-        i, c, start, stop, core, hull = (np.concatenate(x) for x in zip(*rows, strict=True))
-        array = np.frombuffer(data, dtype=np.uint8)
-        size, cores, whole = stop - start + length, [], []
-        for s in (0, 1):
-            level = buckets(array, 128, s)
-            cores.append(identity(level, core, np.full(len(core), length - CHUNK + 1)) + c.astype(U64))
-            whole.append(identity(level, hull, size))
-        pick = i.tolist()
-        return [pa.array([key[j] for j in pick], type=pa.binary()), joined([np.array(lo)[i]]), joined([np.array(n)[i]]), joined([start]), joined([stop]), *[joined([x]) for x in (*cores, *whole)]]
-
-    fields = [("key", T.BinaryType()), *[(n, LONG) for n in ("lo", "n", "start", "stop", "c1", "c2", "w1", "w2")]]
-    chunk = stage(mapped(cuts, fields, parts, [5]), "chunks")
-    cores = chunk.groupBy("c1", "c2").agg(F.sum("n").alias("cores"), F.min("w1").alias("lo1"), F.max("w1").alias("hi1")).where("cores > 1")
-    wholes = chunk.groupBy("w1", "w2").agg(F.sum("n").alias("wholes"), F.min(F.struct("key", "lo", "start")).alias("one"))
-    both = stage(chunk.join(cores, ["c1", "c2"]).join(wholes, ["w1", "w2"]), "refined")
-    found = found.unionByName(both.where("wholes > 1").select("key", F.col("start").alias("lo"), F.col("stop").alias("hi")))
+                rows, raws, base = [], [], 0
+        return [*[joined(o) for o in out[:5]], *[joined(o, np.int32) for o in out[5:]]]
+
+    sources = texts.join(small_or_shuffled(wanted, parts="own"), own).select(*own, "text", "own")
+    fields = [*[(n, LONG) for n in (*own, "c", "w1", "w2")], *[(n, INT) for n in ("lo", "span", "n")]]
+    chunk = mapped(sources, fields, parts, [2])
+    doubled = not alike.isEmpty()
+    chunk = stage(chunk.distinct() if doubled else chunk, "chunks")
+    cores = chunk.groupBy("c").agg(F.sum("n").alias("cores"), F.min("w1").alias("lo1"), F.max("w1").alias("hi1")).where("cores > 1").select("c", (F.col("lo1") != F.col("hi1")).alias("kinds"))
+    wholes = chunk.groupBy("w1", "w2").agg(F.sum("n").alias("wholes"), F.min("doc").alias("of"))
+    both = chunk.join(cores, "c").join(wholes, ["w1", "w2"]).where("wholes > 1 or kinds")
+    both = stage(both.select(*own, "lo", "span", F.least("wholes", F.lit(2)).cast("int").alias("n"), (F.col("kinds") & ((F.col("wholes") < 2) | (F.col("of") == F.col("doc")))).alias("left")), "chunks")
+    found = found.unionByName(both.where("n > 1").select(*own, "lo", (F.col("lo") + F.col("span")).alias("hi")))
     # What may hold a window of a chunk that is not yet decided: one chunk of each hull, where a core has several.
-    left = both.where("lo1 <> hi1 and (wholes < 2 or (one.key = key and one.lo = lo and one.start = start))")
-    left = left.groupBy("key", "lo").agg(F.collect_list(F.struct("start", "stop", F.least("wholes", F.lit(2)).alias("n"))).alias("own"))
-    last = cuts.select("key", "lo", "raw").join(left, ["key", "lo"])
-
-    def windows(key, lo, raw, own):
-        rows, data, base = [], b"".join(raw), 0
-        for i, (a, r, mine) in enumerate(zip(lo, raw, own, strict=True)):
-            for x in mine:
-                start = np.arange(x["start"], x["stop"] + 1)
-                rows.append((np.full(len(start), i), start, start - a + base, np.full(len(start), x["n"])))
-            base += len(r)
-        i, start, at, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        array = np.frombuffer(data, dtype=np.uint8)
-        names = [identity(buckets(array, 128, s), at, np.full(len(at), length)) for s in (0, 1)]
-        pick = i.tolist()
-        return [pa.array([key[j] for j in pick], type=pa.binary()), joined([start]), joined([n]), *[joined([x]) for x in names]]
-
-    fields = [("key", T.BinaryType()), *[(n, LONG) for n in ("start", "n", "x1", "x2")]]
-    window = stage(mapped(last, fields, windows, [2]), "windows")
+    left = stage(both.where("left").groupBy(*own).agg(F.collect_list(F.struct("lo", "span", "n")).alias("own")), "left")
+
+    def windows(doc, tid, text, own):
+        out: list[list] = [[] for _ in range(6)]
+        rows, raws, base, total = [], [], 0, len(doc)
+        for i in range(total):
+            raw = as_bytes(text[i])
+            for r in own[i]:
+                start = np.arange(r["lo"], r["lo"] + r["span"] + 1)
+                rows.append((np.full(len(start), i), start, start - r["lo"] + base, np.full(len(start), r["n"])))
+                raws.append(raw[r["lo"] : r["lo"] + r["span"] + length])
+                base += r["span"] + length
+            if rows and (base >= GROUP or i == total - 1):
+                at, start, place, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+                data = np.concatenate(raws)
+                names = [identity(buckets(data, 128, s), place, np.full(len(place), length)) for s in (0, 1)]
+                for o, x in zip(out, (np.array(doc, dtype=np.int64)[at], np.array(tid, dtype=np.int64)[at], *names, start, n), strict=True):
+                    o.append(x)
+                rows, raws, base = [], [], 0
+        return [*[joined(o) for o in out[:4]], *[joined(o, np.int32) for o in out[4:]]]
+
+    fields = [*[(n, LONG) for n in (*own, "x1", "x2")], ("lo", INT), ("n", INT)]
+    window = mapped(texts.join(small_or_shuffled(left, parts="own"), own).select(*own, "text", "own"), fields, windows, [2])
+    window = stage(window.distinct() if doubled else window, "windows")
     again = window.groupBy("x1", "x2").agg(F.sum("n").alias("times")).where("times > 1").select("x1", "x2")
-    again = window.join(again, ["x1", "x2"], "left_semi").select("key", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return found.unionByName(again).distinct()
+    again = window.join(again, ["x1", "x2"], "left_semi").select(*own, "lo", F.col("lo").alias("hi"))
+    return found.unionByName(again)
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """Spans of each text as a short list: those that meet or overlap become one."""
+    sets = spans.groupBy("doc", "tid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+
+    def fn(doc, tid, spans):
+        out = []
+        for own in spans:
+            lo, hi = np.array([r["lo"] for r in own]), np.maximum.accumulate([r["hi"] for r in own])
+            first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1] + 1)))
+            out.append([{"lo": a, "hi": b} for a, b in zip(lo[first].tolist(), hi[np.concatenate((first[1:] - 1, [len(lo) - 1]))].tolist(), strict=True)])
+        return [pa.array(doc), pa.array(tid), pa.array(out, type=pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]
+
+    kind = T.ArrayType(T.StructType([T.StructField("lo", INT), T.StructField("hi", INT)]))
+    return mapped(sets, [("doc", LONG), ("tid", LONG), ("spans", kind)], fn, [2])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """docs with kept (the bytes that stay, joined), n_bytes, n_removed and n_spans (maximal removed runs)."""
     if not 143 <= length <= 208:
         raise ValueError("length must be 143 to 208 bytes")
-    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    texts = docs.select(key.alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
+    body = F.coalesce(F.col(text), F.lit(""))
+    keys = {"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__tid": F.xxhash64(body)}
+    texts = docs.select(keys["__doc"].alias("doc"), keys["__tid"].alias("tid"), body.alias("text")).where(F.octet_length("text") >= length)
     spans = stage(repeated_spans(texts, length), "spans")
-    spans = stage(spans.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")), "by_text")
+    spans = stage(merged(spans).select(F.col("doc").alias("__doc"), F.col("tid").alias("__tid"), F.col("spans").alias("__spans")), "by_text")
 
     def fn(cols: list[list]) -> list[pa.Array]:
         out: list[list] = [[], [], [], []]
@@ -235,5 +267,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return [pa.array(o, type=k) for o, k in zip(out, [pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)]
 
     fields = [T.StructField("kept", T.BinaryType()), *[T.StructField(n, LONG) for n in ("n_bytes", "n_removed", "n_spans")]]
-    with_spans = docs.withColumn("__key", key).join(small_or_shuffled(spans, parts="__spans"), "__key", "left").drop("__key")
+    with_spans = docs.withColumns(keys).join(small_or_shuffled(spans, parts="__spans"), ["__doc", "__tid"], "left").drop("__doc", "__tid")
     return append_columns(with_spans, [text, "__spans"], fields, fn).drop("__spans")
