@@ -151,11 +151,13 @@ def pending_update(pending: DataFrame, decisions: DataFrame) -> DataFrame:
 def rolling_baseline(daily: DataFrame, value: str, half_life: float = 14, days: int = 28) -> DataFrame:
     """For each page and day: weighted mean and deviation of value over the days before it.
 
-    Rows of a page are few (one a day), so the days before are joined by page within the range."""
+    Days are cut into blocks as long as the range; a past day meets only the days of its own block and the next, so a
+    page's work is linear in its days."""
+    number = lambda c: F.floor(F.unix_date(c) / days)
     d = daily.select(*PAGE, "day", F.col(value).cast("double").alias("v"))
-    past = d.select(*PAGE, F.col("day").alias("past"), F.col("v").alias("pv"))
+    past = d.select(*PAGE, F.col("day").alias("past"), F.col("v").alias("pv"), F.explode(F.array(number("day"), number("day") + 1)).alias("block"))
     age = F.datediff("day", "past")
-    pairs = d.join(past, PAGE).where((age >= 1) & (age <= days)).withColumn("w", S.decay_weight(age - 1, half_life))
+    pairs = d.withColumn("block", number("day")).join(past, [*PAGE, "block"]).where((age >= 1) & (age <= days)).withColumn("w", S.decay_weight(age - 1, half_life))
     mean = pairs.groupBy(*PAGE, "day").agg((F.sum(F.col("w") * F.col("pv")) / F.sum("w")).alias("mean"), F.sum("w").alias("sw"), F.count("*").alias("seen"))
     dev = pairs.join(mean, [*PAGE, "day"]).groupBy(*PAGE, "day").agg(F.sqrt(F.sum(F.col("w") * F.pow(F.col("pv") - F.col("mean"), 2)) / F.max("sw")).alias("deviation"))
     return d.join(mean.drop("sw"), [*PAGE, "day"], "left").join(dev, [*PAGE, "day"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
