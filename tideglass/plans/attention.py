@@ -339,3 +339,10 @@ def dqc04(t):
     w = A.edit_windows_exact(t.f_edit_events)
     early = F.col("last_edit_ts") < F.col("window_start") + F.expr("interval 30 minutes")
     return w.select("title", "window_start", early.alias("early")).where("not early")
+
+
+@query("jon21_seed_means_back", "SELECT title, window_start, round(edit_count - avg(edit_count) OVER (PARTITION BY wiki, title, extract(hour FROM window_start)), 6) AS above FROM s_windows")
+def jon21(t):
+    w = windows(t).withColumn("hour_of_day", S.hour_of_day(F.col("window_start")))
+    mean = w.groupBy("wiki", "title", "hour_of_day").agg(F.avg("edit_count").alias("mean"))
+    return w.join(mean, ["wiki", "title", "hour_of_day"]).select("title", "window_start", F.round(F.col("edit_count") - F.col("mean"), 6).alias("above"))

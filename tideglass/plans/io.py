@@ -245,7 +245,10 @@ def snk11(t):
 
 def edit_stream(t: Tables) -> DataFrame:
     """Events as a stream of files, in the shape of edits."""
-    raw = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parq*")
+    return shaped(t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parq*"))
+
+
+def shaped(raw: DataFrame) -> DataFrame:
     e = raw.where("event_type <> 'click'")
     return e.select(F.lit("enwiki").alias("wiki"), F.concat(F.lit("Page__"), (F.get_json_object("props", "$.k").cast("int") % 20).cast("string")).alias("title"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("usr"), (F.col("event_type") == "error").alias("is_bot"), F.floor("value").cast("int").alias("byte_delta"), F.col("event_id").alias("rev_id"), F.col("ts").cast("timestamp").alias("event_ts"), F.col("event_id").cast("string").alias("meta_id"))
 
@@ -322,3 +325,18 @@ def str10(t):
     w = windows(t)
     pending = w.where((F.col("edit_count") >= 1) & F.col("views").isNull() & (F.col("window_start") >= "2024-01-20"))
     return J.live_cycle(pending, t.f_arrival, t.f_hourly_views, A.ewma_baseline(w, AS_OF), NOW)["decisions"].select("wiki", "title", "window_start", "views")
+
+
+@query("snk07_foreach_batch", "SELECT status, count(*) AS n FROM s_dec WHERE edit_count >= 1 GROUP BY 1")
+def snk07(t):
+    return str08(t).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("str06_update_mode", "SELECT wiki, title, window_start, edit_count, byte_delta, max_rev_id FROM s_edit")
+def str06(t):
+    """Several micro-batches of one file each (STR07's limit), out of order within a wide watermark (STR01)."""
+    path = scratch.path(t.spark, "files")
+    t.events.repartition(3, "event_id").write.parquet(path)
+    raw = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    own = shaped(raw)
+    return streamed(t, J.edit_windows(J.dedup_events(J.with_event_time(own, "60 days")), "1 hour", "1 hour"), WINDOW).select(*WINDOW, "edit_count", "byte_delta", "max_rev_id")
