@@ -25,7 +25,22 @@ from pyspark.sql import types as T
 from .common import U64, append_columns, mix64
 
 #: Pre-tokens whose ids a worker remembers; beyond, the memory is emptied and filled anew.
-MEMO = 150_000
+MEMO = 400_000
+MASK = (1 << 64) - 1
+
+
+class Memory(dict):
+    """Ids of pre-tokens; one that is not there is resolved when it is asked for."""
+
+    def __init__(self, resolve: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.resolve = resolve
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= MEMO:
+            self.clear()
+        self[piece] = out = self.resolve(piece)
+        return out
 
 
 @dataclass
@@ -34,8 +49,8 @@ class Vocabulary:
 
     tokens: list[bytes]
     pattern: str
-    shift: np.ndarray
-    slot_id: np.ndarray
+    shift: list[int]
+    slot_id: list[int]
     ranks: dict = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
 
@@ -44,34 +59,36 @@ class Vocabulary:
 
     def __setstate__(self, state):
         self.tokens, self.pattern, self.shift, self.slot_id = state
-        self.ranks, self.memo = {}, {}
+        self.ranks = {}
 
     def ready(self) -> Vocabulary:
         if not self.ranks:
             self.ranks = {t: i for i, t in enumerate(self.tokens) if t is not None}
             self.split = regex.compile(self.pattern).findall
+            self.memo = Memory(self.resolve)
         return self
 
-    def lookup(self, pieces: list[bytes]) -> list[int]:
-        """Ids of pieces that are tokens, else -1."""
-        h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), dtype=U64, count=len(pieces))
-        d = self.shift[(h % U64(len(self.shift))).astype(np.int64)]
-        slot = np.where(d < 0, -d - 1, slots(h, d, len(self.slot_id)))
-        found = self.slot_id[slot].tolist()
-        tokens = self.tokens
-        return [i if tokens[i] == p else -1 for i, p in zip(found, pieces, strict=True)]
+    def lookup(self, piece: bytes) -> int:
+        """Id of a piece that is a token, else -1: its bucket's shift names the one slot where it can be."""
+        h = xxhash.xxh64_intdigest(piece)
+        d = self.shift[h % len(self.shift)]
+        if d < 0:
+            slot = -d - 1
+        else:
+            x = (h + d * 0x9E3779B97F4A7C15) & MASK
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+            slot = (x ^ (x >> 31)) % len(self.slot_id)
+        i = self.slot_id[slot]
+        return i if self.tokens[i] == piece else -1
+
+    def resolve(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        i = self.lookup(raw)
+        return (i,) if i >= 0 else merge(raw, self.ranks)
 
     def encode(self, text: str) -> list[int]:
-        pieces, memo = self.split(text), self.memo
-        new = [p for p in set(pieces) if p not in memo]
-        if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(set(pieces))
-            raw = [p.encode("utf-8", "surrogatepass") for p in new]
-            for p, b, i in zip(new, raw, self.lookup(raw), strict=True):
-                memo[p] = (i,) if i >= 0 else merge(b, self.ranks)
-        return list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
 
 def slots(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -79,25 +96,34 @@ def slots(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Ids of a pre-token: the pair of lowest rank, leftmost first, is joined until no pair is a token."""
+    """Ids of a pre-token: the pair of lowest rank, leftmost first, is joined until no pair is a token.
+
+    Bytes are linked both ways; an entry of the heap holds a pair's rank, start and end, and is stale once they moved."""
     n = len(piece)
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    live = bytearray(b"\1") * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    get, live = ranks.get, n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
         _, i, stop = heappop(heap)
         j = after[i]
-        if not live[i] or j >= n or end[j] != stop:
+        if not end[i] or j >= n or end[j] != stop:
             continue
-        live[j], end[i], after[i] = 0, stop, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            if (r := ranks.get(piece[i : end[after[j]]])) is not None:
-                heappush(heap, (r, i, end[after[j]]))
-        if (b := before[i]) >= 0 and (r := ranks.get(piece[b:stop])) is not None:
+        far = after[i] = after[j]
+        end[i], end[j] = stop, 0
+        live -= 1
+        if far < n:
+            before[far] = i
+            if (r := get(piece[i : end[far]])) is not None:
+                heappush(heap, (r, i, end[far]))
+        b = before[i]
+        if b >= 0 and (r := get(piece[b:stop])) is not None:
             heappush(heap, (r, b, stop))
-    return tuple(ranks[piece[i : end[i]]] for i in range(n) if live[i])
+    out, i = [], 0
+    for _ in range(live):
+        out.append(ranks[piece[i : end[i]]])
+        i = after[i]
+    return tuple(out)
 
 
 @lru_cache(maxsize=4)
@@ -138,7 +164,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
             break
     for own, s in zip(rest, np.flatnonzero(free), strict=False):
         slot_id[s], shift[bucket[own[0]]] = ids[own[0]], -s - 1
-    return Vocabulary(tokens, pattern, shift, slot_id)
+    return Vocabulary(tokens, pattern, shift.tolist(), slot_id.tolist())
 
 
 def list_array(rows: list[list[int]]) -> pa.Array:
@@ -163,8 +189,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     """df with out: the bytes that the ids stand for (null ids: no bytes)."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
 
-    def fn(cols: list[list]) -> list[pa.Array]:
+    def fn(cols: list[pa.Array]) -> list[pa.Array]:
         get: Callable = shared.value.tokens.__getitem__
-        return [pa.array([b"".join(map(get, r or ())) for r in cols[0]], type=pa.binary())]
+        rows = cols[0].fill_null([]) if cols[0].null_count else cols[0]
+        edge = rows.offsets.to_numpy()
+        flat, edge = rows.values.to_numpy(zero_copy_only=False)[edge[0] : edge[-1]].tolist(), (edge - edge[0]).tolist()
+        return [pa.array([b"".join(map(get, flat[a:b])) for a, b in zip(edge, edge[1:], strict=False)], type=pa.binary())]
 
-    return append_columns(df, [ids], [T.StructField(out, T.BinaryType())], fn)
+    return append_columns(df, [ids], [T.StructField(out, T.BinaryType())], fn, arrow=True)

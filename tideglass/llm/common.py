@@ -54,12 +54,13 @@ def append_columns(
     df: DataFrame,
     inputs: list[str],
     fields: list[T.StructField],
-    fn: Callable[[list[list]], list[pa.Array]],
-    setup: Callable[[], None] | None = None,
+    fn: Callable[[list], list[pa.Array]],
+    arrow: bool = False,
 ) -> DataFrame:
     """df with new columns computed by fn over chunks of the input columns, as Arrow batches inside tasks.
 
-    Columns of df that have a new column's name (in either case) are replaced. fn gets Python lists.
+    Columns of df that have a new column's name (in either case) are replaced. fn gets Python lists,
+    or the Arrow arrays themselves.
     """
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
@@ -72,7 +73,7 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, at):
-                new = fn([piece.column(i).to_pylist() for i in at])
+                new = fn([piece.column(i) if arrow else piece.column(i).to_pylist() for i in at])
                 cols = [piece.column(i) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(cols + new, names=[f.name for f in schema.fields])
 
