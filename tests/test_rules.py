@@ -174,3 +174,17 @@ def test_no_cartesian_product(spark):
     for name in ("flagship_confirmed_spikes", "jon10_asof_verdict", "jon13_root_link_edges", "win05_prior_baseline"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+def test_asof_takes_the_latest_fact_of_another_owner(spark):
+    from tideglass.operators.serving import asof_reuse
+
+    rng = random.Random(9)
+    facts = [(rng.choice("ab"), rng.randrange(8), rng.randrange(4), i) for i in range(60)]
+    targets = [(k, ts, own) for k in "abc" for ts in range(-1, 10) for own in range(5)]
+    f = spark.createDataFrame(facts, "k string, fts int, owner int, v int")
+    got = asof_reuse(spark.createDataFrame(targets, "k string, ts int, me int"), f, ["k"], "ts", "fts", "me", "owner", ["v"], ["v"]).collect()
+    for r in got:
+        past = [(ts, v) for k, ts, own, v in facts if k == r.k and ts <= r.ts and own != r.me]
+        assert r.v == (max(past)[1] if past else None), r
+    assert len(got) == len(targets)

@@ -40,13 +40,26 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> tuple[D
 def asof_reuse(targets: DataFrame, facts: DataFrame, keys: list[str], target_ts: str, fact_ts: str, own: str, fact_own: str, ties: list[str], take: list[str]) -> DataFrame:
     """Targets with the fields of the latest fact of the same keys at or before them that another owner made.
 
-    Equal times are settled by the largest ties, nulls last. One hash aggregation, no window over a key's rows."""
-    f = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(fact_ts).alias("__ts"), F.col(fact_own).alias("__own"), F.struct(F.col(fact_ts), *[F.col(c) for c in ties], *[F.col(c) for c in take]).alias("__best"))
-    t = targets.withColumn("__row", F.struct(*[F.col(c) for c in targets.columns]))
-    on = [F.col(k) == F.col(f"__{k}") for k in keys]
-    pairs = t.join(f, [*on, F.col("__ts") <= F.col(target_ts), ~F.col("__own").eqNullSafe(F.col(own))], "left")
-    best = pairs.groupBy("__row").agg(F.max("__best").alias("best"))
-    return best.select("__row.*", *[F.col(f"best.{c}").alias(c) for c in take])
+    Equal times are settled by the largest ties. Facts of one time shrink to the best and the best of another owner; a
+    running window over the distinct times of a key (not over its facts) carries both forward; targets then meet their
+    own time by equality. Nothing pairs a key's facts with its targets, so a hot key costs no more than its rows."""
+    k = [f"__k{i}" for i in range(len(keys))]
+    named = [F.col(c).alias(n) for c, n in zip(keys, k, strict=True)]
+    x = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.col(fact_own).alias("owner"), *[F.col(c) for c in take])
+    f = facts.select(*named, F.col(fact_ts).alias("__ts"), x.alias("x"))
+    best = f.groupBy(*k, "__ts").agg(F.max("x").alias("a"))
+    other = f.join(best, [*k, "__ts"]).where(~F.col("x.owner").eqNullSafe(F.col("a.owner"))).groupBy(*k, "__ts").agg(F.max("x").alias("b"))
+    times = targets.select(*named, F.col(target_ts).alias("__ts")).distinct().join(best.join(other, [*k, "__ts"], "left"), [*k, "__ts"], "full")
+    w = W.partitionBy(*k).orderBy("__ts")
+    times = times.withColumn("before", F.last("a", True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    changed = F.when(~F.col("before.owner").eqNullSafe(F.col("a.owner")), F.col("before"))
+    times = times.withColumn("second", F.when(F.col("a").isNotNull(), F.coalesce("b", changed)))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    state = times.select(*k, "__ts", F.last("a", True).over(upto).alias("__a"), F.last("second", True).over(upto).alias("__b"))
+    on = [F.col(c) == F.col(n) for c, n in zip(keys, k, strict=True)]
+    out = targets.join(state, [*on, F.col(target_ts) == F.col("__ts")], "left")
+    chosen = F.when(~F.col("__a.owner").eqNullSafe(F.col(own)), F.col("__a")).otherwise(F.col("__b"))
+    return out.withColumn("__x", chosen).select(*targets.columns, *[F.col(f"__x.{c}").alias(c) for c in take])
 
 
 def top_per_snapshot(clusters: DataFrame, n: int) -> DataFrame:
