@@ -136,8 +136,7 @@ FROM (SELECT * FROM embeddings WHERE vec_id < 10) q JOIN embeddings i ON q.vec_i
 SELECT query_id, item_id, similarity, CAST(place AS INT) AS place FROM r WHERE place <= 20""")
 def jon15(t):
     e = t.embeddings
-    top = V.cosine_topk(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e, 20)
-    return top.withColumn("similarity", F.round("similarity", 6)).select("query_id", "item_id", "similarity", "place")
+    return V.cosine_topk(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e, 20, digits=6).select("query_id", "item_id", "similarity", "place")
 
 
 @query("jon17_completed_only", "SELECT id FROM f_clusters c WHERE EXISTS (SELECT 1 FROM f_clusters r WHERE r.source = c.source AND r.snapshot_ts = c.snapshot_ts AND r.status = 'CONFIRMED')")
