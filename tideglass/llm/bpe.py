@@ -24,19 +24,19 @@ from pyspark.sql import types as T
 
 from .common import U64, append_columns, mix64
 
-#: Pre-tokens whose ids a worker remembers; beyond, the memory is emptied and filled anew.
+#: Pre-tokens whose ids a task remembers (about 80 MB).
 MEMO = 400_000
 MASK = (1 << 64) - 1
 
 
 class Memory(dict):
-    """Ids of pre-tokens; one that is not there is resolved when it is asked for."""
+    """Ids of pre-tokens; one that is not there is resolved when it is asked for. A full memory begins anew."""
 
-    def __init__(self, resolve: Callable[[str], tuple[int, ...]]):
+    def __init__(self, resolve: Callable[[str], bytes]):
         super().__init__()
         self.resolve = resolve
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
         self[piece] = out = self.resolve(piece)
@@ -59,12 +59,13 @@ class Vocabulary:
 
     def __setstate__(self, state):
         self.tokens, self.pattern, self.shift, self.slot_id = state
-        self.ranks = {}
+        self.ranks, self.memo = {}, {}
 
     def ready(self) -> Vocabulary:
         if not self.ranks:
             self.ranks = {t: i for i, t in enumerate(self.tokens) if t is not None}
             self.split = regex.compile(self.pattern).findall
+            self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
             self.memo = Memory(self.resolve)
         return self
 
@@ -82,20 +83,21 @@ class Vocabulary:
         i = self.slot_id[slot]
         return i if self.tokens[i] == piece else -1
 
-    def resolve(self, piece: str) -> tuple[int, ...]:
+    def resolve(self, piece: str) -> bytes:
+        """Ids of a pre-token, four bytes each."""
         raw = piece.encode("utf-8", "surrogatepass")
         i = self.lookup(raw)
-        return (i,) if i >= 0 else merge(raw, self.ranks)
+        return self.packed[i] if i >= 0 else b"".join([self.packed[i] for i in merge(raw, self.ranks)])
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
 
 def slots(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return (mix64(h + d.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(n)).astype(np.int64)
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token: the pair of lowest rank, leftmost first, is joined until no pair is a token.
 
     Bytes are linked both ways; an entry of the heap holds a pair's rank, start and end, and is stale once they moved."""
@@ -123,7 +125,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     for _ in range(live):
         out.append(ranks[piece[i : end[i]]])
         i = after[i]
-    return tuple(out)
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -167,11 +169,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(tokens, pattern, shift.tolist(), slot_id.tolist())
 
 
-def list_array(rows: list[list[int]]) -> pa.Array:
+def list_array(rows: list[bytes]) -> pa.Array:
+    """Rows of four-byte ids as lists."""
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -180,9 +182,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def fn(cols: list[list]) -> list[pa.Array]:
         v = shared.value.ready()
-        return [list_array([v.encode(t) if t else [] for t in cols[0]])]
+        return [list_array([v.encode(t) if t else b"" for t in cols[0]])]
 
-    return append_columns(df, [text], [T.StructField(out, T.ArrayType(T.IntegerType(), True))], fn)
+    return append_columns(df, [text], [T.StructField(out, T.ArrayType(T.IntegerType(), True))], fn, after=lambda: shared.value.memo.clear())
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

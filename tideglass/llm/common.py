@@ -56,11 +56,12 @@ def append_columns(
     fields: list[T.StructField],
     fn: Callable[[list], list[pa.Array]],
     arrow: bool = False,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """df with new columns computed by fn over chunks of the input columns, as Arrow batches inside tasks.
 
     Columns of df that have a new column's name (in either case) are replaced. fn gets Python lists,
-    or the Arrow arrays themselves.
+    or the Arrow arrays themselves; after runs when a task's rows are done.
     """
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
@@ -76,6 +77,8 @@ def append_columns(
                 new = fn([piece.column(i) if arrow else piece.column(i).to_pylist() for i in at])
                 cols = [piece.column(i) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(cols + new, names=[f.name for f in schema.fields])
+        if after:
+            after()
 
     return frame.mapInArrow(run, schema)
 
