@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Texts of about so many bytes are handled at once inside a task.
 CHUNK_BYTES = 1 << 22
+#: Rows of an Arrow batch: several workers of an executor hold one each, with texts and what is made of them.
+BATCH_ROWS = 1_000
 #: A table of ids of at most so many rows (16 bytes each) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -50,6 +52,14 @@ def small_or_shuffled(ids: DataFrame, limit: int = BROADCAST_ROWS, parts: str |
     return F.broadcast(ids) if n <= limit else ids
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows, unless it asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def append_columns(
     df: DataFrame,
     inputs: list[str],
@@ -63,6 +73,7 @@ def append_columns(
     Columns of df that have a new column's name (in either case) are replaced. fn gets Python lists,
     or the Arrow arrays themselves; after runs when a task's rows are done.
     """
+    bounded_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     clash = [c for c in inputs if c.lower() in names]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, append_columns, chunks, mix64, small_or_shuffled, stage
+from .common import U64, append_columns, bounded_batches, chunks, mix64, small_or_shuffled, stage
 
 GRAM, CHUNK = 32, 16
 #: Bytes of a text that are looked at together; longer texts go through in pieces that overlap.
@@ -104,6 +104,7 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 
 def mapped(df: DataFrame, fields: list[tuple[str, T.DataType]], fn, at: list[int]) -> DataFrame:
+    bounded_batches(df.sparkSession)
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches):
