@@ -103,14 +103,14 @@ def as_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-def mapped(df: DataFrame, fields: list[tuple[str, T.DataType]], fn, at: list[int]) -> DataFrame:
+def mapped(df: DataFrame, fields: list[tuple[str, T.DataType]], fn, at: list[int], arrow: bool = False) -> DataFrame:
     bounded_batches(df.sparkSession)
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches):
         for batch in batches:
             for piece in chunks(batch, at):
-                yield pa.RecordBatch.from_arrays(fn(*[c.to_pylist() for c in piece.columns]), names=[f[0] for f in fields])
+                yield pa.RecordBatch.from_arrays(fn(*(piece.columns if arrow else [c.to_pylist() for c in piece.columns])), names=[f[0] for f in fields])
 
     return df.mapInArrow(run, schema)
 
@@ -231,15 +231,18 @@ def merged(spans: DataFrame) -> DataFrame:
     sets = spans.groupBy("doc", "tid").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
     def fn(doc, tid, spans):
-        out = []
-        for own in spans:
-            lo, hi = np.array([r["lo"] for r in own]), np.maximum.accumulate([r["hi"] for r in own])
-            first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1] + 1)))
-            out.append([{"lo": a, "hi": b} for a, b in zip(lo[first].tolist(), hi[np.concatenate((first[1:] - 1, [len(lo) - 1]))].tolist(), strict=True)])
-        return [pa.array(doc), pa.array(tid), pa.array(out, type=pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))]
+        lo, hi = (x.to_numpy().astype(np.int64) for x in spans.flatten().flatten())
+        # Rows lie far apart on one line, so spans of several texts never meet.
+        far = np.repeat(np.arange(len(spans), dtype=np.int64) << 32, np.diff(spans.offsets.to_numpy()))
+        top = np.maximum.accumulate(far + hi)
+        first = np.flatnonzero(np.concatenate(([True], (far + lo)[1:] > top[:-1] + 1))) if len(lo) else np.zeros(0, dtype=np.int64)
+        last = np.concatenate((first[1:], [len(lo)])).astype(np.int64)[: len(first)] - 1
+        edge = np.concatenate(([0], np.cumsum(np.bincount(far[first] >> 32, minlength=len(spans)))))
+        ends = [pa.array(lo[first].astype(np.int32)), pa.array((top - far)[last].astype(np.int32))]
+        return [doc, tid, pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.StructArray.from_arrays(ends, names=["lo", "hi"]))]
 
     kind = T.ArrayType(T.StructType([T.StructField("lo", INT), T.StructField("hi", INT)]))
-    return mapped(sets, [("doc", LONG), ("tid", LONG), ("spans", kind)], fn, [2])
+    return mapped(sets, [("doc", LONG), ("tid", LONG), ("spans", kind)], fn, [2], arrow=True)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
