@@ -10,6 +10,7 @@ from tideglass.functions import scalar as S
 from tideglass.operators import attention as A
 from tideglass.operators import graph as G
 from tideglass.operators import lift as L
+from tideglass.operators import serving as V
 from tideglass.sources import readers as R
 from tideglass.sources import sinks as K
 
@@ -188,3 +189,12 @@ def test_asof_takes_the_latest_fact_of_another_owner(spark):
         past = [(ts, v) for k, ts, own, v in facts if k == r.k and ts <= r.ts and own != r.me]
         assert r.v == (max(past)[1] if past else None), r
     assert len(got) == len(targets)
+
+
+def test_cosine_topk_takes_any_number_of_queries(spark):
+    rng = random.Random(7)
+    items = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)], "vec_id long, embedding array<double>").repartition(5)
+    queries = items.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    whole, blocks = V.cosine_topk(queries, items, 4), V.cosine_topk(queries, items, 4, limit=9)
+    assert "CartesianProduct" in blocks._jdf.queryExecution().toString()
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 40 * 4

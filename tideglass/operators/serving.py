@@ -108,12 +108,12 @@ def combine(embedding: DataFrame, lift: DataFrame, keys: list[str]) -> DataFrame
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, limit: int = 10_000, digits: int = 9) -> DataFrame:
-    """The k items nearest each query by cosine, rounded to digits so that order does not hang on the sum's order. Queries are a stated set: up to limit rows they are broadcast against
-    blocks of items; more would be split into several calls."""
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError("split the queries")
+    """The k items nearest each query by cosine, rounded to digits so that order does not hang on the sum's order. Up to limit queries are broadcast; more go through
+    in blocks of about limit by the hash of query_id, each block against each partition of items, which sends its k best a query on."""
+    own, n = queries.select("query_id", F.col("embedding").alias("q")), queries.count()
+    own = F.broadcast(own) if n <= limit else own.repartition(-(-n // limit), "query_id").hint("shuffle_replicate_nl")
     score = S.cosine(F.col("q"), F.col("v"))
-    pairs = items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")).join(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))), F.col("query_id") != F.col("item_id"))
+    pairs = items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")).join(own, F.col("query_id") != F.col("item_id"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
     return pairs.select("query_id", "item_id", F.round(score, digits).alias("similarity")).withColumn("place", place).where(F.col("place") <= k)
 
