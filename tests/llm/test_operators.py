@@ -211,6 +211,27 @@ def test_secrets_by_models(spark):
     assert clean[0] == "see [SECRET] here" and clean[60] == f"see {plain[10]} here"
 
 
+def test_secrets_learn_from_all_rows_that_hold_one(spark):
+    import random
+
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    names = ["reader", "station", "configuration", "version", "request", "handle"]
+    line = lambda: " ".join(rng.choice(names) for _ in range(12)) + " " + "_".join(rng.choice(names) for _ in range(5))
+    rows = [(i, line()) for i in range(3000)] + [(3000 + i, f"{line()} token={key()}") for i in range(30)]
+    table = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"), sample=20)
+    test = spark.createDataFrame([(i, f"see {key()} here") for i in range(50)], "doc_id long, text string")
+    assert table is not None and sum(r.secrets[0].kind == "markov" for r in secrets.find_secrets(test, table=table).collect() if r.secrets) >= 40
+
+
+def test_secrets_sample_is_of_distinct_texts(spark):
+    copies = spark.range(4000).select(F.lit("one text in many copies").alias("text"))
+    docs = copies.union(spark.range(400).select(F.concat(F.lit("text number "), F.col("id").cast("string"))))
+    got = secrets.ordinary_texts(docs, 100).collect()
+    assert 60 <= len(got) <= 150 and len({r.text for r in got}) == len(got)
+    assert secrets.ordinary_texts(docs, 5000).count() == 401
+
+
 def test_redact_keeps_the_rest(spark, awkward):
     docs = awkward.unionByName(spark.createDataFrame([(70, "a password: hunter22 b AKIA" + "C" * 16 + ".", None, None, None)], DOCS), allowMissingColumns=True)
     out = secrets.redact(docs)

@@ -2,12 +2,12 @@
 
 Base kinds are patterns (assign, access, hex); matches that are too short are dropped after matching. The method adds
 spans of kind markov: long tokens whose characters follow a model of random strings rather than one of ordinary
-identifiers, by the log-likelihood ratio of their character pairs. Both models are counted from labelled samples: the
-values that base patterns find are random strings, all other tokens ordinary identifiers. Documents for the sample are
-those whose text hash falls below a fraction chosen so that about SAMPLE stay.
+identifiers, by the log-likelihood ratio of their character pairs. Both models are counted from labelled tokens: the values that
+base patterns find in any document are random strings; all other tokens of a sample of documents are ordinary
+identifiers. Only these are sampled: distinct texts whose hash falls below a fraction chosen so that about SAMPLE stay.
 
 Positions are code points, end exclusive. Defined cases: null text is empty; repeated rows give repeated results;
-without labelled samples of both kinds nothing is added.
+without labelled tokens of both kinds nothing is added.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ HEX = r"[0-9a-f]+"
 MAY = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 #: Tokens that the models judge.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Distinct texts that ordinary identifiers are learned from, about.
 SAMPLE = 20_000
 #: The ratio must be at least so much in all, and so much a character.
 TOTAL, EACH = 15.0, 0.75
@@ -90,22 +91,28 @@ def total_of(token: Column, ratios: Column) -> Column:
     return F.aggregate(codes_of(token), first, step, lambda x: x["sum"])
 
 
+def ordinary_texts(docs: DataFrame, sample: int) -> DataFrame:
+    """Distinct texts, about sample of them; all, if there are fewer."""
+    if docs.limit(sample + 1).count() > sample:
+        n = docs.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+        docs = docs.where(F.pmod(F.xxhash64("text", F.lit("markov")), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    return docs.distinct()
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[float] | None:
     """Log-likelihood ratio (random to ordinary) of each pair of characters, 128 * 128 of them."""
     docs = docs.select(F.col(text).alias("text")).where("text is not null")
-    n = docs.count()
-    if n > sample:
-        docs = docs.where(F.pmod(F.xxhash64("text", F.lit("markov")), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     t = F.col("text")
     values = F.array_distinct(F.concat(
         F.when(t.rlike(MAY["assign"]), F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>")),
         F.when(t.rlike(MAY["access"]), F.regexp_extract_all(t, F.lit(r"AKIA([A-Z0-9]{16,})"), F.lit(1))).otherwise(F.array().cast("array<string>")),
         F.when(t.rlike(MAY["hex"]), F.regexp_extract_all(t, F.lit(r"[0-9a-f]{24,}"), F.lit(0))).otherwise(F.array().cast("array<string>")),
     ))
-    labelled = docs.select(values.alias("random"), F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("tokens"))
-    labelled = labelled.select("random", F.filter("tokens", lambda x: ~F.exists("random", lambda r: x.contains(r) | r.contains(x))).alias("ordinary"))
-    rows = labelled.select(F.explode(F.array(F.struct(F.lit(True).alias("secret"), F.filter("random", lambda x: F.char_length(x) >= 8).alias("own")), F.struct(F.lit(False).alias("secret"), F.col("ordinary").alias("own")))).alias("r"))
-    tokens = rows.select("r.secret", F.explode("r.own").alias("token")).distinct()
+    may = t.rlike(MAY["assign"]) | t.rlike(MAY["access"]) | t.rlike(MAY["hex"])
+    random = docs.where(may).select(F.explode(F.filter(values, lambda x: F.char_length(x) >= 8)).alias("token"))
+    labelled = ordinary_texts(docs, sample).select(values.alias("random"), F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("tokens"))
+    ordinary = labelled.select(F.explode(F.filter("tokens", lambda x: ~F.exists("random", lambda r: x.contains(r) | r.contains(x)))).alias("token"))
+    tokens = random.select(F.lit(True).alias("secret"), "token").union(ordinary.select(F.lit(False), "token")).distinct()
     counted = tokens.select("secret", F.explode(pairs_of(F.col("token"))).alias("pair")).groupBy("secret", "pair").count().collect()  # at most 2 * 128 * 128 rows
     tables = {label: {r.pair: r["count"] for r in counted if r.secret == label} for label in (True, False)}
     if not tables[True] or not tables[False]:
