@@ -350,6 +350,20 @@ def test_containment_against_all_pairs(spark, awkward):
     assert decontam.drop_contaminated(awkward, bench.where("false")).count() == awkward.count()
 
 
+def test_small_items_in_long_documents(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    items = [(i, " ".join(word() for _ in range(5 + i % 4))) for i in range(3000)]
+    texts = [" ".join([*(f"{t} " + " ".join(word() for _ in range(30)) for _, t in items[k : k + 300])]) for k in range(0, 3000, 300)]
+    index = decontam.Index(items, 5)
+    assert [[m["item_id"] for m in own] for own in index.matches(texts, 80)] == [list(range(k, k + 300)) for k in range(0, 3000, 300)]
+    starts = [t + " " + " ".join(word() for _ in range(40)) for _, t in items]
+    assert [[m["item_id"] for m in own] for own in index.matches(starts, 80)] == [[i] for i in range(3000)]
+    assert decontam.contained_items(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select(F.size("matches")).first()[0] == 300
+
+
 def test_contract_queries_have_every_row(spark):
     for name, table, key in (("op1_bpe", "documents", "doc_id"), ("op3_langid", "documents", "doc_id"), ("op4_quality", "documents", "doc_id"), ("op6_secrets", "documents", "doc_id"), ("op7_warc", "pages", "page_id"), ("op8_suffix", "documents", "doc_id")):
         whole = spark.read.parquet(f"{SF}/{table}.parquet").select(key)

@@ -4,7 +4,8 @@ Items are partitioned by the size of their shingle set into classes of up to 2^c
 blocks of 2^c shingles, and each two neighbouring blocks are a window, so an item copied whole lies within one window
 whose size is bounded by the class. An item is a candidate for a document when a MinHash coordinate of the item equals
 that of a window (one row a band: at containment 0.8 the Jaccard similarity is at least 0.19, and 64 coordinates all
-miss with probability 1e-6). Candidates are verified by exact containment of the item's whole set in the document's
+miss with probability 1e-6). Classes begin at 2^3; items of at most SMALL shingles are candidates where any of their
+shingles is found, which misses none. Candidates are verified by exact containment of the item's whole set in the document's
 whole set: 100 * shared >= percent * size.
 
 The items' index is broadcast in parts of at most ITEMS items; more items mean more passes over the documents.
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from .common import U64, append_columns, first_permutation, second_permutation, shingle_hashes
 
 COORDINATES = 64
+#: Items of at most so many shingles are looked up by each of them instead.
+SMALL = 4
 #: Shingles that a task looks at together.
 GROUP = 1 << 16
 #: Items (and shingles of items) of one broadcast index: at most about 100 MB.
@@ -39,12 +42,19 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], width: int):
         self.width, self.ids, self.sets = width, [], []
         by_class: dict[int, list[int]] = defaultdict(list)
+        small: list[int] = []
         for item_id, text in items:
             s = np.unique(shingle_hashes(text, width))
             if len(s):
-                by_class[max(3, int(len(s) - 1).bit_length())].append(len(self.ids))
+                if len(s) > SMALL:
+                    by_class[int(len(s) - 1).bit_length()].append(len(self.ids))
+                else:
+                    small.append(len(self.ids))
                 self.ids.append(item_id)
                 self.sets.append(s)
+        keys = np.concatenate([self.sets[i] for i in small]) if small else np.zeros(0, dtype=U64)
+        order = np.argsort(keys, kind="stable")
+        self.small = keys[order], np.repeat(np.array(small, dtype=np.int64), [len(self.sets[i]) for i in small])[order]
         self.classes = {}
         for c, own in sorted(by_class.items()):
             values = np.stack([minima(self.sets[i], np.array([0]))[:, 0] for i in own], axis=1)
@@ -56,12 +66,18 @@ class Index:
             self.classes[c] = (keys[order], np.tile(np.array(own), COORDINATES)[order], seen, bits)
 
     def candidates(self, sets: list[np.ndarray]) -> dict[int, set[int]]:
-        """Items that share a coordinate with a window, by place of the document; all documents go through together."""
+        """Items that share a coordinate with a window, or a shingle if they are small, by place of the document; all documents go through together."""
         found: dict[int, set[int]] = defaultdict(set)
         sizes = np.array([len(s) for s in sets])
-        if not self.classes or not sizes.sum():
+        ends = np.cumsum(sizes)
+        if not sizes.sum():
             return found
         x, blocks, size = np.concatenate(sets), None, None
+        keys, own = self.small
+        if len(keys):
+            lo, hi = np.searchsorted(keys, x), np.searchsorted(keys, x, side="right")
+            for i in np.flatnonzero(hi > lo):
+                found[int(np.searchsorted(ends, i, side="right"))].update(own[lo[i] : hi[i]].tolist())
         for c, (keys, own, seen, bits) in self.classes.items():
             counts = sizes if blocks is None else n
             step = 1 << (c if blocks is None else c - size)
