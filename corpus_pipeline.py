@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.llm import bpe, decontam, minhash, quality, secrets
-from tideglass.llm.common import small_or_shuffled, stage
+from tideglass.llm.common import row_key, small_or_shuffled, stage
 
 #: Some stage's models cannot be expressed in SQL; the pipeline is tested against a plain version of each stage.
 ORACLE_SQL = None
@@ -19,9 +19,10 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; rows with a null doc_id are judged by their text and source alone."""
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = stage(judged.where("not accepted and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
+    judged = quality.classify(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("__key",))
+    gone = stage(judged.where("not accepted").select("__key").distinct(), "rejected")
+    return keyed.join(small_or_shuffled(gone), "__key", "left_anti").select(docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

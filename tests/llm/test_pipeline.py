@@ -53,3 +53,26 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert all(r.ids == enc.encode_ordinary(r.text or "") for r in after) and len(before) == len(after)
     assert corpus_pipeline.run(spark, SF).select(F.count("*")).first()[0] == len(after)
+
+
+def test_decisions_are_on_rows(spark):
+    """Rows without doc_id, or with one that others have too, stand for themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    own = lambda rows: spark.createDataFrame([(i, t, "en", "a/b", len(t)) for i, t in rows], schema)
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_distinct(spark, own(rows), SF).collect()), key=repr)
+    line = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    x, y, z = line(0, 60), line(100, 160), line(200, 260)
+    assert kept([(1, x), (5, x), (5, y)]) == [(1, x), (5, y)]
+    assert kept([(5, x), (5, y), (7, z), (7, z)]) == sorted([(5, x), (5, y), (7, z)], key=repr)
+    assert len(kept([(5, x), (5, x + " more")])) == 1
+    chain = [(1, line(0, 60)), (None, line(6, 66)), (2, line(12, 72))]
+    assert kept(chain) == sorted(chain[:2], key=repr)
+
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    bad = quality.classify(docs, labels).where("not accepted").join(labels, "doc_id", "left_anti").orderBy("probability").first().doc_id
+    fine = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    odd = docs.where(F.col("doc_id") == bad)
+    both = docs.unionByName(odd.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(fine.withColumn("doc_id", F.lit(bad)))
+    out = corpus_pipeline.keep_quality(spark, both, SF)
+    assert out.where("doc_id is null").isEmpty()
+    assert [r.text for r in out.where(F.col("doc_id") == bad).collect()] == [fine.first().text]

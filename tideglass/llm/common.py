@@ -180,5 +180,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels
 
 
+def row_key(*columns: str) -> Column:
+    """128-bit digest of the columns' values, nulls told apart from all others."""
+    text = [F.col(f"`{c}`").cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def utf8_length(c: Column | str) -> Column:
     return F.octet_length(c)

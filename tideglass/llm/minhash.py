@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, append_columns, circulant_minima, connected_components, mix64, shingle_hashes, small_or_shuffled, stage
+from .common import U64, append_columns, circulant_minima, connected_components, mix64, row_key, shingle_hashes, small_or_shuffled, stage
 
 #: A pair at similarity 0.8 shares none of 32 bands of 4 coordinates with probability 5e-8.
 BANDS, ROWS = 32, 4
@@ -122,12 +122,11 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of classes whose full sets are similar enough; sets are made anew from the texts of one document each."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = stage(wanted.join(classes, "cid").select("cid", "set_key", F.col("doc").alias("__doc")), "wanted")
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text).alias("__text"))
-    sets = set_arrays(texts.join(small_or_shuffled(wanted), "__doc"), "__text", width).where("key = set_key").select("cid", "shingles")
+    wanted = stage(wanted.join(classes, "cid").select("cid", "set_key", "row"), "wanted")
+    sets = set_arrays(docs.select("row", "text").join(small_or_shuffled(wanted), "row"), "text", width).where("key = set_key").select("cid", "shingles")
     sets = stage(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
     left, right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
@@ -136,10 +135,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    return groups_of(docs, id_col, text, width, percent).drop("row", "comp")
+
+
+def groups_of(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+    """near_duplicates with row, the key of doc_id and text, and comp, the component's number (null without words)."""
+    only = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
     rows = stage(sketch(only, "text", width).drop("text"), "sketches")
     # A class has a 64-bit number from its digest; two classes of one number are told apart by set_key in every join back.
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2")])
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2")])
     classes = stage(classes.withColumn("cid", F.xxhash64("set_key")), "classes")
     members = classes.select(F.col("cid").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode("bands").alias("no", "band"))
     shared = members.groupBy("band").agg(F.count("*").alias("of")).where("of > 1")
@@ -160,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if pairs.isEmpty():
             return
         tried.append(pairs)
-        new = verified(pairs, classes, only, "doc_id", "text", width, percent)
+        new = verified(pairs, classes, only, width, percent)
         if not new.isEmpty():
             links.append(new)
             comp = connected_components(reduce(DataFrame.union, links))
@@ -187,9 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if not rest.isEmpty():
         # Only classes outside the largest component of a bucket, and what they meet there, need the wide sketch.
         ids = rest.select(F.col("id").alias("cid")).distinct()
-        ids = stage(ids.join(classes, "cid").select("cid", "set_key", "bands", F.col("doc").alias("__doc")), "unresolved")
-        texts = only.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text"))
-        wide = wide_sketches(texts.join(small_or_shuffled(ids.select("cid", "set_key", "__doc")), "__doc"), "__text", width).where("key = set_key")
+        ids = stage(ids.join(classes, "cid").select("cid", "set_key", "bands", "row"), "unresolved")
+        wide = wide_sketches(only.select("row", "text").join(small_or_shuffled(ids.select("cid", "set_key", "row")), "row"), "text", width).where("key = set_key")
         wide = wide.groupBy("cid").agg(*[F.first(w).alias(w) for w in WORDS])
         wide = stage(wide.join(ids.select("cid", "bands"), "cid").withColumnRenamed("cid", "id"), "wide")
         sizes = rest.groupBy("band", "comp").agg(F.count("*").alias("of"))
@@ -206,22 +209,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         first = heads.groupBy("comp").agg(F.min("doc").alias("component_id"))
         heads = heads.join(first, "comp")
     else:
-        heads = heads.withColumn("component_id", F.col("doc"))
-    heads = heads.select(F.col("set_key").alias("of_set"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(heads, F.col("set_key") == F.col("of_set"), "left")
+        heads = heads.withColumns({"comp": F.col("cid"), "component_id": F.col("doc")})
+    heads = heads.select(F.col("set_key").alias("of_set"), "component_id", "comp")
+    out = rows.select("doc_id", "n_shingles", "set_key", "row").join(heads, F.col("set_key") == F.col("of_set"), "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row", "comp")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: the one of the smallest doc_id. Of repeated rows one stays; rows without
-    words or without doc_id all stay."""
-    groups = stage(near_duplicates(docs, id_col, text, width, percent), "groups")
-    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    again = groups.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    again = stage(again.select(F.col("doc_id").alias(id_col)), "again")
-    out = docs
-    if not again.isEmpty():  # rows that share a doc_id: one of each stays
-        twice = docs.join(small_or_shuffled(again), id_col, "left_semi").dropDuplicates([id_col])
-        out = docs.join(small_or_shuffled(again), id_col, "left_anti").unionByName(twice.select(docs.columns))
-    return out.join(small_or_shuffled(stage(gone, "gone")), id_col, "left_anti").select(docs.columns)
+    """docs with one document of each group: the one of the smallest doc_id. Of rows of a group that share it one stays;
+    rows without words or without doc_id all stay."""
+    groups = stage(groups_of(docs, id_col, text, width, percent).where("n_shingles > 0 and doc_id is not null"), "groups")
+    shared = groups.where("kept").groupBy("doc_id", "comp").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1")
+    shared = stage(shared, "shared")
+    keyed = docs.withColumn("__row", row_key(id_col, text))
+    gone = groups.where("not kept").select(F.col("row").alias("__row"))
+    if not shared.isEmpty():
+        others = groups.where("kept").join(shared, ["doc_id", "comp"]).where("row <> first")
+        gone = gone.union(others.select("row"))
+    out = keyed.join(small_or_shuffled(stage(gone.distinct(), "gone")), "__row", "left_anti")
+    if not shared.isEmpty():  # whole rows that are repeated: one of each stays
+        again = small_or_shuffled(shared.select(F.col("first").alias("__row")))
+        out = out.join(again, "__row", "left_anti").unionByName(out.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return out.select(docs.columns)

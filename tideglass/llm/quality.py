@@ -84,10 +84,10 @@ def weight(rates: DataFrame, good: str, n: str, center: str) -> float:
     return float(min(max(p / between - 1, 1.0), 1e4)) if between > 1e-9 else 1e4
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", label: str = "quality", threshold: float = 0.5) -> DataFrame:
-    """One row per row of docs: doc_id, host, evidence, host_rate, path_rate, probability, accepted."""
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", label: str = "quality", threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, host, evidence, host_rate, path_rate, probability, accepted, and the columns of docs to carry."""
     site = F.coalesce(F.col(source), F.lit(""))
-    small = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text"), F.substring_index(site, "/", 1).alias("host"), site.alias("path"))
+    small = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text"), F.substring_index(site, "/", 1).alias("host"), site.alias("path"), *carry)
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of_id")).agg(F.avg(F.col(label).cast("double")).alias("label"))
     rows = features(small, "__text").drop("__text")
     rows = stage(rows.join(known, F.col("doc_id") == F.col("of_id"), "left").drop("of_id"), "features")
@@ -119,4 +119,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     k = weight(paths, "good", "n", "host_rate") if sum(both) else 10.0
     paths = stage(paths.select("path", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "paths")
     out = scored.join(paths, "path").withColumn("probability", F.round(1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("path_rate"))))), 6))
-    return out.select("doc_id", "host", "evidence", F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), "probability", (F.col("probability") >= threshold).alias("accepted"))
+    return out.select("doc_id", "host", "evidence", F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), "probability", (F.col("probability") >= threshold).alias("accepted"), *carry)
