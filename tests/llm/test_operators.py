@@ -116,6 +116,40 @@ def test_near_group_with_distant_members(spark):
     assert len(set(comp)) == 41
 
 
+def test_near_links_inside_a_family(spark):
+    """Copies of one template with few, many, shared and lost words: linked to the leader, to each other or to nobody."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+    texts = [base]
+    for k in range(260):
+        t = list(rng.choice(texts[-30:]) if k % 4 == 0 else base)
+        for _ in range(rng.choice((1, 3, 5, 6, 8, 11))):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice(([], [f"n{rng.randrange(10**6)}"], [f"n{rng.randrange(4)}"], [t[i], f"n{rng.randrange(10**6)}"]))
+        texts.append(t[: rng.choice((999, 999, 150))])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t, 4) for _, t in rows]
+    for percent in (80, 70):
+        links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        comp = components(len(rows), links)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, percent=percent).collect()}
+        assert [got[i] for i in range(len(rows))] == comp
+        assert 20 < len(set(comp)) < 250
+    # The last step alone: every class in one bucket, nothing linked before.
+    ids = spark.createDataFrame([(i, [hash(s) for s in sorted(own)]) for i, own in enumerate(sets)], "cid long, shingles array<long>")
+    rest = ids.select(F.lit(0).alias("band"), F.col("cid").alias("id"), F.when(F.col("cid") == 0, 1).otherwise(0).alias("central"), F.col("cid").alias("comp"))
+    links = {(j, i) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    direct, pairs = minhash.by_difference(rest, ids, 80)
+    direct, pairs = ({tuple(r) for r in minhash.ordered(x).collect()} for x in (direct, pairs))
+    near = {a for a, b in links if b == 0} | {b for a, b in links if a == 0}
+    assert direct == {p for p in links if 0 in p}
+    assert {p for p in links if 0 not in p and not near.issuperset(p)} <= pairs
+    assert len(pairs) < len(rows) ** 2 / 12
+
+
 def test_drop_near_duplicates(spark, awkward):
     kept = minhash.drop_near_duplicates(awkward)
     assert kept.columns == awkward.columns

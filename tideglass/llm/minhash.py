@@ -6,10 +6,9 @@ are compared: 100 * intersection >= percent * union.
 
 Documents with equal sets form a class and go through once. In each bucket every class is compared with one leader,
 the class that shares most buckets with others, so work is linear in a bucket's size. Buckets whose classes then still
-lie in more than one component are finished: every member outside the bucket's largest component is compared with
-every member of another component, each pair in the first band that it shares. Pairs are dropped before their sets
-are read if set sizes forbid a link, or if a sketch of the signature's lowest bits (128 bits at first, WIDE bits in
-the last step, from further shifts of the same permutations) falls SLACK standard deviations below the threshold.
+lie in more than one component are finished exactly by how their members differ from the leader (`by_difference`).
+Before the leader's comparison a pair is left to that last step if set sizes forbid a link, or if a sketch of the
+signature's lowest bits falls SLACK standard deviations below the threshold.
 
 Defined cases: null, empty or wordless text has an empty set, is linked with nothing and kept; fewer words than the
 width are one shingle; repeated rows are copies of each other; a null doc_id is never chosen while another is there.
@@ -23,6 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +32,8 @@ from .common import U64, append_columns, circulant_minima, connected_components,
 BANDS, ROWS = 32, 4
 #: Bands of the first round, which joins most copies before the others are looked at.
 FIRST = 8
-#: Standard deviations by which a sketch may fall short: a linked pair is lost with probability 3e-7 at most.
+#: Standard deviations by which a sketch may fall short before a member and its leader wait for the last step.
 SLACK = 5
-#: Bits of the sketch that finishes unresolved buckets, in words of 64.
-WIDE = 2048
-WORDS = [f"w{i}" for i in range(WIDE // 64)]
 
 
 def sketch(df: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
@@ -91,18 +88,6 @@ def set_arrays(df: DataFrame, text: str, width: int) -> DataFrame:
     return append_columns(df, [text], fields, fn)
 
 
-def wide_sketches(df: DataFrame, text: str, width: int) -> DataFrame:
-    """df with key, the set's digest, and the words of the wide sketch."""
-    fields = [T.StructField("key", T.BinaryType()), *[T.StructField(w, T.LongType()) for w in WORDS]]
-
-    def fn(cols: list[list]) -> list[pa.Array]:
-        sets = [np.unique(shingle_hashes(t, width)) for t in cols[0]]
-        bits = np.array([np.packbits((circulant_minima(h, WIDE) & 1).astype(np.uint8)).view(np.int64) for h in sets])
-        return [pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], type=pa.binary()), *[pa.array(bits[:, i]) for i in range(len(WORDS))]]
-
-    return append_columns(df, [text], fields, fn)
-
-
 def may_link(percent: int, x: str = "x", y: str = "y", words: list[str] = ("s1", "s2")) -> Column:
     """Necessary for a link: sizes within the ratio, and enough equal bits in the sketches."""
     bits, agree = 64 * len(words), (1 + percent / 100) / 2
@@ -112,27 +97,60 @@ def may_link(percent: int, x: str = "x", y: str = "y", words: list[str] = ("s1",
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= int(bits - least))
 
 
-def first_shared(x: str = "x", y: str = "y") -> Column:
-    """No band before this one is shared."""
-    before = lambda c: F.slice(F.col(f"{c}.bands"), F.lit(1), F.col(f"{x}.no"))
-    return ~F.exists(F.zip_with(before(x), before(y), lambda p, q: p == q), lambda e: e)
-
-
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of classes whose full sets are similar enough; sets are made anew from the texts of one document each."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = stage(wanted.join(classes, "cid").select("cid", "set_key", "row"), "wanted")
-    sets = set_arrays(docs.select("row", "text").join(small_or_shuffled(wanted), "row"), "text", width).where("key = set_key").select("cid", "shingles")
-    sets = stage(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
+def class_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cid, shingles) of the classes in ids (cid), made anew from the text of one document each."""
+    wanted = stage(ids.distinct().join(classes, "cid").select("cid", "set_key", "row"), "wanted")
+    sets = set_arrays(docs.select("row", "text").join(small_or_shuffled(wanted), "row"), "text", width).where("key = set_key")
+    return stage(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
     left, right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return stage(both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "links")
 
 
+def by_difference(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs): the members of unresolved buckets that are linked to their leader, and all pairs of others that
+    may still be linked.
+
+    With x ^ L the symmetric difference of a member and its leader, |x ^ y| = |x ^ L| + |y ^ L| - 2 s, where s elements
+    lie in both differences. A link means |x ^ y| * (100 + percent) <= (|x| + |y|) * (100 - percent), and of two members
+    in different components at most one is linked to L. That gives a least s > 0 for each member, so a linked pair
+    shares one of the first |x ^ L| - s + 1 elements of both differences, in one order of all elements: rarest first.
+    Changes that are a member's own come first there and meet nobody, so a family of unlinked near copies makes no
+    pairs. Linked members (near) look half as far as unlinked ones that look for them (far)."""
+    lo, hi = 100 - percent, 100 + percent
+    top = rest.groupBy("band").agg(F.max(F.struct("central", "id")).alias("top")).select("band", F.col("top.id").alias("top"))
+    own = rest.join(top, "band").where("id <> top").select("top", "id", "comp").distinct()
+    x, y = sets.select(F.col("cid").alias("id"), F.col("shingles").alias("sx")), sets.select(F.col("cid").alias("top"), F.col("shingles").alias("sl"))
+    d = own.join(x, "id").join(y, "top").select("top", "id", "comp", F.size("sx").alias("n"), F.size("sl").alias("nl"), F.concat(F.array_except("sx", "sl"), F.array_except("sl", "sx")).alias("parts"))
+    d = d.withColumn("d", F.size("parts"))
+    d = stage(d.withColumn("linked", F.col("d") * hi <= (F.col("n") + F.col("nl")) * lo), "differences")
+    links = d.where("linked").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b"))
+
+    e = d.select("top", "id", F.explode("parts").alias("e"))
+    counts = e.groupBy("top", "e").agg(F.count("*").alias("of")).where("of > 1")
+    mine = W.partitionBy("top", "id")
+    ranked = e.join(counts, ["top", "e"]).select("top", "id", "e", F.row_number().over(mine.orderBy("of", "e")).alias("rank"), F.count("*").over(mine).alias("common"))
+    near = F.floor((F.col("d") * hi + (F.col("nl") - F.col("n")) * lo) / F.lit(2 * hi)) + 1
+    far = F.ceil((F.col("d") * percent - F.col("n") * lo) / F.lit(percent))
+    first = lambda least: F.col("d") - F.greatest(least, F.lit(1)) + 1 - (F.col("d") - F.col("common"))
+    meets = ranked.join(d.drop("parts"), ["top", "id"]).withColumns({"near": F.col("rank") <= first(near), "far": F.col("rank") <= first(far)})
+    meets = stage(meets.where("near or far and not linked").select("top", "e", "id", "n", "comp", "linked", "near", "far"), "meets")
+    side = lambda s: meets.select("top", "e", "near", "far", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "linked")])
+    fits = (F.col("comp_x") != F.col("comp_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    alone = side("x").where("not linked_x and near").drop("near", "far").join(side("y").where("not linked_y and near"), ["top", "e"]).where("id_x < id_y")
+    mixed = side("x").where("not linked_x and far").drop("near", "far").join(side("y").where("linked_y and near"), ["top", "e"])
+    pairs = alone.where(fits).select("id_x", "id_y").union(mixed.where(fits).select("id_x", "id_y"))
+    return links, pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     return groups_of(docs, id_col, text, width, percent).drop("row", "comp")
@@ -155,7 +173,7 @@ def groups_of(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     tried: list[DataFrame] = []
     comp = None
 
-    def check(pairs: DataFrame) -> None:
+    def check(pairs: DataFrame, sets: DataFrame | None = None) -> None:
         nonlocal comp
         pairs = ordered(pairs)
         for t in tried:
@@ -164,7 +182,9 @@ def groups_of(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
         if pairs.isEmpty():
             return
         tried.append(pairs)
-        new = verified(pairs, classes, only, width, percent)
+        if sets is None:
+            sets = class_sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")), classes, only, width)
+        new = verified(pairs, sets, percent)
         if not new.isEmpty():
             links.append(new)
             comp = connected_components(reduce(DataFrame.union, links))
@@ -189,19 +209,12 @@ def groups_of(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     check(with_leaders(labelled(members)))
     rest = stage(labelled(members), "rest")
     if not rest.isEmpty():
-        # Only classes outside the largest component of a bucket, and what they meet there, need the wide sketch.
-        ids = rest.select(F.col("id").alias("cid")).distinct()
-        ids = stage(ids.join(classes, "cid").select("cid", "set_key", "bands", "row"), "unresolved")
-        wide = wide_sketches(only.select("row", "text").join(small_or_shuffled(ids.select("cid", "set_key", "row")), "row"), "text", width).where("key = set_key")
-        wide = wide.groupBy("cid").agg(*[F.first(w).alias(w) for w in WORDS])
-        wide = stage(wide.join(ids.select("cid", "bands"), "cid").withColumnRenamed("cid", "id"), "wide")
-        sizes = rest.groupBy("band", "comp").agg(F.count("*").alias("of"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("of", "comp")).alias("top")).select("band", F.col("top.comp").alias("top"))
-        held = rest.select("band", "no", "id", "n", "comp").join(wide, "id").select("band", F.struct("id", "n", "comp", "no", "bands", *WORDS).alias("x"))
-        few = held.join(largest, "band").where("x.comp <> top").select("band", "x")
-        pairs = few.join(held.withColumnRenamed("x", "y"), "band")
-        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & may_link(percent, words=WORDS) & first_shared())
-        check(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        sets = class_sets(rest.select(F.col("id").alias("cid")), classes, only, width)
+        direct, pairs = by_difference(rest, sets, percent)
+        if not direct.isEmpty():
+            links.append(direct)
+            comp = connected_components(reduce(DataFrame.union, links))
+        check(pairs, sets)
 
     heads = classes.select("set_key", "cid", F.col("doc"))
     if comp is not None:
