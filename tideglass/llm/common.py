@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str = "part") -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_shuffled(ids: DataFrame, limit: int = BROADCAST_ROWS, parts: str | None = None) -> DataFrame:
     """ids (already staged) with a broadcast hint only if its counted rows, or the elements of its array column parts,
     are within the limit."""
@@ -52,12 +62,20 @@ def small_or_shuffled(ids: DataFrame, limit: int = BROADCAST_ROWS, parts: str |
     return F.broadcast(ids) if n <= limit else ids
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_ROWS rows, unless it asks for fewer."""
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it the session's Arrow batches hold BATCH_ROWS rows at most."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    was = spark.conf.get(name, None)
+    now = int(was or "10000")
+    if 0 < now <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
 
 
 def append_columns(
@@ -73,7 +91,6 @@ def append_columns(
     Columns of df that have a new column's name (in either case) are replaced. fn gets Python lists,
     or the Arrow arrays themselves; after runs when a task's rows are done.
     """
-    bounded_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     clash = [c for c in inputs if c.lower() in names]

@@ -72,8 +72,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    by_text = suffix.kept_texts(docs, length=200).withColumn("kept", F.sha2("kept", 256))  # digests travel, not texts
+    return suffix.join_texts(docs, by_text).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
