@@ -93,6 +93,92 @@ def test_root_selection(spark, limit, hours, seed):
     assert {(r.snapshot_ts, r.page_id) for r in G.select_roots(df, limit, hours).collect()} == greedy(rows, limit, hours)
 
 
+def test_root_selection_goes_on_from_earlier_picks(spark):
+    rng = random.Random(9)
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=7 * h + 200 * (h > 12)), p, rng.randrange(30)) for h in range(25) for p in range(9) if rng.random() < 0.7]
+    df = spark.createDataFrame([(s, *r) for s in ("live", "replay") for r in rows], "source string, snapshot_ts timestamp, page_id long, views int")
+    whole = {(r.source, r.snapshot_ts, r.page_id) for r in G.select_roots(df, 2, 24).collect()}
+    assert whole == {(s, *x) for s in ("live", "replay") for x in greedy(rows, 2, 24)}
+    for cut in (rows[40][0], rows[90][0]):
+        first = G.select_roots(df.where(F.col("snapshot_ts") < cut), 2, 24)
+        then = G.select_roots(df.where(F.col("snapshot_ts") >= cut), 2, 24, first)
+        assert {(r.source, r.snapshot_ts, r.page_id) for r in first.union(then).collect()} == whole
+    alone = G.select_roots(df.where(F.col("snapshot_ts") >= cut), None, 24, G.select_roots(df.where(F.col("snapshot_ts") < cut), None, 24))
+    assert {(r.snapshot_ts, r.page_id) for r in alone.collect()} == {x for x in greedy(rows, None, 24) if x[0] >= cut}
+
+
+def plain_core(pages, links, outlinks, focus, detach):
+    """The two suppressions by sets of pages, each step from the beginning. pages: (page, views, score) in order."""
+    order = [p for p, _, _ in sorted(pages, key=lambda x: (-x[2], x[0]))]
+    views, rank = {p: v for p, v, _ in pages}, {p: i for i, p in enumerate(order)}
+    edges = {frozenset(e) for e in links}
+    degree = {p: sum(p in e for e in edges) for p in order}
+
+    def reach(p, without=None):
+        seen = {p}
+        while more := {x for e in edges for x in e if e & seen and without not in e} - seen:
+            seen |= more
+        return seen
+
+    def split(v):
+        out = []
+        for x in [x for x in order if frozenset((v, x)) in edges]:
+            if not any(x in o for o in out):
+                out.append(reach(x, v))
+        return sorted(out, key=lambda o: min(rank[x] for x in o))
+
+    n = lambda v, o: sum(frozenset((v, x)) in edges for x in o)
+    best = lambda v, parts: max(parts, key=lambda o: (n(v, o), max(views[x] for x in o)))
+    lost = {"weak": set(), "unvouched": set()}
+
+    def step(kind):
+        deg = {p: sum(p in e for e in edges) for p in order}
+        if kind == "weak":
+            own = sorted((degree[p] / outlinks[p], -deg[p], rank[p], p) for p in order if outlinks[p] and degree[p] / outlinks[p] < focus)
+        else:
+            own = sorted((-len(split(p)), -deg[p], rank[p], p) for p in order)
+        for *_, v in own:
+            parts = split(v)
+            if len(parts) < 2:
+                continue
+            kept = [best(v, parts)] if kind == "weak" else [o for o in parts if any((v, x) in links for x in o if frozenset((v, x)) in edges)] or [best(v, parts)]
+            rest = [o for o in parts if o not in kept]
+            if kind == "weak" or len(rest) >= detach:
+                cut = {e for e in edges for o in rest if v in e and e & o}
+                edges.difference_update(cut)
+                lost[kind] |= cut
+                return True
+        return False
+
+    for kind in lost:
+        while step(kind):
+            pass
+    return {p: min(reach(p)) for p in order}, edges, lost
+
+
+def test_core_clusters_against_a_plain_version(spark):
+    rng = random.Random(4)
+    roots, links, want = [], [], {}
+    for k in range(60):
+        at, n = datetime(2024, 1, 1) + timedelta(hours=k), rng.randrange(3, 12)
+        pages = [(p, rng.choice([0, 5, 5, 9]), rng.choice([1.0, 2.0, 3.0])) for p in rng.sample(range(40), n)]
+        ids = [p for p, _, _ in pages]
+        own = {(a, b) for _ in range(rng.randrange(2, 2 * n)) for a, b in [rng.sample(ids, 2)]}
+        more = {p: rng.choice([0, 0, 3, 30]) for p in ids}
+        outlinks = {p: sum(a == p for a, _ in own) + more[p] for p in ids}
+        roots += [("live", at, p, f"P{p}", v, s) for p, v, s in pages]
+        links += [("live", at, a, f"P{b}") for a, b in own] + [("live", at, p, f"x{i}") for p in ids for i in range(more[p])]
+        want[at] = plain_core(pages, own, outlinks, 0.1, 2)
+    roots = spark.createDataFrame(roots, "source string, snapshot_ts timestamp, page_id long, link_key string, views int, score double")
+    links = spark.createDataFrame(links, "source string, snapshot_ts timestamp, page_id long, target string")
+    out = G.core_links(roots, links, 0.1, 2)
+    comp = {(r.snapshot_ts, r.page_id): r.comp for r in out.collect()}
+    assert comp == {(at, p): c for at, (own, *_) in want.items() for p, c in own.items()}
+    edges = {(r.snapshot_ts, r.fate, frozenset((r.a, r.b))) for r in G.core_edges(out).collect()}
+    assert edges == {(at, "kept", e) for at, (_, kept, _) in want.items() for e in kept} | {(at, k, e) for at, (_, _, lost) in want.items() for k, es in lost.items() for e in es}
+    assert {f for _, f, _ in edges} == {"kept", "weak", "unvouched"}
+
+
 def graph_of(spark, pages, links):
     roots = spark.createDataFrame([("live", datetime(2024, 1, 1), p, f"P{p}", v, s) for p, v, s in pages], "source string, snapshot_ts timestamp, page_id long, link_key string, views int, score double")
     own = spark.createDataFrame([("live", datetime(2024, 1, 1), a, t) for a, t in links], "source string, snapshot_ts timestamp, page_id long, target string")

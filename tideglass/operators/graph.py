@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,41 +21,52 @@ MIN_CLICKS, CREATED_DAYS, EVENT_EDITS, BASE_EDITS, RESURGENCE = 10, 30, 20, 5, 5
 SNAPSHOT = ["source", "snapshot_ts"]
 
 
-def select_roots(spikes: DataFrame, limit: int | None = LIMIT, cooldown: int = COOLDOWN) -> DataFrame:
-    """Picks of each snapshot in time order: most viewed first, no page again within the cooldown.
+def select_roots(spikes: DataFrame, limit: int | None = LIMIT, cooldown: int = COOLDOWN, prior: DataFrame | None = None) -> DataFrame:
+    """Picks of each snapshot in time order: most viewed first, no page again within the cooldown, counted from its last
+    pick here or in prior (source, snapshot_ts, page_id of earlier runs).
 
-    Without a cooldown this is a rank. Otherwise a pick depends on earlier ones. At most `limit` pages of each snapshot
-    within the cooldown can be cooling, so only the first limit * (snapshots within it + 1) rows of a snapshot can
-    ever be picked; the rest is cut by rank first. Without a limit pages do not meet and are handled one by one.
+    Without a cooldown this is a rank. Otherwise a pick depends on earlier ones, but on those within the cooldown only: a
+    source is cut wherever no snapshot follows within it, and each run of snapshots is one ordered pass that holds the
+    picks of one cooldown. At most `limit` pages of each snapshot within it (and prior's) can be cooling, so the rows
+    that can ever be picked are cut by rank first. Without a limit pages do not meet and go one by one.
     """
     rows = spikes.select(*SNAPSHOT, "page_id", F.coalesce("views", F.lit(0)).alias("views"))
-    order = [F.desc("views"), F.col("page_id")]
-    rank = F.row_number().over(W.partitionBy(*SNAPSHOT).orderBy(*order))
+    rank = F.row_number().over(W.partitionBy(*SNAPSHOT).orderBy(F.desc("views"), "page_id"))
     if not cooldown:
         return rows.withColumn("n", rank).where(F.lit(True) if limit is None else F.col("n") <= limit).select(*SNAPSHOT, "page_id")
     seconds = cooldown * 3600
+    at = F.unix_timestamp("snapshot_ts").alias("at")
+    old = (rows.limit(0) if prior is None else prior).select(*SNAPSHOT, "page_id")
     if limit is None:
-        keys = ["source", "page_id"]
+        rows = rows.select(*SNAPSHOT, at, "page_id", "views", F.lit(False).alias("prior"), F.col("page_id").alias("run"))
+        old = old.select(*SNAPSHOT, at, "page_id", F.lit(None).cast("long").alias("views"), F.lit(True).alias("prior"), F.col("page_id").alias("run"))
     else:
-        times = rows.select(*SNAPSHOT).distinct().withColumn("at", F.unix_timestamp("snapshot_ts"))
-        near = F.count("*").over(W.partitionBy("source").orderBy("at").rangeBetween(-seconds + 1, 0))
-        rows = rows.join(times.withColumn("near", near).drop("at"), SNAPSHOT).withColumn("n", rank).where(F.col("n") <= limit * F.col("near")).drop("n", "near")
-        keys = ["source"]
-    rows = rows.withColumn("at", F.unix_timestamp("snapshot_ts"))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        last: dict[int, int] = {}
-        taken: dict[int, int] = defaultdict(int)
-        keep = []
-        pdf = pdf.sort_values(["at", "views", "page_id"], ascending=[True, False, True], kind="stable")
-        for at, page in zip(pdf["at"], pdf["page_id"], strict=True):
-            ok = (limit is None or taken[at] < limit) and (page not in last or at - last[page] >= seconds)
-            if ok:
-                last[page], taken[at] = at, taken[at] + 1
-            keep.append(ok)
-        return pdf.loc[keep, ["source", "snapshot_ts", "page_id"]]
-
-    return rows.groupBy(*keys).applyInPandas(pick, "source string, snapshot_ts timestamp, page_id long")
+        times = rows.select(*SNAPSHOT).distinct().select(*SNAPSHOT, F.lit(limit).cast("long").alias("most"))
+        times = times.union(old.groupBy(*SNAPSHOT).agg(F.count("*"))).groupBy(*SNAPSHOT).agg(F.sum("most").alias("most")).select(*SNAPSHOT, at, "most")
+        by_time = W.partitionBy("source").orderBy("at")
+        times = times.select(*SNAPSHOT, "at", F.sum("most").over(by_time.rangeBetween(-seconds + 1, 0)).alias("most"), (F.col("at") - F.lag("at").over(by_time) >= seconds).cast("int").alias("cut"))
+        times = times.withColumn("run", F.coalesce(F.sum("cut").over(by_time), F.lit(0)).cast("long")).drop("cut")
+        rows = rows.withColumn("n", rank).join(times, SNAPSHOT).where("n <= most").select(*SNAPSHOT, "at", "page_id", "views", F.lit(False).alias("prior"), "run")
+        old = old.join(times, SNAPSHOT).select(*SNAPSHOT, "at", "page_id", F.lit(None).cast("long").alias("views"), F.lit(True).alias("prior"), "run")
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, now, last, taken = None, None, {}, 0
+        for pdf in batches:
+            keep = []
+            for source, number, t, page, is_prior in zip(pdf["source"], pdf["run"], pdf["at"], pdf["page_id"], pdf["prior"], strict=True):
+                if (source, number) != run:
+                    run, now, last = (source, number), None, {}
+                if t != now:
+                    now, taken, last = t, 0, {p: u for p, u in last.items() if t - u < seconds}
+                free = page not in last and (limit is None or taken < limit)
+                keep.append(free and not is_prior)
+                if free or is_prior:
+                    last[page] = t
+                    taken += not is_prior
+            yield pdf.loc[keep, ["source", "snapshot_ts", "page_id"]]
+
+    order = ["source", "run", "at", F.desc("prior"), F.desc("views"), "page_id"]
+    return rows.unionByName(old).repartition("source", "run").sortWithinPartitions(*order).mapInPandas(pick, "source string, snapshot_ts timestamp, page_id long")
 
 
 def root_edges(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -64,22 +77,21 @@ def root_edges(roots: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.select(*SNAPSHOT, F.least("page_id", "to").alias("a"), F.greatest("page_id", "to").alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each node with the smallest page of its component, all snapshots at once.
 
-    Labels fall to the smallest neighbour's; every other step follows labels of labels. Each round is written to the
-    shared checkpoint folder, so the plan stays short and a lost executor costs one round."""
+    Labels fall to the smallest neighbour's; every other step follows labels of labels, until none falls. Each round is
+    written to the shared checkpoint folder, so the plan stays short and a lost executor costs one round."""
     both = edges.select(*SNAPSHOT, "a", "b").union(edges.select(*SNAPSHOT, "b", "a")).checkpoint()
     label = nodes.select(*SNAPSHOT, "page_id", F.col("page_id").alias("comp")).checkpoint()
-    for _ in range(rounds):
+    while True:
         low = both.join(label.withColumnRenamed("page_id", "b"), [*SNAPSHOT, "b"]).groupBy(*SNAPSHOT, F.col("a").alias("page_id")).agg(F.min("comp").alias("low"))
         step = label.join(low, [*SNAPSHOT, "page_id"], "left").select(*SNAPSHOT, "page_id", F.least("comp", F.coalesce("low", "comp")).alias("c"), F.col("comp").alias("was"))
         up = step.select(*SNAPSHOT, F.col("page_id").alias("c"), F.col("c").alias("upper"))
         new = step.join(up, [*SNAPSHOT, "c"]).select(*SNAPSHOT, "page_id", F.least("c", "upper").alias("comp"), "was").checkpoint()
         label = new.drop("was")
         if new.where("comp <> was").isEmpty():
-            break
-    return label
+            return label
 
 
 def focus_ratios(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
@@ -91,105 +103,118 @@ def focus_ratios(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFr
     return own.select(*SNAPSHOT, "page_id", degree.alias("degree"), "outlinks", F.when(F.col("outlinks") > 0, degree / F.col("outlinks")).alias("ratio"))
 
 
-class Graph:
-    """One snapshot's links between at most LIMIT roots, in their order."""
-
-    def __init__(self, n: int, edges: set[tuple[int, int]]):
-        self.near = [set() for _ in range(n)]
-        for a, b in edges:
-            self.near[a].add(b)
-            self.near[b].add(a)
-        self.cut: list[tuple[int, int]] = []
-
-    def group(self, start: int, without: int | None = None) -> set[int]:
-        seen, todo = {start}, [start]
-        while todo:
-            for x in self.near[todo.pop()] - seen:
-                if x != without:
-                    seen.add(x)
-                    todo.append(x)
-        return seen
-
-    def pieces(self, v: int) -> list[set[int]]:
-        """What v's neighbours fall into without v, by smallest member."""
-        out: list[set[int]] = []
-        for x in sorted(self.near[v]):
-            if not any(x in p for p in out):
-                out.append(self.group(x, v))
-        return sorted(out, key=min)
-
-    def detach(self, v: int, pieces: list[set[int]]) -> None:
-        for p in pieces:
-            for x in sorted(p & self.near[v]):
-                self.near[v].discard(x)
-                self.near[x].discard(v)
-                self.cut.append((min(v, x), max(v, x)))
-
-    def strongest(self, v: int, pieces: list[set[int]], views: list[int]) -> set[int]:
-        return max(pieces, key=lambda p: (len(p & self.near[v]), max(views[x] for x in p), -min(p)))
-
-
-def suppress_focus(g: Graph, ratios: list[float | None], views: list[int], least: float = FOCUS) -> None:
-    """Pages of low focus may not bridge: lowest first, each keeps only its strongest piece; begin anew after a cut."""
-    again = True
-    while again:
-        again = False
-        weak = [v for v, r in enumerate(ratios) if r is not None and r < least and len(g.near[v]) >= 2]
-        for v in sorted(weak, key=lambda v: (ratios[v], -len(g.near[v]), v)):
-            pieces = g.pieces(v)
-            if len(pieces) >= 2:
-                best = g.strongest(v, pieces, views)
-                g.detach(v, [p for p in pieces if p is not best])
-                again = True
-                break
-
-
-def suppress_directional(g: Graph, linked: set[tuple[int, int]], views: list[int], least: int = DETACH) -> None:
-    """A page vouches for a piece by linking out to it; pieces it does not vouch for leave, if there are enough."""
-    again = True
-    while again:
-        again = False
-        bridges = [(len(p), len(g.near[v]), -v, v, p) for v in range(len(g.near)) if len(g.near[v]) >= 2 and len(p := g.pieces(v)) >= 2]
-        for *_, v, pieces in sorted(bridges, key=lambda x: x[:3], reverse=True):
-            vouched = [p for p in pieces if any((v, x) in linked for x in p & g.near[v])]
-            rest = [p for p in pieces if p not in vouched]
-            if not vouched:
-                best = g.strongest(v, rest, views)
-                rest = [p for p in rest if p is not best]
-            if len(rest) >= least:
-                g.detach(v, rest)
-                again = True
-                break
-
-
-CORE = "source string, snapshot_ts timestamp, page_id long, comp long, degree long, kept_degree long"
+def members_of(mask: int) -> list[int]:
+    """Places of the bits of a mask: sets of a snapshot's roots are masks, in the roots' order."""
+    return [i for i in range(mask.bit_length()) if mask >> i & 1]
 
 
-def core(roots: DataFrame, links: DataFrame, focus: float = FOCUS, detach: int = DETACH) -> DataFrame:
-    """Roots with their cluster after both suppressions, and their degree before and after.
+def flooded(near: list[int], start: int, room: int) -> int:
+    """What start reaches over near without leaving room."""
+    seen = edge = start & room
+    while edge:
+        edge = reduce(or_, (near[i] for i in members_of(edge))) & room & ~seen
+        seen |= edge
+    return seen
 
-    Joins and ratios are DataFrame work; only the order-dependent cuts run in a function over one snapshot's roots,
-    which root selection holds to LIMIT. Roots need source, snapshot_ts, page_id, link_key, views, score.
-    """
-    edges = root_edges(roots, links)
-    ratio = focus_ratios(roots, edges, links).select(*SNAPSHOT, "page_id", "ratio", "degree")
-    by_key = roots.select(*SNAPSHOT, F.col("page_id").alias("to"), F.col("link_key").alias("target"))
-    out = links.join(by_key, [*SNAPSHOT, "target"]).where("page_id <> to").groupBy(*SNAPSHOT, "page_id").agg(F.collect_set("to").alias("out"))
-    rows = roots.select(*SNAPSHOT, "page_id", F.coalesce("views", F.lit(0)).alias("views"), "score").join(ratio, [*SNAPSHOT, "page_id"], "left").join(out, [*SNAPSHOT, "page_id"], "left")
+
+def parts_without(near: list[int], v: int) -> list[int]:
+    """The parts that v's neighbours would be in if v were away."""
+    left, out = near[v], []
+    while left:
+        out.append(flooded(near, left & -left, ~(1 << v)))
+        left &= ~out[-1]
+    return out
+
+
+def weak_bridge(near: list[int], ratios: list[float | None], views: list[int], least: float) -> tuple[int, int] | None:
+    """(page, neighbours to leave): the page of lowest focus that joins parts keeps its strongest part only."""
+    weak = [(ratios[v], -near[v].bit_count(), v) for v in range(len(near)) if ratios[v] is not None and ratios[v] < least]
+    for *_, v in sorted(weak):
+        parts = parts_without(near, v)
+        if len(parts) > 1:
+            return v, near[v] & ~strongest(near[v], parts, views)
+    return None
+
+
+def strongest(links: int, parts: list[int], views: list[int]) -> int:
+    """The part of most links, then of the most viewed page, then of the first page in order."""
+    return max(parts, key=lambda p: ((p & links).bit_count(), max(views[i] for i in members_of(p)), -(p & -p)))
+
+
+def unvouched_bridge(near: list[int], out: list[int], views: list[int], least: int) -> tuple[int, int] | None:
+    """(page, neighbours to leave): parts that the page does not link out to, if there are enough. Without any part that it
+    links to, the strongest stays. Pages that join most parts come first, then those of most links, then in order."""
+    split = {v: parts for v in range(len(near)) if len(parts := parts_without(near, v)) > 1}
+    for v in sorted(split, key=lambda v: (-len(split[v]), -near[v].bit_count(), v)):
+        vouched = [p for p in split[v] if p & near[v] & out[v]] or [strongest(near[v], split[v], views)]
+        rest = [p for p in split[v] if p not in vouched]
+        if len(rest) >= least:
+            return v, near[v] & reduce(or_, rest)
+    return None
+
+
+def apply_cuts(near: list[int], find: Callable[[], tuple[int, int] | None]) -> list[tuple[int, int]]:
+    """Take out what find names, one page at a time, until it names none; the links that went."""
+    gone = []
+    while (cut := find()) is not None:
+        v, mask = cut
+        near[v] &= ~mask
+        for x in members_of(mask):
+            near[x] &= ~(1 << v)
+            gone.append((v, x))
+    return gone
+
+
+CORE = "source string, snapshot_ts timestamp, page_id long, comp long, degree long, kept_degree long, kept array<long>, weak array<long>, unvouched array<long>"
+
+
+def linked_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots with the number of all their outlinks and the roots of their snapshot among them. One pass over either side."""
+    keys = F.collect_list(F.struct("link_key", "page_id")).over(W.partitionBy(*SNAPSHOT))  # LIMIT roots at most
+    own = roots.select(*SNAPSHOT, "page_id", F.coalesce("views", F.lit(0)).alias("views"), "score", keys.alias("keys"))
+    to = F.transform(F.filter("keys", lambda k: (k["link_key"] == F.col("target")) & (k["page_id"] != F.col("page_id"))), lambda k: k["page_id"])
+    both = own.join(links.select(*SNAPSHOT, "page_id", "target"), [*SNAPSHOT, "page_id"], "left").withColumn("to", to)
+    return both.groupBy(*SNAPSHOT, "page_id").agg(F.first("views").alias("views"), F.first("score").alias("score"), F.count_distinct("target").alias("outlinks"), F.array_distinct(F.flatten(F.collect_set(F.when(F.size("to") > 0, F.col("to"))))).alias("out"))
+
+
+def core_links(roots: DataFrame, links: DataFrame, focus: float = FOCUS, detach: int = DETACH) -> DataFrame:
+    """Roots with their cluster after both suppressions, their degree before and after, the neighbours that they keep, and
+    those that they lost for weak focus or because nobody vouched.
+
+    Joins and outlinks are DataFrame work; only the order-dependent cuts run in a function over one snapshot's roots,
+    which root selection holds to LIMIT. Roots need source, snapshot_ts, page_id, link_key, views, score."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "page_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        at = {p: i for i, p in enumerate(pdf["page_id"])}
-        linked = {(i, at[x]) for i, out in enumerate(pdf["out"]) if out is not None for x in out if x in at}
-        g = Graph(len(pdf), {(min(e), max(e)) for e in linked})
-        views = [int(v) for v in pdf["views"]]
-        suppress_focus(g, [None if pd.isna(r) else float(r) for r in pdf["ratio"]], views, focus)
-        suppress_directional(g, linked, views, detach)
-        pdf["comp"] = [min(int(pdf["page_id"][x]) for x in g.group(i)) for i in range(len(pdf))]
-        pdf["kept_degree"] = [len(x) for x in g.near]
-        return pdf[["source", "snapshot_ts", "page_id", "comp", "degree", "kept_degree"]]
+        pages, n = [int(p) for p in pdf["page_id"]], len(pdf)
+        place = {p: i for i, p in enumerate(pages)}
+        out = [reduce(or_, (1 << place[x] for x in own if x in place), 0) for own in pdf["out"]]
+        near = [out[i] | reduce(or_, (1 << j for j in range(n) if out[j] >> i & 1), 0) for i in range(n)]
+        degree, views = [x.bit_count() for x in near], [int(v) for v in pdf["views"]]
+        ratios = [d / o if o else None for d, o in zip(degree, pdf["outlinks"], strict=True)]
+        lost = [apply_cuts(near, lambda: weak_bridge(near, ratios, views, focus)), apply_cuts(near, lambda: unvouched_bridge(near, out, views, detach))]
+        named = lambda cut, i: sorted(pages[b if a == i else a] for a, b in cut if i in (a, b))
+        pdf["comp"] = [min(pages[x] for x in members_of(flooded(near, 1 << i, -1))) for i in range(n)]
+        pdf["degree"], pdf["kept_degree"] = degree, [x.bit_count() for x in near]
+        pdf["kept"] = [sorted(pages[x] for x in members_of(m)) for m in near]
+        pdf["weak"], pdf["unvouched"] = ([named(cut, i) for i in range(n)] for cut in lost)
+        return pdf[["source", "snapshot_ts", "page_id", "comp", "degree", "kept_degree", "kept", "weak", "unvouched"]]
+
+    return linked_roots(roots, links).groupBy(*SNAPSHOT).applyInPandas(one, CORE)
+
+
+def core(roots: DataFrame, links: DataFrame, focus: float = FOCUS, detach: int = DETACH) -> DataFrame:
+    """Roots with their cluster after both suppressions, and their degree before and after."""
+    return core_links(roots, links, focus, detach).drop("kept", "weak", "unvouched")
+
+
+def core_edges(clusters: DataFrame) -> DataFrame:
+    """The links (a < b) of core_links: kept, or the rule that took them out."""
+    def ends(fate: str) -> Column:
+        return F.transform(fate, lambda b: F.struct(b.alias("b"), F.lit(fate).alias("fate")))
 
-    return rows.groupBy(*SNAPSHOT).applyInPandas(one, CORE)
+    kinds = [ends(c) for c in ("kept", "weak", "unvouched")]
+    return clusters.select(*SNAPSHOT, F.col("page_id").alias("a"), F.explode(F.concat(*kinds)).alias("x")).select(*SNAPSHOT, "a", "x.*").where("a < b")
 
 
 def size_buckets(members: DataFrame, key: str) -> DataFrame:
@@ -243,9 +268,11 @@ def passes_resurgence():
 def expand(pairs: DataFrame) -> DataFrame:
     """Neighbours that join a cluster, by the first qualifying seed in score order.
 
-    pairs: snapshot_ts, comp, seed, seed_score, neighbour, n, created, event_edits, base_edits, is_member."""
+    pairs: snapshot_ts, comp, seed, seed_score, neighbour, n, month, created, event_edits, base_edits, is_member; month is
+    the first day of the month that the clicks are of, which must be over before the snapshot's month."""
     days = F.abs(F.datediff("snapshot_ts", "created"))
     gate = F.when(F.col("seed") == F.col("neighbour"), "self").when(F.col("is_member"), "duplicate").when(F.col("n") < MIN_CLICKS, "few_clicks").when(F.col("created") > F.to_date("snapshot_ts"), "future")
+    gate = gate.when(~F.coalesce(F.col("month") < F.trunc("snapshot_ts", "month"), F.lit(False)), "open_month")
     gate = gate.when(days <= CREATED_DAYS, "new_page").when(passes_resurgence(), "resurgence").otherwise("quiet")
     marked = pairs.withColumn("gate", gate)
     good = marked.where(F.col("gate").isin("new_page", "resurgence"))
