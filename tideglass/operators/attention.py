@@ -78,9 +78,8 @@ def baseline_from_views(views: DataFrame, as_of: str, half_life: float = 14, day
 
 def compare_halflives(windows: DataFrame, as_of: str, half_lives: list[float]) -> DataFrame:
     """By half-life: slots, mean of the weighted means, and their mean distance from the plain mean."""
-    spark = windows.sparkSession
     own = windows.withColumn("age", F.datediff(F.lit(as_of).cast("date"), F.to_date("window_start"))).where("age >= 0 and age < 28")
-    each = own.crossJoin(F.broadcast(spark.createDataFrame([(float(h),) for h in half_lives], "half_life double")))
+    each = own.withColumn("half_life", F.explode(F.array(*[F.lit(float(h)) for h in half_lives])))
     w = F.pow(F.lit(0.5), F.col("age") / F.col("half_life"))
     slot = each.groupBy("half_life", *PAGE, F.hour("window_start").alias("hour_of_day")).agg((F.sum(w * F.col("edit_count")) / F.sum(w)).alias("ewma"), F.avg("edit_count").alias("plain"))
     return slot.groupBy("half_life").agg(F.count("*").alias("slots"), F.avg("ewma").alias("mean_ewma"), F.avg(F.abs(F.col("ewma") - F.col("plain"))).alias("mean_difference"))
@@ -117,12 +116,13 @@ def arrived(rows: DataFrame, hours: DataFrame) -> DataFrame:
     return hours.select("wiki", "ts_hour").distinct().join(n, ["wiki", "ts_hour"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
-def due_candidates(pending: DataFrame, ledger: DataFrame, views: DataFrame, limit: int) -> DataFrame:
-    """Pending windows whose hour arrived, with their views (a missing row is zero), oldest first."""
+def due_candidates(pending: DataFrame, ledger: DataFrame, views: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pending windows whose hour arrived, with their views (a missing row is zero); with a limit the oldest."""
     hours = ledger.select("wiki", F.col("ts_hour").alias("window_start")).distinct()
     own = views.select(*PAGE, F.col("ts_hour").alias("window_start"), F.col("views").alias("v"))
     out = pending.drop("views").join(hours, ["wiki", "window_start"], "left_semi").join(own, [*PAGE, "window_start"], "left")
-    return out.withColumn("views", F.coalesce("v", F.lit(0))).drop("v").orderBy("window_start", *PAGE).limit(limit)
+    out = out.withColumn("views", F.coalesce("v", F.lit(0))).drop("v")
+    return out if limit is None else out.orderBy("window_start", *PAGE).limit(limit)
 
 
 def missing_hours(pending: DataFrame, views: DataFrame, now: str, hours: int) -> DataFrame:
@@ -149,18 +149,35 @@ def pending_update(pending: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def rolling_baseline(daily: DataFrame, value: str, half_life: float = 14, days: int = 28) -> DataFrame:
-    """For each page and day: weighted mean and deviation of value over the days before it.
+    """For each page and day: weighted mean and deviation of value over the days before it that have one.
 
-    Days are cut into blocks as long as the range; a past day meets only the days of its own block and the next, so a
-    page's work is linear in its days."""
-    number = lambda c: F.floor(F.unix_date(c) / days)
+    A day's past is a range of one window, at most `days` values, so a page's work is linear in its days."""
     d = daily.select(*PAGE, "day", F.col(value).cast("double").alias("v"))
-    past = d.select(*PAGE, F.col("day").alias("past"), F.col("v").alias("pv"), F.explode(F.array(number("day"), number("day") + 1)).alias("block"))
-    age = F.datediff("day", "past")
-    pairs = d.withColumn("block", number("day")).join(past, [*PAGE, "block"]).where((age >= 1) & (age <= days)).withColumn("w", S.decay_weight(age - 1, half_life))
-    mean = pairs.groupBy(*PAGE, "day").agg((F.sum(F.col("w") * F.col("pv")) / F.sum("w")).alias("mean"), F.sum("w").alias("sw"), F.count("*").alias("seen"))
-    dev = pairs.join(mean, [*PAGE, "day"]).groupBy(*PAGE, "day").agg(F.sqrt(F.sum(F.col("w") * F.pow(F.col("pv") - F.col("mean"), 2)) / F.max("sw")).alias("deviation"))
-    return d.join(mean.drop("sw"), [*PAGE, "day"], "left").join(dev, [*PAGE, "day"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    w = W.partitionBy(*PAGE).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
+    d = d.withColumn("past", F.collect_list(F.when(F.col("v").isNotNull(), F.struct("day", "v"))).over(w))
+    weight = lambda x: S.decay_weight(F.datediff(F.col("day"), x["day"]) - 1, half_life)
+    total = lambda f: F.aggregate("past", F.lit(0.0), lambda s, x: s + f(x))
+    d = d.withColumn("sw", total(weight)).withColumn("mean", F.try_divide(total(lambda x: weight(x) * x["v"]), F.col("sw")))
+    dev = F.sqrt(F.try_divide(total(lambda x: weight(x) * F.pow(x["v"] - F.col("mean"), 2)), F.col("sw")))
+    return d.withColumns({"deviation": dev, "seen": F.size("past").cast("long")}).drop("past", "sw")
+
+
+def co_spikes(daily: DataFrame, floor: float = 100, times: float = 2, days: int = 28, least: int = 14) -> DataFrame:
+    """By day: how many pages have at least `times` the median of their days with views among the `days` before it, of which
+    there are `least`, if that median is floor or more. A day's past is a range of one window, at most `days` values."""
+    past = W.partitionBy(*PAGE).orderBy(F.unix_date("day")).rangeBetween(-days, -1)
+    own = daily.withColumn("past", F.sort_array(F.collect_list(F.when(F.col("views") > 0, F.col("views"))).over(past)))
+    n = F.size("past")
+    median = (F.get("past", F.floor((n - 1) / 2).cast("int")) + F.get("past", F.floor(n / 2).cast("int"))) / 2
+    return own.where((n >= least) & (median >= floor) & (F.col("views") / median >= times)).groupBy("day").agg(F.count("*").alias("titles"))
+
+
+def by_floor(rows: DataFrame, floors: list[float], value: str = "views", page: str = "title") -> DataFrame:
+    """For each floor the rows with at least that value, and the pages that have any; one pass over the rows."""
+    at = [F.count_if(F.col(value) >= f).alias(f"n{i}") for i, f in enumerate(floors)]
+    own = rows.groupBy(page).agg(*at)
+    sums = own.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(floors))], *[F.count_if(F.col(f"n{i}") > 0).alias(f"p{i}") for i in range(len(floors))])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), F.col(f"n{i}").alias("rows"), F.col(f"p{i}").alias("pages")) for i, f in enumerate(floors)])).alias("x")).select("x.*")
 
 
 def view_signals(daily: DataFrame, floor: float) -> DataFrame:

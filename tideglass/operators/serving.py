@@ -40,26 +40,22 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> tuple[D
 def asof_reuse(targets: DataFrame, facts: DataFrame, keys: list[str], target_ts: str, fact_ts: str, own: str, fact_own: str, ties: list[str], take: list[str]) -> DataFrame:
     """Targets with the fields of the latest fact of the same keys at or before them that another owner made.
 
-    Equal times are settled by the largest ties. Facts of one time shrink to the best and the best of another owner; a
-    running window over the distinct times of a key (not over its facts) carries both forward; targets then meet their
-    own time by equality. Nothing pairs a key's facts with its targets, so a hot key costs no more than its rows."""
+    Equal times are settled by the largest ties. Facts and targets are one table, dealt and sorted once by key and time;
+    running windows carry the latest fact forward, and the latest one of an owner before it. Nothing is joined."""
     k = [f"__k{i}" for i in range(len(keys))]
-    named = [F.col(c).alias(n) for c, n in zip(keys, k, strict=True)]
-    x = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.col(fact_own).alias("owner"), *[F.col(c) for c in take])
-    f = facts.select(*named, F.col(fact_ts).alias("__ts"), x.alias("x"))
-    best = f.groupBy(*k, "__ts").agg(F.max("x").alias("a"))
-    other = f.join(best, [*k, "__ts"]).where(~F.col("x.owner").eqNullSafe(F.col("a.owner"))).groupBy(*k, "__ts").agg(F.max("x").alias("b"))
-    times = targets.select(*named, F.col(target_ts).alias("__ts")).distinct().join(best.join(other, [*k, "__ts"], "left"), [*k, "__ts"], "full")
-    w = W.partitionBy(*k).orderBy("__ts")
-    times = times.withColumn("before", F.last("a", True).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    changed = F.when(~F.col("before.owner").eqNullSafe(F.col("a.owner")), F.col("before"))
-    times = times.withColumn("second", F.when(F.col("a").isNotNull(), F.coalesce("b", changed)))
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    state = times.select(*k, "__ts", F.last("a", True).over(upto).alias("__a"), F.last("second", True).over(upto).alias("__b"))
-    on = [F.col(c) == F.col(n) for c, n in zip(keys, k, strict=True)]
-    out = targets.join(state, [*on, F.col(target_ts) == F.col("__ts")], "left")
-    chosen = F.when(~F.col("__a.owner").eqNullSafe(F.col(own)), F.col("__a")).otherwise(F.col("__b"))
-    return out.withColumn("__x", chosen).select(*targets.columns, *[F.col(f"__x.{c}").alias(c) for c in take])
+    fact = F.struct(F.col(fact_own).alias("owner"), *[F.col(c) for c in take])
+    order = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.col(fact_own).alias("owner"))
+    f = facts.dropna(subset=keys).select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(fact_ts).alias("__ts"), order.alias("__order"), fact.alias("__x"))
+    t = targets.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(target_ts).alias("__ts"), F.struct("*").alias("__row"))
+    both = f.unionByName(t, allowMissingColumns=True)
+    w = W.partitionBy(*k).orderBy("__ts", F.col("__row").isNotNull(), "__order")
+    latest = F.last("__x", True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    # Where the owner changes, the fact before is the best of another owner until the next change.
+    both = both.withColumn("__before", latest)
+    both = both.withColumn("__left", F.when(F.col("__x").isNotNull() & ~F.col("__before.owner").eqNullSafe(F.col("__x.owner")), F.col("__before")))
+    both = both.withColumn("__other", F.last("__left", True).over(w.rowsBetween(W.unboundedPreceding, -1))).where("__row is not null")
+    chosen = F.when(~F.col("__before.owner").eqNullSafe(F.col(f"__row.{own}")), F.col("__before")).otherwise(F.col("__other"))
+    return both.withColumn("__found", chosen).select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in take])
 
 
 def top_per_snapshot(clusters: DataFrame, n: int) -> DataFrame:
@@ -107,15 +103,30 @@ def combine(embedding: DataFrame, lift: DataFrame, keys: list[str]) -> DataFrame
     return both.withColumn("place", place)
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int, limit: int = 10_000, digits: int = 9) -> DataFrame:
-    """The k items nearest each query by cosine, rounded to digits so that order does not hang on the sum's order. Up to limit queries are broadcast; more go through
-    in blocks of about limit by the hash of query_id, each block against each partition of items, which sends its k best a query on."""
-    own, n = queries.select("query_id", F.col("embedding").alias("q")), queries.count()
-    own = F.broadcast(own) if n <= limit else own.repartition(-(-n // limit), "query_id").hint("shuffle_replicate_nl")
-    score = S.cosine(F.col("q"), F.col("v"))
-    pairs = items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")).join(own, F.col("query_id") != F.col("item_id"))
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block: int = 1_000, digits: int = 9) -> DataFrame:
+    """The k items nearest each query by cosine, rounded to digits so that order does not hang on the sum's order.
+
+    A stated set of queries against all items: queries are dealt to blocks of about `block` by the hash of query_id, an item
+    goes to every block, and each partition sends its k best a query on. Lengths are computed once a vector."""
+    length = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    blocks = max(1, -(-queries.count() // block))
+    own = queries.select("query_id", F.col("embedding").alias("q"), length("embedding").alias("qq"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    every = items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), length("embedding").alias("vv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    dot = F.aggregate(F.zip_with("q", "v", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, x: s + x)
+    pairs = every.join(own, "block").where("query_id <> item_id").select("query_id", "item_id", F.round(F.try_divide(dot, F.sqrt(F.col("qq") * F.col("vv"))), digits).alias("similarity"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
-    return pairs.select("query_id", "item_id", F.round(score, digits).alias("similarity")).withColumn("place", place).where(F.col("place") <= k)
+    return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+def representative_text(lines: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The lines (column line) of each key in order, joined by line ends and cut after most characters.
+
+    A line without text is left out; every other takes two characters at least with its end, so no more than most / 2 + 1
+    lines of a key are gathered, and each partition sends no more than that on."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    own = lines.where("line is not null and line <> ''").withColumn("__n", place).where(F.col("__n") <= most // 2 + 1)
+    rows = own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__n", "line"))).alias("x"))
+    return rows.select(*keys, F.left(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit(most)).alias("body"))
 
 
 def with_counts(clusters: DataFrame, stock: DataFrame) -> DataFrame:

@@ -215,9 +215,7 @@ def win06(t):
 SELECT CAST(f AS DOUBLE) AS floor, count(s.day) AS days, count(DISTINCT s.title) AS pages FROM (VALUES (50), (100), (200)) v(f) LEFT JOIN
 (SELECT * FROM s_roll WHERE seen >= 2 AND mean > 0 AND v / mean >= 2 AND deviation > 0 AND (v - mean) / deviation >= 3) s ON s.v >= f GROUP BY 1""")
 def agg29(t):
-    floors = t.spark.createDataFrame([(50.0,), (100.0,), (200.0,)], "floor double")
-    s = A.view_signals(daily_views(t), 50).select("title", "day", "views")
-    return F.broadcast(floors).join(s, F.col("views") >= F.col("floor"), "left").groupBy("floor").agg(F.count("day").alias("days"), F.count_distinct("title").alias("pages"))
+    return A.by_floor(A.view_signals(daily_views(t), 50), [50.0, 100.0, 200.0]).withColumnRenamed("rows", "days")
 
 
 @query("win07_first_detection", "SELECT wiki, title, min(CASE WHEN status = 'CONFIRMED' THEN window_start END) AS first_confirmed, min(CASE WHEN status <> 'REJECTED' THEN window_start END) AS first_candidate FROM s_dec GROUP BY 1, 2")
@@ -250,11 +248,11 @@ def agg15(t):
 
 @query("agg16_coverage_span", "WITH d AS (SELECT DISTINCT CAST(event_ts AS DATE) AS day FROM f_edit_events), g AS (SELECT day, lead(day) OVER (ORDER BY day) AS nxt FROM d) SELECT min(day) AS first_day, max(day) AS last_day, count_if(date_diff('day', day, nxt) > 1) AS holes FROM g")
 def agg16(t):
-    from pyspark.sql import Window as W
-
-    days = t.f_edit_events.select(F.to_date("event_ts").alias("day")).distinct()  # one row a day
-    gap = F.datediff(F.lead("day").over(W.orderBy("day")), "day")
-    return days.withColumn("gap", gap).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_if(F.col("gap") > 1).alias("holes"))
+    days = t.f_edit_events.select(F.to_date("event_ts").alias("day")).distinct()
+    # Every run of days but the last is followed by a hole.
+    ends = days.join(days.select(F.date_sub("day", 1).alias("day"), F.lit(True).alias("goes_on")), "day", "left")
+    n = F.count_if(F.col("goes_on").isNull())
+    return ends.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.greatest(n - 1, F.lit(0)).alias("holes"))
 
 
 @query("agg17_candidate_titles", "SELECT date_trunc('hour', event_ts) AS hour, trim(regexp_replace(title, '[ _]+', ' ', 'g')) AS title, count(*) AS edits FROM f_edit_events WHERE NOT is_bot AND CAST(event_ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY 1, 2")
@@ -275,8 +273,8 @@ def set02(t):
 
 @query("agg27_volume_bands", "SELECT CAST(f AS BIGINT) AS floor, count(v.title) AS rows, count(DISTINCT v.title) AS pages FROM (VALUES (1), (10), (50), (100), (500), (1000)) x(f) LEFT JOIN f_hourly_views v ON v.views >= f GROUP BY 1")
 def agg27(t):
-    floors = t.spark.createDataFrame([(f,) for f in (1, 10, 50, 100, 500, 1000)], "floor long")
-    return F.broadcast(floors).join(t.f_hourly_views, F.col("views") >= F.col("floor"), "left").groupBy("floor").agg(F.count("title").alias("rows"), F.count_distinct("title").alias("pages"))
+    own = A.by_floor(t.f_hourly_views, [1, 10, 50, 100, 500, 1000])
+    return own.withColumn("floor", F.col("floor").cast("long"))
 
 
 @query("agg27b_top_pages", "SELECT title, CAST(sum(views) AS BIGINT) AS views, round(sum(mobile_views) / sum(views), 6) AS mobile FROM f_hourly_views GROUP BY 1 ORDER BY views DESC, title LIMIT 25")
@@ -302,11 +300,7 @@ def agg25(t):
 WITH p AS (SELECT d.title, d.day, d.views, median(q.views) AS med, count(*) AS seen FROM s_daily d JOIN s_daily q ON q.title = d.title AND q.wiki = d.wiki AND q.views > 0 AND date_diff('day', q.day, d.day) BETWEEN 1 AND 28 GROUP BY 1, 2, 3)
 SELECT day, count(*) AS titles FROM p WHERE seen >= 14 AND med >= 20 AND views / med >= 2 GROUP BY 1""")
 def agg26(t):
-    d = daily_views(t)
-    past = d.where("views > 0").select("wiki", "title", F.col("day").alias("past"), F.col("views").alias("pv"))
-    pairs = d.join(past, ["wiki", "title"]).where(F.datediff("day", "past").between(1, 28))
-    own = pairs.groupBy("wiki", "title", "day").agg(F.first("views").alias("views"), F.median("pv").alias("med"), F.count("*").alias("seen"))
-    return own.where((F.col("seen") >= 14) & (F.col("med") >= 20) & (F.col("views") / F.col("med") >= 2)).groupBy("day").agg(F.count("*").alias("titles"))
+    return A.co_spikes(daily_views(t), floor=20)
 
 
 @query("agg23_slot_coverage", """
@@ -314,8 +308,7 @@ WITH e AS (SELECT trim(regexp_replace(title, '[ _]+', ' ', 'g')) AS title, event
 s AS (SELECT w AS width, title, extract(hour FROM event_ts) // w AS slot, count(DISTINCT CAST(event_ts AS DATE)) AS days FROM e CROSS JOIN (VALUES (1), (3), (6), (24)) v(w) GROUP BY 1, 2, 3)
 SELECT CAST(width AS INT) AS width, count(*) AS slots, count_if(days >= 7) AS covered, count(DISTINCT CASE WHEN days >= 7 THEN title END) AS pages FROM s GROUP BY 1""")
 def agg23(t):
-    widths = t.spark.createDataFrame([(1,), (3,), (6,), (24,)], "width int")
-    e = A.humans(t.f_edit_events).crossJoin(F.broadcast(widths))
+    e = A.humans(t.f_edit_events).withColumn("width", F.explode(F.array(*[F.lit(w) for w in (1, 3, 6, 24)])))
     own = e.groupBy("width", S.canonical_title(F.col("title")).alias("title"), F.floor(F.hour("event_ts") / F.col("width")).alias("slot")).agg(F.count_distinct(F.to_date("event_ts")).alias("days"))
     return own.groupBy("width").agg(F.count("*").alias("slots"), F.count_if(F.col("days") >= 7).alias("covered"), F.count_distinct(F.when(F.col("days") >= 7, F.col("title"))).alias("pages"))
 

@@ -90,48 +90,70 @@ def grf09(t):
     return G.build_snapshots(own)
 
 
-MEMBERS = "SELECT snapshot_ts, page_id % 5 AS comp, page_id, title, score, views FROM s_roots"
+STEPS["s_pairs"] = "SELECT snapshot_ts, a, b FROM s_edges UNION SELECT snapshot_ts, b, a FROM s_edges"
+STEPS["s_reach"] = "SELECT snapshot_ts, page_id AS x, page_id AS y FROM s_roots UNION SELECT r.snapshot_ts, r.x, e.b FROM s_reach r JOIN s_pairs e ON e.snapshot_ts = r.snapshot_ts AND e.a = r.y"
+STEPS["s_members"] = "SELECT snapshot_ts, comp, page_id, title, link_key, score, views FROM s_roots JOIN (SELECT snapshot_ts, x AS page_id, min(y) AS comp FROM s_reach GROUP BY 1, 2) USING (snapshot_ts, page_id)"
 
 
-@query("win12_lead_member", f"WITH m AS ({MEMBERS}) SELECT snapshot_ts, comp, arg_max(page_id, (score, title)) AS lead_page, max(score) AS pulse, count(*) AS members FROM m GROUP BY 1, 2")
+def members(t):
+    """Roots with their cluster; no link is cut, so that SQL can say the same."""
+    own = roots(t)
+    return own.join(G.core(own, links(t), focus=0.0, detach=10**9).select("source", "snapshot_ts", "page_id", "comp"), ["source", "snapshot_ts", "page_id"])
+
+
+@query("win12_lead_member", "SELECT snapshot_ts, comp, arg_max(page_id, (score, title)) AS lead_page, max(score) AS pulse, count(*) AS members FROM s_members GROUP BY 1, 2")
 def win12(t):
-    return G.lead_of(roots(t).withColumn("comp", F.col("page_id") % 5), ["snapshot_ts", "comp"])
+    return G.lead_of(members(t), ["snapshot_ts", "comp"])
 
 
-@query("grf09b_issue_rows", f"""
-WITH m AS ({MEMBERS}), g AS (SELECT snapshot_ts, comp, arg_max(title, (score, title)) AS label, round(max(score), 3) AS pulse_score, count_if(score >= 5) > 0 AS hot, count(*) AS member_count FROM m GROUP BY 1, 2),
+@query("grf09b_issue_rows", """
+WITH g AS (SELECT snapshot_ts, comp, arg_max(title, (score, title)) AS label, round(max(score), 3) AS pulse_score, count_if(score >= 5) > 0 AS hot, count(*) AS member_count FROM s_members GROUP BY 1, 2),
 k AS (SELECT *, 'replay:enwiki:' || label AS issue_key FROM g) SELECT k.*, min(snapshot_ts) OVER (PARTITION BY issue_key) AS first_detected, 'replay' AS source FROM k""")
 def grf09b(t):
-    return G.build_snapshots(roots(t).withColumn("comp", F.col("page_id") % 5).withColumn("wiki", F.lit("enwiki")))
+    return G.build_snapshots(members(t).withColumn("wiki", F.lit("enwiki")))
 
 
-@query("grf10_pulse_map", f"WITH m AS ({MEMBERS}) SELECT snapshot_ts, comp, list_transform(list(page_id ORDER BY page_id), lambda x: CAST(x AS VARCHAR)) AS nodes, count(*) AS node_count, CAST(sum(views) AS BIGINT) AS views FROM m GROUP BY 1, 2")
+@query("grf10_pulse_map", """
+WITH n AS (SELECT snapshot_ts, comp, list_transform(list(page_id ORDER BY page_id), lambda x: CAST(x AS VARCHAR)) AS nodes, count(*) AS node_count, CAST(sum(views) AS BIGINT) AS views FROM s_members GROUP BY 1, 2),
+e AS (SELECT snapshot_ts, comp, list(a || '-' || b ORDER BY a, b) AS edges, count(*) AS edge_count FROM s_edges e JOIN s_members m USING (snapshot_ts) WHERE m.page_id = e.a GROUP BY 1, 2)
+SELECT snapshot_ts, comp, nodes, node_count, views, coalesce(edges, []) AS edges, coalesce(edge_count, 0) AS edge_count FROM n LEFT JOIN e USING (snapshot_ts, comp)""")
 def grf10(t):
-    own = roots(t).withColumn("comp", F.col("page_id") % 5).groupBy("snapshot_ts", "comp").agg(F.sort_array(F.collect_list("page_id")).alias("p"), F.count("*").alias("node_count"), F.sum("views").alias("views"))
-    return own.select("snapshot_ts", "comp", F.transform("p", lambda x: x.cast("string")).alias("nodes"), "node_count", "views")
+    own = roots(t)
+    clusters = G.core_links(own, links(t), focus=0.0, detach=10**9)
+    nodes = clusters.join(own.select("snapshot_ts", "page_id", "views"), ["snapshot_ts", "page_id"])
+    ends = F.transform(F.filter("kept", lambda b: b > F.col("page_id")), lambda b: F.struct("page_id", b.alias("b")))
+    out = nodes.groupBy("snapshot_ts", "comp").agg(F.sort_array(F.collect_list("page_id")).alias("p"), F.count("*").alias("node_count"), F.sum("views").alias("views"), F.sort_array(F.flatten(F.collect_list(ends))).alias("e"))
+    edge = F.transform("e", lambda e: F.concat_ws("-", e["page_id"].cast("string"), e["b"].cast("string")))
+    return out.select("snapshot_ts", "comp", F.transform("p", lambda x: x.cast("string")).alias("nodes"), "node_count", "views", edge.alias("edges"), F.size("e").cast("long").alias("edge_count"))
+
+
+@query("grf05b_core_edges", "SELECT snapshot_ts, a, b, 'kept' AS fate FROM s_edges")
+def grf05b(t):
+    return G.core_edges(G.core_links(roots(t), links(t), focus=0.0, detach=10**9)).drop("source")
 
 
 @query("grf11_issue_detail", """
-SELECT c.id, c.label, coalesce(list(s.ticker ORDER BY s.gdelt_lift DESC, s.ticker) FILTER (s.verified), []) AS stocks FROM f_clusters c LEFT JOIN f_cluster_stock s ON s.cluster_id = c.id WHERE c.id % 50 = 0 GROUP BY 1, 2""")
+SELECT c.id, c.label, coalesce(list(s.ticker ORDER BY s.gdelt_lift DESC, s.ticker) FILTER (s.verified), []) AS stocks FROM f_clusters c LEFT JOIN f_cluster_stock s ON s.cluster_id = c.id GROUP BY 1, 2""")
 def grf11(t):
     s = t.f_cluster_stock.where("verified").groupBy(F.col("cluster_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("gdelt_lift")).alias("l"), "ticker"))).alias("s"))
-    own = t.f_clusters.where("id % 50 = 0").join(s, "id", "left")
+    own = t.f_clusters.join(s, "id", "left")
     return own.select("id", "label", F.coalesce(F.transform("s", lambda x: x["ticker"]), F.array().cast("array<string>")).alias("stocks"))
 
 
-@query("grf13_report_input", f"WITH m AS ({MEMBERS}) SELECT snapshot_ts, comp, string_agg(title, ', ' ORDER BY score DESC, title) AS titles FROM m GROUP BY 1, 2")
+@query("grf13_report_input", "SELECT snapshot_ts, comp, string_agg(title, ', ' ORDER BY score DESC, title) AS titles FROM s_members GROUP BY 1, 2")
 def grf13(t):
-    own = roots(t).groupBy("snapshot_ts", (F.col("page_id") % 5).alias("comp")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "title"))).alias("x"))
+    own = members(t).groupBy("snapshot_ts", "comp").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "title"))).alias("x"))
     return own.select("snapshot_ts", "comp", F.array_join(F.transform("x", lambda x: x["title"]), ", ").alias("titles"))
 
 
 STEPS["s_near"] = """
 SELECT seed, neighbour, CAST(sum(o) + sum(i) AS BIGINT) AS n, sum(o) >= sum(i) AS directed FROM (
-SELECT prev AS seed, curr AS neighbour, n AS o, 0 AS i FROM f_clicks WHERE kind = 'link' AND prev <> curr UNION ALL SELECT curr, prev, 0, n FROM f_clicks WHERE kind = 'link' AND prev <> curr) WHERE seed IN ('Page 1', 'Page 2', 'Page 3', 'Page 4') GROUP BY 1, 2"""
+SELECT prev AS seed, curr AS neighbour, n AS o, 0 AS i FROM f_clicks WHERE kind = 'link' AND prev <> curr UNION ALL SELECT curr, prev, 0, n FROM f_clicks WHERE kind = 'link' AND prev <> curr) GROUP BY 1, 2"""
 
 
 def near(t):
-    return G.neighbours(t.f_clicks, t.spark.createDataFrame([(f"Page {i}",) for i in (1, 2, 3, 4)], "title string"))
+    """Neighbours of every page that readers left."""
+    return G.neighbours(t.f_clicks, t.f_clicks.where("kind = 'link'").select(F.explode(F.array("prev", "curr")).alias("title")))
 
 
 @query("jon07_neighbours", "SELECT * FROM s_near")
@@ -174,20 +196,26 @@ def grf07(t):
 
 
 GATED = """
-WITH p AS (SELECT r.*, c.created, TIMESTAMP '1992-03-01' AS snapshot_ts, CAST(substr(seed, 6) AS INT) AS seed_score FROM s_res r LEFT JOIN s_created c ON c.title = neighbour),
-g AS (SELECT *, CASE WHEN neighbour = 'Page 4' THEN 'duplicate' WHEN n < 10 THEN 'few_clicks' WHEN created > DATE '1992-03-01' THEN 'future' WHEN abs(date_diff('day', created, DATE '1992-03-01')) <= 30 THEN 'new_page'
+WITH p AS (SELECT r.*, c.created, m.snapshot_ts, m.comp, m.score AS seed_score, CAST(m.snapshot_ts AS DATE) AS seen_day, CAST(date_trunc('month', m.snapshot_ts) - CAST(r.n % 2 AS INT) * INTERVAL 1 MONTH AS DATE) AS month,
+  EXISTS (SELECT 1 FROM s_members o WHERE o.snapshot_ts = m.snapshot_ts AND o.comp = m.comp AND o.link_key = r.neighbour) AS is_member FROM s_res r JOIN s_members m ON m.link_key = r.seed LEFT JOIN s_created c ON c.title = r.neighbour),
+g AS (SELECT *, CASE WHEN is_member THEN 'duplicate' WHEN n < 10 THEN 'few_clicks' WHEN created > seen_day THEN 'future' WHEN NOT month < date_trunc('month', seen_day) THEN 'open_month' WHEN abs(date_diff('day', created, seen_day)) <= 30 THEN 'new_page'
   WHEN event_edits >= 20 AND base_edits >= 5 AND event_edits >= 5 * base_edits THEN 'resurgence' ELSE 'quiet' END AS gate FROM p)
 """
 
 
 def gated(t):
-    own = resurgent(t).join(created(t).withColumnRenamed("title", "neighbour"), "neighbour", "left")
-    return own.select("seed", "neighbour", "n", "event_edits", "base_edits", "created", F.lit("1992-03-01").cast("timestamp").alias("snapshot_ts"), F.lit(1).alias("comp"), F.substr("seed", F.lit(6)).cast("int").alias("seed_score"), (F.col("neighbour") == "Page 4").alias("is_member"))
+    """Neighbours of every root of every snapshot, with what their gates need. An odd count of clicks is of the month before."""
+    m = members(t)
+    own = resurgent(t).join(m.select("snapshot_ts", "comp", F.col("link_key").alias("seed"), F.col("score").alias("seed_score")), "seed")
+    inside = m.select("snapshot_ts", "comp", F.col("link_key").alias("neighbour"), F.lit(True).alias("inside"))
+    own = own.join(created(t).withColumnRenamed("title", "neighbour"), "neighbour", "left").join(inside, ["snapshot_ts", "comp", "neighbour"], "left")
+    month = F.add_months(F.trunc("snapshot_ts", "month"), -(F.col("n") % 2).cast("int"))
+    return own.select("seed", "neighbour", "n", "event_edits", "base_edits", "created", "snapshot_ts", "comp", "seed_score", month.alias("month"), F.coalesce("inside", F.lit(False)).alias("is_member"))
 
 
-@query("grf06_expansion", GATED + "SELECT neighbour, seed, n, gate FROM (SELECT *, row_number() OVER (PARTITION BY neighbour ORDER BY seed_score DESC, seed) AS k FROM g WHERE gate IN ('new_page', 'resurgence')) WHERE k = 1")
+@query("grf06_expansion", GATED + "SELECT snapshot_ts, comp, neighbour, seed, n, gate FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_ts, comp, neighbour ORDER BY seed_score DESC, seed) AS k FROM g WHERE gate IN ('new_page', 'resurgence')) WHERE k = 1")
 def grf06(t):
-    return G.expand(gated(t)).select("neighbour", "seed", "n", "gate")
+    return G.expand(gated(t)).select("snapshot_ts", "comp", "neighbour", "seed", "n", "gate")
 
 
 @query("agg21_neighbour_funnel", GATED + "SELECT count(DISTINCT seed) AS seeds, count(*) AS candidates, count_if(created IS NULL) AS unknown_creation, count_if(n >= 10) AS enough_clicks, count_if(n >= 10 AND event_edits >= 20 AND base_edits >= 5 AND event_edits >= 5 * base_edits) AS resurgent FROM g")
@@ -196,13 +224,13 @@ def agg21(t):
 
 
 @query("grf08_relation_edges", """
-WITH m AS (SELECT snapshot_ts, 1 AS comp, title, row_number() OVER (PARTITION BY snapshot_ts ORDER BY score DESC, page_id) AS rank FROM s_roots), r AS (SELECT DISTINCT 'page_' || (l_partkey % 300) AS subject, 'page_' || (l_suppkey % 300) AS object, l_linestatus AS relation, CAST(l_shipdate AS TIMESTAMP) AS observed FROM lineitem WHERE l_linenumber = 1)
+WITH m AS (SELECT snapshot_ts, 1 AS comp, title, row_number() OVER (PARTITION BY snapshot_ts ORDER BY score DESC, page_id) AS rank FROM s_roots), r AS (SELECT DISTINCT 'page_' || (l_partkey % 300) AS subject, 'page_' || (l_suppkey % 300) AS object, l_linestatus AS relation, CAST(l_shipdate AS TIMESTAMP) AS observed FROM lineitem)
 SELECT DISTINCT a.snapshot_ts, subject, object, relation FROM r JOIN m a ON a.title = subject JOIN m b ON b.snapshot_ts = a.snapshot_ts AND b.title = object WHERE observed <= a.snapshot_ts AND b.rank <= a.rank AND subject <> object""")
 def grf08(t):
     rank = F.row_number().over(W.partitionBy("snapshot_ts").orderBy(F.desc("score"), "page_id"))
     m = roots(t).select("snapshot_ts", F.lit(1).alias("comp"), "title", rank.alias("rank"))
     name = lambda c: F.concat(F.lit("page_"), (F.col(c) % 300).cast("string"))
-    r = t.lineitem.where("l_linenumber = 1").select(name("l_partkey").alias("subject"), name("l_suppkey").alias("object"), F.col("l_linestatus").alias("relation"), F.col("l_shipdate").cast("timestamp").alias("observed")).distinct()
+    r = t.lineitem.select(name("l_partkey").alias("subject"), name("l_suppkey").alias("object"), F.col("l_linestatus").alias("relation"), F.col("l_shipdate").cast("timestamp").alias("observed")).distinct()
     return G.relation_edges(r, m).select("snapshot_ts", "subject", "object", "relation").distinct()
 
 
@@ -240,9 +268,25 @@ l AS (SELECT cluster_id, 'location' AS axis, word, (SELECT sum(support) FROM s_w
 u AS (SELECT * FROM t UNION ALL SELECT * FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, axis ORDER BY support DESC, word) AS place FROM u WHERE support >= 14 AND support <= 0.5 * (SELECT count(DISTINCT doc_id) FROM f_article_rows))
 SELECT cluster_id, axis, word, CAST(support AS BIGINT) AS support, CAST(place AS INT) AS place FROM k WHERE place <= CASE axis WHEN 'theme' THEN 2 ELSE 3 END""".replace("\\\\b", "\\b"))
 def grf12(t):
+    return L.derive_predicates(*news_terms(t))
+
+
+def news_terms(t):
     a = articles(t)
     members = t.part.select((F.col("p_partkey") % 50).alias("cluster_id"), F.col("p_type").alias("title")).union(t.nation.select((F.col("n_nationkey") % 50).cast("long"), "n_name")).distinct().withColumn("is_seed", F.lit(True))
-    return L.derive_predicates(members, L.vocabulary(a), a.count())
+    return members, L.vocabulary(a), a.count()
+
+
+@query("grf12b_rejected_terms", """
+WITH m AS (SELECT p_partkey % 50 AS cluster_id, lower(p_type) AS title FROM part UNION SELECT n_nationkey % 50, lower(n_name) FROM nation), n AS (SELECT count(DISTINCT doc_id) AS n, greatest(3, CAST(floor(0.001 * count(DISTINCT doc_id)) AS BIGINT)) AS least FROM f_article_rows),
+w AS (SELECT cluster_id, unnest(string_split_regex(title, '[^0-9a-z]+')) AS word FROM m), k AS (SELECT DISTINCT cluster_id, word FROM w WHERE len(word) >= 4 AND NOT regexp_full_match(word, '[0-9]+')),
+t AS (SELECT cluster_id, 'theme' AS axis, word, (SELECT sum(support) FROM s_words WHERE axis = 'theme' AND contains(term, upper(word))) AS support FROM k),
+l AS (SELECT cluster_id, 'location' AS axis, word, (SELECT sum(support) FROM s_words WHERE axis = 'location' AND regexp_matches(term, '\\b' || word || '\\b')) AS support FROM (SELECT * FROM k UNION SELECT cluster_id, trim(title) FROM m))
+SELECT cluster_id, axis, word, CAST(coalesce(support, 0) AS BIGINT) AS support, CASE WHEN support IS NULL THEN 'unseen' WHEN support < least THEN 'rare' ELSE 'general' END AS reason
+FROM (SELECT * FROM t UNION ALL SELECT * FROM l), n WHERE support IS NULL OR support < least OR support > 0.5 * n""")
+def grf12b(t):
+    own = L.judged_terms(*news_terms(t)).where("reason is not null")
+    return own.select("cluster_id", "axis", "word", "support", "reason")
 
 
 @query("jon16_org_to_ticker", """

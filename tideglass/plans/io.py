@@ -47,21 +47,20 @@ def src04(t):
 @query("src05_recentchange_ndjson", "SELECT rev_id AS revid, title FROM f_edit_events")
 def src05(t):
     path = scratch.path(t.spark, "rc")
-    t.f_edit_events.select(F.lit("edit").alias("type"), F.lit(0).alias("ns"), "title", F.col("rev_id").alias("revid")).coalesce(4).write.json(path)
-    return t.spark.read.schema("type string, ns int, title string, revid long").json(path).select("revid", "title")
+    t.f_edit_events.select(F.lit("edit").alias("type"), F.lit(0).alias("ns"), "title", F.col("rev_id").alias("revid")).write.json(path)
+    return R.read_recent_changes(t.spark, path).select("revid", "title")
 
 
-@query("src06_hourly_views_txt", "SELECT title, ts_hour, views - mobile_views AS views, false AS is_mobile FROM f_hourly_views WHERE ts_hour < TIMESTAMP '2024-01-03' UNION ALL SELECT title, ts_hour, mobile_views, true FROM f_hourly_views WHERE ts_hour < TIMESTAMP '2024-01-03'")
+@query("src06_hourly_views_txt", "SELECT title, ts_hour, views - mobile_views AS views, false AS is_mobile FROM f_hourly_views UNION ALL SELECT title, ts_hour, mobile_views, true FROM f_hourly_views")
 def src06(t):
     path = scratch.path(t.spark, "views")
-    rows = t.f_hourly_views.where("ts_hour < '2024-01-03'")
+    rows = t.f_hourly_views
     both = rows.select("title", "ts_hour", F.lit("en").alias("p"), (F.col("views") - F.col("mobile_views")).alias("n")).unionByName(rows.select("title", "ts_hour", F.lit("en.m").alias("p"), F.col("mobile_views").alias("n")))
     end = F.date_format(F.col("ts_hour") + F.expr("interval 1 hour"), "yyyyMMdd-HHmmss")
     lines = both.select(F.concat_ws(" ", "p", F.replace("title", F.lit(" "), F.lit("_")), F.col("n").cast("string"), F.lit("0")).alias("value"), end.alias("hour"))
     lines.repartition("hour").write.partitionBy("hour").text(path)
     # The hour is taken from a file's name; Spark names its own files, so here it stands in the folder.
-    f = t.spark.read.text(path).select(F.split("value", " ", -1).alias("f"), F.concat(F.col("hour").cast("string"), F.lit(".gz")).alias("file"))
-    return f.select(S.canonical_title(F.get("f", F.lit(1))).alias("title"), S.file_hour(F.col("file")).alias("ts_hour"), F.get("f", F.lit(2)).cast("long").alias("views"), (F.get("f", F.lit(0)) == "en.m").alias("is_mobile"))
+    return R.read_hourly_views(t.spark, path, {"en": False, "en.m": True}, named_by="folder")[0].select("title", "ts_hour", "views", "is_mobile")
 
 
 @query("prj07_project_filter", "SELECT DISTINCT title FROM f_hourly_views")
@@ -117,7 +116,8 @@ def prj11(t):
 def src11(t):
     path = scratch.path(t.spark, "tickers")
     entry = F.struct(F.col("s_suppkey").alias("cik_str"), F.concat(F.lit(" s"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("title"))
-    t.supplier.select(F.to_json(F.map_from_arrays(F.array(F.col("s_suppkey").cast("string")), F.array(entry))).alias("value")).repartition(200).write.option("maxRecordsPerFile", 1).text(path)
+    own = t.supplier.groupBy(F.floor(F.col("s_suppkey") / 500)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), entry))).alias("x"))
+    own.select(F.to_json("x").alias("value")).write.option("maxRecordsPerFile", 1).text(path)  # an object a file
     return R.read_ticker_index(t.spark, path)
 
 
@@ -219,20 +219,18 @@ def snk04(t):
     return t.spark.read.parquet(path).groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "again").alias("again"))
 
 
-@query("snk06_replace_by_key", "SELECT cluster_id, ticker, CASE WHEN cluster_id % 10 = 0 THEN 0.5 ELSE similarity END AS similarity FROM f_cluster_stock WHERE cluster_id % 10 <> 0 OR ticker > 'S5'")
+@query("snk06_replace_by_key", """
+WITH n AS (SELECT cluster_id, ticker, 0.5 AS similarity FROM f_cluster_stock WHERE cluster_id % 10 = 0 AND ticker > 'S5')
+SELECT cluster_id, ticker, similarity FROM f_cluster_stock WHERE cluster_id NOT IN (SELECT cluster_id FROM n) UNION ALL SELECT * FROM n""")
 def snk06(t):
     s = t.f_cluster_stock.select("cluster_id", "ticker", "similarity")
-    old = s.where("cluster_id % 10 <> 0 or ticker > 'S5' or exists(array(1), x -> true)")
-    new = s.where("cluster_id % 10 = 0 and ticker > 'S5'").withColumn("similarity", F.lit(0.5))
-    gone = s.where("cluster_id % 10 = 0").select("cluster_id").distinct()
-    return K.replace_where(old.join(gone, "cluster_id", "left_anti").unionByName(old.join(gone, "cluster_id", "left_semi").where("ticker > 'S5'")), new, "cluster_id")
+    return K.replace_where(s, s.where("cluster_id % 10 = 0 and ticker > 'S5'").withColumn("similarity", F.lit(0.5)), "cluster_id")
 
 
-@query("snk09_hourly_title_lists", f"SELECT strftime(event_ts, '%Y-%m-%d') AS day, CAST(strftime(event_ts, '%H') AS INT) AS hour, {CANON} AS title FROM f_edit_events WHERE event_ts < TIMESTAMP '2024-01-05' GROUP BY 1, 2, 3")
+@query("snk09_hourly_title_lists", f"SELECT strftime(event_ts, '%Y-%m-%d') AS day, CAST(strftime(event_ts, '%H') AS INT) AS hour, {CANON} AS title FROM f_edit_events GROUP BY 1, 2, 3")
 def snk09(t):
     path = scratch.path(t.spark, "titles")
-    own = t.f_edit_events.where("event_ts < '2024-01-05'")
-    K.write_titles_by_hour(own.select(S.canonical_title(F.col("title")).alias("title"), S.hour_floor(F.col("event_ts")).alias("hour")), path)
+    K.write_titles_by_hour(t.f_edit_events.select(S.canonical_title(F.col("title")).alias("title"), S.hour_floor(F.col("event_ts")).alias("hour")), path)
     return t.spark.read.text(path).select(F.col("day").cast("string").alias("day"), F.col("hour").cast("int").alias("hour"), F.col("value").alias("title"))
 
 
@@ -317,14 +315,16 @@ def str11(t):
 
 
 @query("str10_live_cycle", """
-SELECT p.wiki, p.title, p.window_start, coalesce(v.views, 0) AS views FROM s_pending p JOIN f_arrival a ON a.wiki = p.wiki AND a.ts_hour = p.window_start
-LEFT JOIN f_hourly_views v ON v.wiki = p.wiki AND v.title = p.title AND v.ts_hour = p.window_start""")
+WITH p AS (SELECT w.wiki, w.title, w.window_start, coalesce(v.views, 0) AS views, b.sample_days, b.view_ewma AS m, b.view_stddev AS d, coalesce(sample_days >= 7 AND view_ewma > 0, false) AS u
+FROM s_windows w JOIN f_arrival a ON a.wiki = w.wiki AND a.ts_hour = w.window_start LEFT JOIN f_hourly_views v ON v.wiki = w.wiki AND v.title = w.title AND v.ts_hour = w.window_start
+LEFT JOIN s_base b ON b.wiki = w.wiki AND b.title = w.title AND b.hour_of_day = extract(hour FROM w.window_start) WHERE w.edit_count >= 1 AND w.views IS NULL AND w.window_start >= TIMESTAMP '2024-01-20')
+SELECT wiki, title, window_start, views, CASE WHEN views >= 100 AND (NOT u OR (views / m >= 2 AND (d IS NULL OR d = 0 OR (views - m) / d >= 3))) THEN 'CONFIRMED' ELSE 'REJECTED' END AS status FROM p""")
 def str10(t):
     from .attention import AS_OF, NOW, windows
 
     w = windows(t)
     pending = w.where((F.col("edit_count") >= 1) & F.col("views").isNull() & (F.col("window_start") >= "2024-01-20"))
-    return J.live_cycle(pending, t.f_arrival, t.f_hourly_views, A.ewma_baseline(w, AS_OF), NOW)["decisions"].select("wiki", "title", "window_start", "views")
+    return J.live_cycle(pending, t.f_arrival, t.f_hourly_views, A.ewma_baseline(w, AS_OF), NOW)["decisions"].select("wiki", "title", "window_start", "views", "status")
 
 
 @query("snk07_foreach_batch", "SELECT status, count(*) AS n FROM s_dec WHERE edit_count >= 1 GROUP BY 1")

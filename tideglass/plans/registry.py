@@ -53,10 +53,13 @@ def completed(sql: str) -> str:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(body)
-    clauses = ",\n".join(f"{name} AS ({duck[name]})" for name in duck if name in need)
+    # Steps are used more than once, so each is computed once; one that names itself is recursive.
+    kind = lambda name: "" if re.search(rf"\b{name}\b", duck[name]) else "MATERIALIZED "
+    clauses = ",\n".join(f"{name} AS {kind(name)}({duck[name]})" for name in duck if name in need)
     if not clauses:
         return sql
     body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE"):
-        return f"WITH RECURSIVE {clauses},\n{body[len('WITH RECURSIVE'):]}"
-    return f"WITH {clauses},\n{body[4:]}" if body.upper().startswith("WITH") else f"WITH {clauses}\n{body}"
+    for head in ("WITH RECURSIVE", "WITH"):
+        if body.upper().startswith(head):
+            return f"WITH RECURSIVE {clauses},\n{body[len(head):]}"
+    return f"WITH RECURSIVE {clauses}\n{body}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import serving as V
+from ..sources import sinks as K
 from .registry import STEPS, query
 
 STEPS["s_stable"] = "SELECT *, coalesce(nullif(issue_key, ''), '#' || id) AS k FROM f_clusters"
@@ -19,9 +20,14 @@ def prj12(t):
     return V.scope(t.f_clusters, source="live", days=["1996-01-02", "1997-05-05"], times=["1998-01-01 00:00:00"]).select("id")
 
 
-@query("prj13_escaped_like", "SELECT id, label FROM f_clusters WHERE label ILIKE '%page 1_%' ESCAPE '!' AND contains(lower(label), 'page 1')")
+@query("prj13_escaped_like", """
+WITH c AS (SELECT id, label || CASE id % 4 WHEN 0 THEN ' 50%' WHEN 1 THEN ' a_b' WHEN 2 THEN ' 500' ELSE ' a!b' END AS label FROM f_clusters)
+SELECT id, 'per' AS q FROM c WHERE label ILIKE '%50!%%' ESCAPE '!' UNION ALL SELECT id, 'low' FROM c WHERE label ILIKE '%A!_B%' ESCAPE '!' UNION ALL SELECT id, 'bang' FROM c WHERE label ILIKE '%A!!B%' ESCAPE '!'""")
 def prj13(t):
-    return V.search(t.f_clusters, ["label"], "Page 1").where(F.char_length("label") > 6).select("id", "label")
+    tail = F.when(F.col("id") % 4 == 0, " 50%").when(F.col("id") % 4 == 1, " a_b").when(F.col("id") % 4 == 2, " 500").otherwise(" a!b")
+    c = t.f_clusters.where("label is not null").select("id", F.concat("label", tail).alias("label"))
+    found = [V.search(c, ["label"], q).select("id", F.lit(name).alias("q")) for name, q in (("per", "50%"), ("low", "A_B"), ("bang", "A!B"))]
+    return found[0].union(found[1]).union(found[2])
 
 
 @query("prj14_literal_search", "SELECT page_id FROM pages WHERE contains(lower(concat_ws(' ', url, html)), '?page=2&ref')")
@@ -132,11 +138,11 @@ def jon14(t):
 @query("jon15_cosine_topk", """
 WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda k: CAST(q.embedding[k] AS DOUBLE) * i.embedding[k]))
   / sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(i.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS similarity
-FROM (SELECT * FROM embeddings WHERE vec_id < 10) q JOIN embeddings i ON q.vec_id <> i.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS place FROM p)
+FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q JOIN embeddings i ON q.vec_id <> i.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS place FROM p)
 SELECT query_id, item_id, similarity, CAST(place AS INT) AS place FROM r WHERE place <= 20""")
 def jon15(t):
     e = t.embeddings
-    return V.cosine_topk(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e, 20, digits=6).select("query_id", "item_id", "similarity", "place")
+    return V.cosine_topk(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 20, digits=6).select("query_id", "item_id", "similarity", "place")
 
 
 @query("jon17_completed_only", "SELECT id FROM f_clusters c WHERE EXISTS (SELECT 1 FROM f_clusters r WHERE r.source = c.source AND r.snapshot_ts = c.snapshot_ts AND r.status = 'CONFIRMED')")
@@ -160,11 +166,10 @@ def jon19b(t):
     return t.f_prices.groupBy("ticker").agg(F.max_by("close", "trade_date").alias("last_close"))
 
 
-@query("jon22_saved_items", "SELECT c_custkey AS member, id, label, (SELECT count(*) FROM f_cluster_stock s WHERE s.cluster_id = id) AS candidates FROM customer JOIN f_clusters ON id % 1500 = c_custkey WHERE c_custkey % 7 = 0")
+@query("jon22_saved_items", "SELECT o_custkey AS member, id, label, (SELECT count(*) FROM f_cluster_stock s WHERE s.cluster_id = id) AS candidates FROM orders JOIN f_clusters ON id = o_orderkey")
 def jon22(t):
-    saved = t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("member"))
-    c = V.with_counts(t.f_clusters, t.f_cluster_stock).withColumn("member", F.col("id") % 1500)
-    return saved.join(c, "member").select("member", "id", "label", "candidates")
+    saved = t.orders.select(F.col("o_custkey").alias("member"), F.col("o_orderkey").alias("id"))
+    return saved.join(V.with_counts(t.f_clusters, t.f_cluster_stock), "id").select("member", "id", "label", "candidates")
 
 
 @query("agg12_lift_topk", "SELECT * FROM (SELECT cluster_id, ticker, max(gdelt_lift) AS lift, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY max(gdelt_lift) DESC, ticker) AS INT) AS place FROM f_cluster_stock GROUP BY 1, 2) WHERE place <= 3")
@@ -352,7 +357,9 @@ def dqc09(t):
     return t.pages.groupBy(host.alias("host")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("snk05_downstream_guard", "SELECT source, snapshot_ts, count(*) AS dependants FROM f_clusters c JOIN f_cluster_stock s ON s.cluster_id = c.id WHERE CAST(snapshot_ts AS DATE) = DATE '1996-01-02' GROUP BY 1, 2")
+@query("snk05_downstream_guard", """
+WITH c AS (SELECT id FROM f_clusters WHERE CAST(snapshot_ts AS DATE) = DATE '1996-01-02') SELECT 'stocks' AS "table", count(*) AS rows FROM f_cluster_stock WHERE cluster_id IN (SELECT id FROM c)
+UNION ALL SELECT 'labels', count(*) FROM f_clusters WHERE label IS NOT NULL AND id IN (SELECT id FROM c)""")
 def snk05(t):
-    own = t.f_clusters.where(F.to_date("snapshot_ts") == "1996-01-02").select(F.col("id").alias("cluster_id"), "source", "snapshot_ts")
-    return t.f_cluster_stock.join(own, "cluster_id").groupBy("source", "snapshot_ts").agg(F.count("*").alias("dependants"))
+    own = t.f_clusters.where(F.to_date("snapshot_ts") == "1996-01-02").select(F.col("id").alias("cluster_id"))
+    return K.dependants(own, {"stocks": t.f_cluster_stock, "labels": t.f_clusters.where("label is not null").select(F.col("id").alias("cluster_id"))})

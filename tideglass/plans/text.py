@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import quality as D
+from ..operators import serving as V
 from .registry import query
 
 CANON = "trim(regexp_replace(title, '[ _]+', ' ', 'g'))"
@@ -22,12 +23,11 @@ def fun02(t):
     return t.f_edit_events.select(low.alias("title"), S.link_key(low).alias("key")).distinct()
 
 
-@query("fun03_wikitext_links", "SELECT l_orderkey AS id, ['Page ' || (l_partkey % 9)] AS links FROM lineitem WHERE l_linenumber = 1")
+@query("fun03_wikitext_links", "SELECT l_orderkey * 10 + l_linenumber AS id, list_sort(['Page ' || l_partkey, 'Page ' || l_suppkey || 's']) AS links FROM lineitem")
 def fun03(t):
-    own = t.lineitem.where("l_linenumber = 1")
-    n = (F.col("l_partkey") % 9).cast("string")
-    body = F.concat(F.lit("see [[page_"), n, F.lit("#top|x]] and [[File:a.png]] [[de:Seite]] [[#here]] [[:Category:x]] [["), F.lit("page  "), n, F.lit("]]"))
-    return own.select(F.col("l_orderkey").alias("id"), S.wikitext_links(body).alias("links"))
+    n, m = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    body = F.concat(F.lit("see [[page_"), n, F.lit("#top|x]] and [[File:a.png]] [[de:Seite]] [[#here]] [[:Category:x]] [["), F.lit("page  "), n, F.lit("]] [["), F.lit("Page "), m, F.lit("s]]"))
+    return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), S.wikitext_links(body).alias("links"))
 
 
 @query("fun04_hour_floor", "SELECT meta_id, date_trunc('hour', event_ts) AS hour, CAST(extract(hour FROM event_ts) AS INT) AS hour_of_day FROM f_edit_events")
@@ -113,9 +113,8 @@ def fun20(t):
 @query("fun21_representative_text", "SELECT doc_id % 200 AS cluster, left(string_agg('d' || doc_id || ': ' || rtrim(array_to_string(string_split(text, '. ')[1:2], '. '), '.'), chr(10) ORDER BY n_chars DESC NULLS LAST, doc_id), 2000) AS body FROM documents GROUP BY 1")
 def fun21(t):
     line = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(": "), S.first_sentences(F.col("text"), 2))
-    rows = t.documents.select((F.col("doc_id") % 200).alias("cluster"), F.struct((-F.col("n_chars")).alias("n"), "doc_id", line.alias("line")).alias("x"))
-    own = rows.groupBy("cluster").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return own.select("cluster", F.left(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit(2000)).alias("body"))
+    rows = t.documents.select((F.col("doc_id") % 200).alias("cluster"), "n_chars", "doc_id", line.alias("line"))
+    return V.representative_text(rows, ["cluster"], [F.desc_nulls_last("n_chars"), F.col("doc_id")], 2000)
 
 
 @query("fun22_fit_lead")
@@ -135,11 +134,11 @@ def fun26(t):
 
 @query("fun29_cosine", """
 SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: CAST(a.embedding[k] AS DOUBLE) * b.embedding[k]))
-  / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = 0""")
+  / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 10""")
 def fun29(t):
-    e = t.embeddings
-    first = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.join(F.broadcast(first)).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    e = t.embeddings.withColumn("first", F.col("vec_id") - F.col("vec_id") % 10)
+    first = t.embeddings.select(F.col("vec_id").alias("first"), F.col("embedding").alias("q"))
+    return e.join(first, "first").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
 
 
 @query("fun30_second_precision", "SELECT meta_id, date_trunc('second', event_ts) AS at FROM f_edit_events")
@@ -152,18 +151,23 @@ def fun31(t):
     return t.customer.select(F.col("c_custkey").alias("id"), S.clean_sector(F.when(F.col("c_custkey") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment")))).alias("sector"))
 
 
-@query("prj06_content_namespace", "SELECT event_id FROM events WHERE event_type NOT IN ('error', 'click', 'view')")
+@query("prj06_content_namespace", "SELECT p_partkey AS id FROM part WHERE p_partkey % 5 IN (1, 3, 4) AND p_partkey % 50 <> 1")
 def prj06(t):
-    raw = F.when(F.col("event_type") == "error", F.lit("Talk:a")).when(F.col("event_type") == "click", F.lit("-")).when(F.col("event_type") == "view", F.lit("User_talk:b")).otherwise(F.lit("Bang: The Story"))
-    return t.events.where(S.is_content_title(raw)).select("event_id")
+    k = F.col("p_partkey") % 5
+    raw = F.concat(F.when(k == 0, F.lit("Talk:")).when(k == 1, F.lit("")).when(k == 2, F.lit("User_talk:")).when(k == 3, F.lit("Bang:_")).otherwise(F.lit("talk_")), F.replace("p_name", F.lit(" "), F.lit("_")))
+    return t.part.where(S.is_content_title(F.when(F.col("p_partkey") % 50 == 1, F.lit("-")).otherwise(raw))).select(F.col("p_partkey").alias("id"))
 
 
-@query("dqc06_verdict_schema", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'keys' WHEN c_custkey % 5 = 1 THEN 'no_rationale' ELSE 'rationale' END AS error FROM customer WHERE c_custkey % 5 IN (0, 1, 2)")
+@query("dqc06_verdict_schema", """
+SELECT * FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'not_json' WHEN c_custkey % 11 = 0 THEN 'keys' WHEN c_acctbal > 0 AND c_custkey % 3 <> 0 THEN 'no_rationale' WHEN NOT c_acctbal > 0 AND c_custkey % 3 = 0 THEN 'rationale' END AS error FROM customer)
+WHERE error IS NOT NULL""")
 def dqc06(t):
-    k = F.col("c_custkey") % 5
-    body = lambda verdict, why: f'{{"verdict": {verdict}, "relation": "r", "direction": "up", "confidence": "high", "rationale": {why}, "evidence": null}}'
-    text = F.when(k == 0, F.lit('{"verdict": true}')).when(k == 1, F.lit(body("true", '" "'))).when(k == 2, F.lit(body("false", '"x"'))).when(k == 3, F.lit(body("true", '"x"'))).otherwise(F.lit(body("false", "null")))
-    return D.verdict_violations(t.customer.select(F.col("c_custkey").alias("id"), text.alias("body"))).select("id", "error")
+    k = F.col("c_custkey")
+    why = F.when(k % 3 == 0, F.col("c_name")).otherwise(F.lit(" "))
+    parts = [(F.col("c_acctbal") > 0).alias("verdict"), F.col("c_mktsegment").alias("relation"), F.lit("up").alias("direction"), F.lit("high").alias("confidence"), why.alias("rationale")]
+    full = F.to_json(F.struct(*parts, F.lit(None).cast("string").alias("evidence")), {"ignoreNullFields": "false"})
+    text = F.when(k % 7 == 0, F.col("c_name")).when(k % 11 == 0, F.to_json(F.struct(*parts))).otherwise(full)
+    return D.verdict_violations(t.customer.select(k.alias("id"), text.alias("body"))).select("id", "error")
 
 
 @query("dqc07_attempt_state", """
@@ -175,10 +179,15 @@ def dqc07(t):
     return D.attempt_state(log)
 
 
-@query("dqc10_sections_filter", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN [] WHEN c_custkey % 3 = 1 THEN ['s1'] ELSE ['s1'] END AS ids, CASE WHEN c_custkey % 3 = 1 THEN 1 WHEN c_custkey % 3 = 2 THEN 0 ELSE 0 END AS evidence FROM customer")
+@query("dqc10_sections_filter", """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 0 THEN [] ELSE [c_mktsegment] END AS ids,
+  CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 0 THEN 0 ELSE 1 + CAST(c_custkey % 4 = 1 AS INT) END AS evidence FROM customer""")
 def dqc10(t):
-    k = F.col("c_custkey") % 3
-    text = F.when(k == 0, F.lit("no json")).when(k == 1, F.lit('[{"id": "s1", "title": "t", "body": "b", "evidenceIds": ["m1", "x"]}, {"id": " ", "title": "t"}]')).otherwise(F.lit('[{"id": "s1", "title": "t", "evidenceIds": ["x"]}, {"id": "s2"}]'))
-    own = D.clean_sections(t.customer.select(F.col("c_custkey").alias("id"), text.alias("sections"), F.array(F.lit("m1")).alias("members")))
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    title = F.when(k % 3 == 0, F.lit(" ")).otherwise(F.col("c_name"))
+    known = F.struct(F.col("c_mktsegment").alias("id"), title.alias("title"), F.array(F.concat(F.lit("m"), (k % 4).cast("string")), nation).alias("evidenceIds"))
+    other = F.struct(F.lit("").alias("id"), F.col("c_name").alias("title"), F.array(nation).alias("evidenceIds"))
+    text = F.when(k % 5 == 0, F.col("c_name")).otherwise(F.to_json(F.array(known, other)))
+    own = D.clean_sections(t.customer.select(k.alias("id"), text.alias("sections"), F.array(F.lit("m1"), nation).alias("members")))
     n = F.aggregate("sections", F.lit(0), lambda s, x: s + F.size(x["evidenceIds"]))
     return own.select("id", F.transform("sections", lambda x: x["id"]).alias("ids"), n.alias("evidence"))

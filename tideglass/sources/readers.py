@@ -46,9 +46,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = EDIT) -> D
     return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").json(path)
 
 
-def fields_of(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def fields_of(spark: SparkSession, path: str, sep: str, named_by: str = "file") -> DataFrame:
+    """Fields of each line and the name of its file, or of the folder that the file is in."""
     lines = spark.read.text(path).where("value <> ''")
-    return lines.select(F.split("value", sep, -1).alias("f"), F.col("_metadata.file_name").alias("file"))
+    name = F.col("_metadata.file_name") if named_by == "file" else F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return lines.select(F.split("value", sep, -1).alias("f"), name.alias("file"))
 
 
 def width_error(width: int) -> Column:
@@ -63,14 +65,14 @@ def read_history(spark: SparkSession, path: str, places: dict[str, int], mode: s
 
 def read_recent_changes(spark: SparkSession, path: str) -> DataFrame:
     kind = "type string, ns int, title string, rcid long, revid long, old_revid long, user string, bot boolean, minor boolean, oldlen int, newlen int, timestamp string, logtype string, logaction string, logparams struct<target_title: string>"
-    return spark.read.schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ndjson*").json(path)
+    return spark.read.schema(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", "*json*").json(path)
 
 
-def read_hourly_views(spark: SparkSession, path: str, projects: dict[str, bool], mode: str = "strict") -> tuple[DataFrame, DataFrame]:
-    """Hourly counts of the projects (name -> mobile); the file's name gives the end of its hour.
+def read_hourly_views(spark: SparkSession, path: str, projects: dict[str, bool], mode: str = "strict", named_by: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Hourly counts of the projects (name -> mobile); the name of the file (or its folder) gives the end of its hour.
 
     Namespaces are dropped by the raw title, before it is made canonical; titles that then are empty go."""
-    f = fields_of(spark, path, " ")
+    f = fields_of(spark, path, " ", named_by)
     error = F.coalesce(width_error(4), F.when(F.get("f", F.lit(2)).try_cast("long").isNull(), F.lit("count is no number")))
     good, bad = check_rows(f, error, mode)
     own = good.where(F.get("f", F.lit(0)).isin(*projects) & S.is_content_title(F.get("f", F.lit(1))))
@@ -97,24 +99,26 @@ def read_clickstream(spark: SparkSession, path: str, mode: str = "strict") -> tu
     return own.where("kind = 'link' and n is not null"), bad
 
 
-def read_gkg(spark: SparkSession, path: str) -> DataFrame:
-    """Article records from zip archives, one a slot. A broken archive gives no rows."""
+def read_gkg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(article records, broken archives by path) from zip archives, one a slot. A broken archive gives no records."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
+                name = batch.column(0)[i].as_py()
                 try:
-                    with zipfile.ZipFile(io.BytesIO(batch.column(0)[i].as_py())) as z:
-                        text = b"\n".join(z.read(n) for n in z.namelist()).decode("utf-8", "replace")
+                    with zipfile.ZipFile(io.BytesIO(batch.column(1)[i].as_py())) as z:
+                        text = b"\n".join(z.read(n) for n in z.namelist()).decode("utf-8", "replace").split("\n")
                 except (zipfile.BadZipFile, EOFError, OSError):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(text.split("\n"), type=pa.string())], names=["line"])
+                    text = [None]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(text)), pa.array(text, type=pa.string())], names=["path", "line"])
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content").mapInArrow(lines, "line string")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInArrow(lines, "path string, line string")
     record = S.article_record(F.split("line", "\t", -1))
-    return raw.select(record.alias("r")).where("r is not null").select("r.*")
+    return raw.select(record.alias("r")).where("r is not null").select("r.*"), raw.where("line is null").select("path")
 
 
+#: What names common stock, and the exchanges by their letter.
 COMMON = ("common stock", "common shares", "ordinary shares", "class a common", "class b common", "class c common")
 EXCHANGES = {"N": "NYSE", "A": "NYSE American"}
 

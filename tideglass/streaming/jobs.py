@@ -74,7 +74,7 @@ def parity(stream: DataFrame, batch: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("stream")).unionByName(b.exceptAll(a).withColumn("side", F.lit("batch")))
 
 
-def live_cycle(pending: DataFrame, ledger: DataFrame, views: DataFrame, baseline: DataFrame, now: str, limit: int = 10_000) -> dict[str, DataFrame]:
+def live_cycle(pending: DataFrame, ledger: DataFrame, views: DataFrame, baseline: DataFrame, now: str, limit: int | None = None) -> dict[str, DataFrame]:
     """One round of the batch side: hours to fetch, windows that are due and their decisions, and windows that expire."""
     due = A.due_candidates(pending, ledger, views, limit)
     return {"missing": A.missing_hours(pending, views, now, 24), "decisions": A.decide(due, baseline), "expired": A.expired(pending, ledger, now)}
