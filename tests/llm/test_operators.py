@@ -335,33 +335,44 @@ def test_suffix_against_all_windows(spark, awkward):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
-def test_topk_against_all_scores(spark, monkeypatch):
+def test_topk_against_all_scores(spark):
     import random
 
     import numpy as np
 
-    monkeypatch.setattr(topk, "QUERIES", 7)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(600)] + [(1000 + i, rng.normal(0, 0.2, 5).tolist()) for i in range(60)]
-    rows += [(700, rows[3][1]), (701, rows[3][1]), (50, rows[3][1]), (750, None), (751, [None] * 16), (800, [float("nan")] * 16), (850, [float("inf")] * 16), (900, []), (None, rows[3][1]), (2000, [0.0, 900.0, -3.5]), (2001, [1.0, -70.0, 2.0]), (2002, [1.0, 1e4, 2.0])]
+    rows += [(700, rows[3][1]), (701, rows[3][1]), (50, rows[3][1]), (50, rows[3][1]), (50, rows[50][1]), (750, None), (751, [None] * 16), (800, [float("nan")] * 16), (850, [float("inf")] * 16), (900, []), (None, rows[3][1]), (2000, [0.0, 900.0, -3.5]), (2001, [1.0, -70.0, 2.0]), (2002, [1.0, 1e4, 2.0])]
+    rows += [(2050, [1e13, -1e13]), (2051, [1e13, 1e13]), (2052, [1e13, -9e12]), (2100, [1e14, 0.0]), (2053, [0.0, 0.0])]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(3)
-    valid = [(i, np.floor(np.array(v) * 256).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    expected, seen = [], set()
-    for i, q in valid:
-        if i % 50 == 0 and (i, q.tobytes()) not in seen:
-            seen.add((i, q.tobytes()))
-    got = topk.search(df, every=50, k=5).collect()
-    by_query = defaultdict(list)
-    for r in got:
-        by_query[r.query_id].append((r.rank, r.vec_id, r.score))
-    for i, q in valid:
-        if i % 50 == 0 and i != 50:
-            best = sorted(((-int(q @ v), j) for j, v in valid if j != i and len(v) == len(q)))[:5]
-            assert sorted(by_query[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)], i
+    valid = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) and abs(x) <= 2**52 / 256 for x in v)]
+    held = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    expected = Counter()
+    for n, (i, q) in enumerate(valid):
+        if i % 50 == 0:
+            best = sorted((-held(sum(a * b for a, b in zip(q, v, strict=True))), j) for m, (j, v) in enumerate(valid) if m != n and len(v) == len(q))[:5]
+            expected[i, tuple((r + 1, j, -s) for r, (s, j) in enumerate(best))] += 1
+    got = defaultdict(list)
+    for r in topk.search(df, every=50, k=5).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for i in {i for i, _ in expected}:
+        assert sorted(got[i]) == sorted(x for (j, own), n in expected.items() if j == i for x in own * n), i
     assert topk.search(df.where("false")).count() == 0
 
 
+def test_topk_over_several_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = (rng.integers(-300, 300, (5000, 8)) / 256).round(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    whole = np.floor(x * 256).astype(np.int64)
+    scores = whole[::5] @ whole.T  # more queries than a block holds
+    want = {(5 * q, r + 1, int(j), int(scores[q, j])) for q in range(1000) for r, j in enumerate([j for j in np.lexsort((np.arange(5000), -scores[q])) if j != 5 * q][:3])}
+    assert {tuple(r) for r in topk.search(df, every=5, k=3).collect()} == want
+
+
 def test_containment_against_all_pairs(spark, awkward):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

@@ -6,16 +6,18 @@ with carry-save bitmap arithmetic, once for each bit of its weight (of the compl
 gives the slices of a quantised score. The k-th largest quantised score is found from the most significant slice
 down; rows that lie within the quantisation error of it are the boundary, and their scores are computed exactly.
 
-Every row is indexed (recall 1). Queries go through in broadcast parts of at most QUERIES rows against all blocks; each
-block returns k rows a query, and a ranked window merges them.
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; only vectors of a
-query's own dimension are candidates; rows with the query's own id are not; ties go to the smaller id; repeated rows
-of another id each count; a null id takes no part. Components beyond 2**52 / scale are not supported.
+Every row is indexed (recall 1). Queries are packed into blocks too; blocks of rows are dealt to groups, every block of
+queries goes to each group, and the two meet by an equal key of vector length and group. Each pair of blocks returns k
+rows a query, and a ranked window merges them. Nothing passes through the driver.
+Defined cases: vectors that are null, empty, or hold components that are null, not finite or beyond 2**52 / scale take
+no part; only vectors of a query's own dimension are candidates; the query's own row is not; ties go to the smaller id;
+rows that share an id are each a candidate and each a query of their own; a null id takes no part; a score that passes
+64 bits is held to their ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import U64, stage
 
-#: Rows of a block, slices kept of each attribute, queries of one broadcast part.
-BLOCK, KEEP, QUERIES = 16_384, 6, 20_000
+#: Rows of a block, slices kept of each attribute, queries of a block.
+BLOCK, KEEP, QUERIES = 16_384, 6, 512
 
-INDEX = T.StructType([T.StructField("dims", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("x", T.BinaryType()), T.StructField("slices", T.BinaryType()), T.StructField("meta", T.BinaryType())])
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+INDEX = T.StructType([T.StructField("dims", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("no", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("rows", T.BinaryType()), T.StructField("x", T.BinaryType()), T.StructField("slices", T.BinaryType()), T.StructField("meta", T.BinaryType())])
+PACKED = T.StructType([T.StructField("dims", T.IntegerType()), T.StructField("q_ids", T.BinaryType()), T.StructField("q_rows", T.BinaryType()), T.StructField("q", T.BinaryType())])
+FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query_row", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def quantised(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     ok = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
-    ok = ok & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    ok = ok & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) > 2.0**52 / scale))
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"))
 
 
@@ -54,21 +58,24 @@ def sliced(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return maps.view(U64), np.stack([low, cut, np.minimum(bits, KEEP)], axis=1).astype(np.int64)
 
 
-def added(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
-    """Slices (least first) of the sum of bitmaps that are listed by their power of two."""
+def added(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray | None]:
+    """Slices (least first) of the sum of bitmaps [row of a stack, word] that are listed by their power of two; all full
+    adders of a power work at once."""
     out, power = [], 0
     while any(columns.values()):
-        own, up = columns.get(power, []), columns.setdefault(power + 1, [])
-        while len(own) >= 3:
-            a, b, c = own.pop(), own.pop(), own.pop()
+        up = columns.setdefault(power + 1, [])
+        own = columns[power] = columns.get(power) or []
+        stack = np.concatenate(own) if own else None
+        while stack is not None and len(stack) >= 3:
+            n = len(stack) // 3 * 3
+            a, b, c = stack[0:n:3], stack[1:n:3], stack[2:n:3]
             d = a ^ b
             up.append((a & b) | (d & c))
-            own.insert(0, d ^ c)
-        if len(own) == 2:
-            a, b = own
-            up.append(a & b)
-            own = [a ^ b]
-        out.append(own[0] if own else None)
+            stack = np.concatenate((d ^ c, stack[n:]))
+        if stack is not None and len(stack) == 2:
+            up.append((stack[0] & stack[1])[None])
+            stack = (stack[0] ^ stack[1])[None]
+        out.append(None if stack is None else stack[0])
         columns[power] = []
         power += 1
     return out
@@ -95,83 +102,94 @@ def boundary(slices: list[np.ndarray], every: np.ndarray, k: int, slack: int) ->
     return np.flatnonzero(np.unpackbits((above | equal).view(np.uint8), bitorder="little"))
 
 
-def best(q: np.ndarray, own: int, k: int, ids: np.ndarray, x: np.ndarray, maps: np.ndarray, meta: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the block's k best rows for a query."""
-    columns: dict[int, list[np.ndarray]] = {}
-    slack = 0
-    for j in np.flatnonzero(q):
-        weight, cut, kept = abs(int(q[j])), int(meta[j, 1]), int(meta[j, 2])
-        slack += weight * ((1 << cut) - 1)
-        bits = [p for p in range(weight.bit_length()) if weight >> p & 1]
-        for b in range(kept):
-            s = maps[j, b] if q[j] > 0 else ~maps[j, b]
-            for p in bits:
-                columns.setdefault(p + b + cut, []).append(s)
+def best(q: np.ndarray, own: int, k: int, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, maps: np.ndarray, meta: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the block's k best rows for a query; own is the query's row. maps: the slices [attribute * KEEP + b, word],
+    and after them their complements."""
+    j = np.flatnonzero(q)
+    weight, (_, cut, kept) = np.abs(q[j]), meta[j].T
+    slack = int(sum(int(w) * ((1 << int(c)) - 1) for w, c in zip(weight, cut, strict=True)))
+    at, bit = np.nonzero(weight[:, None] >> np.arange(64) & 1)
+    which, b = np.repeat(np.arange(len(at)), kept[at]), np.arange(kept[at].sum()) - np.repeat(np.cumsum(kept[at]) - kept[at], kept[at])
+    of = at[which]
+    power = bit[which] + b + cut[of]
+    line = j[of] * KEEP + b + np.where(q[j[of]] < 0, len(maps) // 2, 0)
+    columns = {int(p): [maps[line[power == p]]] for p in np.unique(power)}
     slices = [None if s is None else s & every for s in added(columns)]
-    rows = boundary(slices, every, k + int((ids == own).sum()), slack)
-    rows = rows[ids[rows] != own]
-    scores = x[rows] @ q
-    order = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows][order], scores[order]
+    inside = bool((rows == own).any())
+    near = boundary(slices, every, k + inside, slack)
+    near = near[rows[near] != own]
+    if len(q) * float(np.abs(q).max(initial=0)) * float(np.abs(x[near]).max(initial=0)) < 2.0**62:
+        scores = x[near] @ q
+    else:
+        whole = x[near].astype(object) @ q.astype(object)
+        scores = np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in whole], dtype=np.int64)
+    order = np.lexsort((ids[near], np.invert(scores)))[:k]
+    return ids[near][order], scores[order]
 
 
 def index(vectors: DataFrame) -> DataFrame:
-    """Blocks of all rows of (vec_id, x), made where the rows lie, without a shuffle."""
+    """Blocks of all rows of (vec_id, row, x), made where the rows lie, without a shuffle."""
+
+    def block(ids: np.ndarray, rows: np.ndarray, x: np.ndarray) -> list:
+        maps, meta = sliced(x)
+        return [x.shape[1], len(ids), int(rows.min()), ids.tobytes(), rows.tobytes(), x.tobytes(), maps.tobytes(), meta.tobytes()]
+
+    return vectors.mapInArrow(blocked(BLOCK, block, INDEX), INDEX)
+
+
+def packed(queries: DataFrame) -> DataFrame:
+    """Blocks of queries, made where they lie."""
+    return queries.mapInArrow(blocked(QUERIES, lambda ids, rows, x: [x.shape[1], ids.tobytes(), rows.tobytes(), x.tobytes()], PACKED), PACKED)
+
+
+def blocked(size: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray], list], schema: T.StructType) -> Callable:
+    """Rows of (vec_id, row, x) gathered by vector length, size at a time, each made into one row."""
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, list[int]]]] = {}
+        held: dict[int, list[tuple[int, int, list[int]]]] = {}
         for batch in batches:
-            for vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = held.setdefault(len(x), [])
-                own.append((vec_id, x))
-                if len(own) == BLOCK:
-                    yield block(held.pop(len(x)))
-        for own in held.values():
-            yield block(own)
-
-    def block(own: list[tuple[int, list[int]]]) -> pa.RecordBatch:
-        ids, x = np.array([i for i, _ in own], dtype=np.int64), np.array([v for _, v in own], dtype=np.int64)
-        maps, meta = sliced(x)
-        one = [[x.shape[1]], [len(ids)], [ids.tobytes()], [x.tobytes()], [maps.tobytes()], [meta.tobytes()]]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(one, kinds, strict=True)], names=INDEX.names)
+            for own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = held.setdefault(len(own[2]), [])
+                rows.append(own)
+                if len(rows) == size:
+                    yield one(held.pop(len(own[2])))
+        for rows in held.values():
+            yield one(rows)
+
+    def one(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+        ids, numbers, x = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(make(ids, numbers, x), kinds, strict=True)], names=schema.names)
 
-    return vectors.mapInArrow(run, INDEX)
+    return run
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each row whose id is divisible by every."""
-    rows = quantised(vectors, id_col, vector, scale)
+    spark = vectors.sparkSession
+    rows = stage(quantised(vectors, id_col, vector, scale).select("vec_id", F.monotonically_increasing_id().alias("row"), "x"), "rows")
     blocks = stage(index(rows), "index")
-    queries = stage(rows.where(F.col("vec_id") % every == 0).distinct(), "queries")
-    n = queries.count()
-    parts, out = max(1, -(-n // QUERIES)), None
-    for part in range(parts):
-        own = queries.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(parts)) == part).collect() if parts > 1 else queries.collect()  # about QUERIES rows
-        by_dims: dict[int, list] = {}
-        for r in own:
-            by_dims.setdefault(len(r.x), []).append((r.vec_id, r.x))
-        packed = {d: (np.array([i for i, _ in q], dtype=np.int64), np.array([v for _, v in q], dtype=np.int64)) for d, q in by_dims.items()}
-        shared = vectors.sparkSession.sparkContext.broadcast(packed)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    dims, n, ids, x, maps, meta = (batch.column(j)[i].as_py() for j in range(6))
-                    if dims not in shared.value:
-                        continue
-                    ids, x, meta = np.frombuffer(ids, dtype=np.int64), np.frombuffer(x, dtype=np.int64).reshape(n, dims), np.frombuffer(meta, dtype=np.int64).reshape(dims, 3)
-                    maps = np.frombuffer(maps, dtype=U64).reshape(dims, KEEP, -1)
-                    whole = np.zeros(maps.shape[2] * 8, dtype=np.uint8)
-                    bits = np.packbits(np.ones(n, dtype=np.uint8), bitorder="little")
-                    whole[: len(bits)] = bits
-                    whole, rows = whole.view(U64), ([], [], [])
-                    for q_id, q in zip(*shared.value[dims], strict=True):
-                        got, scores = best(q, int(q_id), k, ids, x, maps, meta, whole)
-                        rows[0].append(np.full(len(got), q_id)), rows[1].append(got), rows[2].append(scores)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r).astype(np.int64)) for r in rows], names=FOUND.names)
-
-        found = blocks.mapInArrow(run, FOUND)
-        out = found if out is None else out.unionByName(found)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    groups = max(1, min(blocks.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("no"), F.lit(groups)))
+    queries = packed(rows.where(F.col("vec_id") % every == 0)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dims, n, ids, numbers, x, maps, meta, q_ids, q_rows, q = (c[i].as_py() for c in batch.columns)
+                ids, numbers, q_ids, q_rows = (np.frombuffer(v, dtype=np.int64) for v in (ids, numbers, q_ids, q_rows))
+                x, meta, q = np.frombuffer(x, dtype=np.int64).reshape(n, dims), np.frombuffer(meta, dtype=np.int64).reshape(dims, 3), np.frombuffer(q, dtype=np.int64).reshape(-1, dims)
+                maps = np.frombuffer(maps, dtype=U64).reshape(dims * KEEP, -1)
+                whole = np.zeros(maps.shape[1] * 8, dtype=np.uint8)
+                bits = np.packbits(np.ones(n, dtype=np.uint8), bitorder="little")
+                whole[: len(bits)] = bits
+                whole, maps, out = whole.view(U64), np.concatenate((maps, ~maps)), ([], [], [], [])
+                for q_id, q_row, one in zip(q_ids, q_rows, q, strict=True):
+                    got, scores = best(one, int(q_row), k, ids, numbers, x, maps, meta, whole)
+                    for o, v in zip(out, (np.full(len(got), q_id), np.full(len(got), q_row), got, scores), strict=True):
+                        o.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=FOUND.names)
+
+    with_queries = blocks.join(queries, ["dims", "part"]).select("dims", "n", "ids", "rows", "x", "slices", "meta", "q_ids", "q_rows", "q")
+    place = F.row_number().over(W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
+    return with_queries.mapInArrow(run, FOUND).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
