@@ -297,6 +297,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, *none).count() == 0
 
 
+def test_warc_shards_of_far_ids(spark, tmp_path):
+    """Ids in clumps, one far away: every shard has its part, and the files do not hang on the session's cores."""
+    ids = [*range(500), 2**50, *range(10**9, 10**9 + 300), -(2**62), *[5 + 10**12 * i for i in range(100)]]
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} " * 200) for i in ids], "page_id long, url string, html string")
+    root, manifest = warc.write(pages, str(tmp_path / "a"), shards=8)
+    records = {}
+    for r in manifest.collect():
+        records[r.file[:12]] = records.get(r.file[:12], 0) + r.records
+    assert sum(records.values()) == len(ids) and len(records) == 8 and max(records.values()) < 2.5 * len(ids) / 8
+    again = warc.write(pages.coalesce(1), str(tmp_path / "b"))[1], warc.write(pages.repartition(7), str(tmp_path / "c"))[1]
+    assert sorted(map(tuple, again[0].collect())) == sorted(map(tuple, again[1].collect()))
+    assert [r.page_id for r in warc.read(spark, root, manifest).where("page_id = -4611686018427387904").collect()] == [-(2**62)]
+    (tmp_path / "a" / manifest.first().file).unlink()
+    with pytest.raises(FileNotFoundError, match="manifest"):
+        warc.read(spark, root, manifest)
+
+
 def test_warc_small_payloads_stay_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "long enough"), (4, "d", "long enough")], "page_id long, url string, html string")
     out = {r.page_id: r.record_type for r in warc.read(spark, *warc.write(pages, str(tmp_path / "s"), dedup_bytes=5)).collect()}

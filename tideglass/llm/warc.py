@@ -1,12 +1,12 @@
 """Deterministic sharded WARC files, written and read back.
 
-Records are dealt to shards by ranges of their id, cut so that each shard has about the same number of payload bytes,
-and sorted within a shard; a shard's files roll when their compressed size passes `roll_bytes`. Headers and digests are
+Records are dealt to shards by ranges of their id, cut so that each shard has about the same number of payload bytes
+(ranges that weigh too much are cut again, so ids may be spread in any way), and sorted within a shard; a shard's files roll when their compressed size passes `roll_bytes`. Headers and digests are
 made anew, dates and record ids follow from the data, and gzip members carry no time, so equal input gives equal files. A
 file is written under a temporary name and renamed when whole, and a shard's files are listed in a manifest table that
 is committed last; readers take only files in the manifest. A task that is run again writes the same bytes again.
 
-Of records with equal payloads of at least `dedup_bytes`, that with the smallest page_id is the response and others are
+Payloads are equal if their SHA-1, their length and another 64-bit hash are. Of records with equal payloads of at least `dedup_bytes`, that with the smallest page_id is the response and others are
 revisits of it. Defined cases: null html is an empty payload; null urls have no target header; a null page_id sorts
 first and is never referred to while another is there; repeated rows: one response, the others revisit it.
 """
@@ -15,22 +15,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, small_or_shuffled, stage
+from .common import U64, fresh_path, small_or_shuffled, stage
 
-ROLL_BYTES, SHARD_BYTES = 64 << 20, 256 << 20
-#: Id ranges that are weighed to cut shards.
+ROLL_BYTES = 64 << 20
+#: Payload bytes of a shard: about the first of large archives, at least the second of small ones, which have up to SHARDS.
+SHARD_BYTES, LEAST_BYTES, SHARDS = 256 << 20, 4 << 20, 64
+#: Id ranges that are weighed at a time to cut shards.
 CELLS = 4096
 NAMESPACE = uuid.UUID("6c0a4c1e-7b0e-4b1f-9d53-0e6b6f7c2a11")
 DATE = "2024-01-01T00:00:00Z"
@@ -96,64 +99,112 @@ class Shard:
             self.out, self.number = None, self.number + 1
 
 
-def shard_starts(pages: DataFrame, shards: int) -> tuple[int, int, list[int]]:
-    """(smallest id, width of a cell, shard of each cell): cells are weighed by payload bytes."""
-    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return 0, 1, [0]
-    width = (hi - lo) // CELLS + 1
-    cell = F.expr(f"cast((page_id - {lo}L) div {width}L as int)")
-    weights = {r.cell: r.bytes for r in pages.where("page_id is not null").groupBy(cell.alias("cell")).agg(F.sum(F.col("size") + 512).alias("bytes")).collect()}  # at most CELLS rows
-    total, run, out = sum(weights.values()), 0, []
-    for c in range((hi - lo) // width + 1):
-        out.append(min(shards - 1, run * shards // max(1, total)))
-        run += weights.get(c, 0)
-    return lo, width, out
+def shard_starts(pages: DataFrame, shards: int) -> list[int]:
+    """First id of each shard but the first, in order; some shards may be empty. pages: page_id, size.
+
+    Ids are cut into equal ranges; a range that weighs more than a shard is cut again, until it is one id or light enough.
+    Ranges alone decide, so equal rows give equal shards. At most CELLS weights and as many for each round's heavy ranges
+    come to the driver, in at most 1 + 64 / log2(fan) rounds."""
+    weighed = pages.where("page_id is not null").select("page_id", (F.col("size") + 512).alias("bytes"))
+    lo, hi, total = weighed.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    if lo is None or shards < 2:
+        return []
+    limit, done, todo = max(1, total // shards), [], [(lo, hi + 1)]
+    while todo:
+        fan = max(16, CELLS // len(todo))
+        steps = [max(1, -(-(b - a) // fan)) for a, b in todo]
+        found = spans_of(weighed, todo, steps)
+        again = []
+        for k, cell, size in found:
+            a = todo[k][0] + cell * steps[k]
+            b = min(a + steps[k], todo[k][1])
+            if size > limit and b - a > 1:
+                again.append((a, b))
+            else:
+                done.append((a, size))
+        todo = again
+    starts, run, number = [], 0, 0
+    for a, size in sorted(done):
+        while number + 1 < shards and run * shards >= (number + 1) * total:
+            number += 1
+            starts.append(a)
+        run += size
+    return starts
+
+
+def spans_of(weighed: DataFrame, spans: list[tuple[int, int]], steps: list[int]) -> list[tuple[int, int, int]]:
+    """(number of the span, cell in it, bytes) of the rows in spans, which are cut into cells of steps ids."""
+    first, last = np.array([a for a, _ in spans], dtype=np.int64), np.array([b - 1 for _, b in spans], dtype=np.int64)
+    wide = np.array(steps, dtype=U64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            k = np.searchsorted(first, ids, side="right") - 1
+            inside = (k >= 0) & (ids <= last[k])
+            k, ids, size = k[inside], ids[inside], size[inside]
+            cell = (ids.view(U64) - first[k].view(U64)) // wide[k]  # differences may pass 63 bits
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(cell.astype(np.int64)), pa.array(size)], names=["k", "cell", "bytes"])
+
+    rows = weighed.mapInArrow(run, "k int, cell long, bytes long").groupBy("k", "cell").agg(F.sum("bytes").alias("bytes")).collect()
+    return sorted((r.k, r.cell, r.bytes) for r in rows)
+
+
+def qualified(spark, root: str) -> str:
+    """root with the scheme of the session's default file system, if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
 
 
 def write(pages: DataFrame, root: str | None = None, id_col: str = "page_id", url: str = "url", html: str = "html", dedup_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> tuple[str, DataFrame]:
     """(folder, manifest) of the archive of all rows."""
     spark = pages.sparkSession
-    root = (root or fresh_path(spark, "warc")).rstrip("/")
-    uri = root if "://" in root else f"file://{os.path.abspath(root.removeprefix('file:'))}"
-    fs, at = pafs.FileSystem.from_uri(uri)
+    root = qualified(spark, (root or fresh_path(spark, "warc")).rstrip("/"))
+    fs, at = pafs.FileSystem.from_uri(root)
     fs.create_dir(at)
+    same_as = ["digest", "check", "size"]
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    keyed = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    keyed = stage(keyed, "digests")
+    keys = [F.sha1("html").alias("digest"), F.xxhash64("html").alias("check"), F.octet_length("html").cast("long").alias("size")]
+    keyed = stage(rows.select("page_id", *keys), "digests")
     if shards is None:
-        size = keyed.agg(F.sum("size")).first()[0] or 0
-        shards = max(-(-size // SHARD_BYTES), 4 * spark.sparkContext.defaultParallelism)
-    lo, width, starts = shard_starts(keyed, shards)
-    same = keyed.where(F.col("size") >= dedup_bytes).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    same = stage(same, "equal")
-    rows = rows.withColumn("digest", F.sha1("html")).join(small_or_shuffled(same), F.col("digest") == F.col("of"), "left")
+        total = keyed.agg(F.sum("size")).first()[0] or 0
+        shards = max(-(-total // SHARD_BYTES), min(SHARDS, -(-total // LEAST_BYTES)), 1)
+    starts = np.array(shard_starts(keyed, shards), dtype=np.int64)
+    same = keyed.where(F.col("size") >= dedup_bytes).groupBy(*same_as).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.select("*", *keys).join(small_or_shuffled(stage(same, "equal")), same_as, "left")
     # Rows that share the smallest id: the first in order is the response.
-    twice = stage(keyed.groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("t_id"), F.col("digest").alias("t_digest")), "twice")
+    twice = stage(keyed.groupBy("page_id", *same_as).agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("t_id"), F.col("digest").alias("t_digest"), F.col("check").alias("t_check")), "twice")
     if twice.isEmpty():
         rows = rows.withColumn("copy", F.lit(1))
     else:
-        numbered = rows.join(small_or_shuffled(twice), F.col("page_id").eqNullSafe(F.col("t_id")) & (F.col("digest") == F.col("t_digest")), "left")
+        numbered = rows.join(small_or_shuffled(twice), F.col("page_id").eqNullSafe(F.col("t_id")) & (F.col("digest") == F.col("t_digest")) & (F.col("check") == F.col("t_check")), "left")
         many = numbered.where("t_digest is not null").withColumn("salt", F.monotonically_increasing_id())
-        best = many.groupBy("page_id", "digest").agg(F.min(F.struct("url", "salt")).alias("best")).select(F.col("page_id").alias("b_id"), F.col("digest").alias("b_digest"), F.col("best.url").alias("b_url"))
+        best = many.groupBy("page_id", "digest", "check").agg(F.min(F.struct("url", "salt")).alias("best")).select(F.col("page_id").alias("b_id"), F.col("digest").alias("b_digest"), F.col("check").alias("b_check"), F.col("best.url").alias("b_url"))
         # Of rows alike in id and payload the one with the smallest url answers; rows alike in all are told apart by the writer.
-        numbered = numbered.join(small_or_shuffled(stage(best, "best")), F.col("page_id").eqNullSafe(F.col("b_id")) & (F.col("digest") == F.col("b_digest")), "left")
+        numbered = numbered.join(small_or_shuffled(stage(best, "best")), F.col("page_id").eqNullSafe(F.col("b_id")) & (F.col("digest") == F.col("b_digest")) & (F.col("check") == F.col("b_check")), "left")
         rows = numbered.withColumn("copy", F.when(F.col("t_digest").isNull(), 1).when(F.col("url").eqNullSafe(F.col("b_url")), 0).otherwise(2))
-    shard = F.coalesce(F.get(F.lit(starts), F.expr(f"cast((page_id - {lo}L) div {width}L as int)")), F.lit(0))
-    dealt = rows.select(shard.alias("shard"), "page_id", "digest", "copy", "url", "html", "first", "n").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "copy", "url")
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, page_id, side="right"))
+
+    # A null id is no number to search for, so it does not go through as one.
+    shard = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long"))))
+    dealt = rows.select(shard.alias("shard"), "page_id", "digest", "check", "copy", "url", "html", "first", "n").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "check", "copy", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done, last = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                number, page_id, digest, copy, target, text, first, n = (batch.column(j)[i].as_py() for j in range(8))
+                number, page_id, digest, check, copy, target, text, first, n = (batch.column(j)[i].as_py() for j in range(9))
                 if own is None or own.shard != number:
                     if own:
                         own.close()
                         done += own.done
-                    own = Shard(uri, number, roll_bytes)
-                again = (page_id, digest) == last  # a row alike in id and payload went before
-                last = (page_id, digest)
+                    own = Shard(root, number, roll_bytes)
+                again = (page_id, digest, check) == last  # a row alike in id and payload went before
+                last = (page_id, digest, check)
                 revisit = n is not None and (page_id != first or copy == 2 or (copy == 0 and again))
                 own.add(record(page_id, target, text.encode("utf-8", "surrogatepass"), first, revisit))
         if own:
@@ -191,10 +242,16 @@ READ = T.StructType([
 
 
 def read(spark, root: str, manifest: DataFrame | None = None, payload: bool = True) -> DataFrame:
-    """The records of an archive's files that its manifest lists; digests of blocks and payloads are checked."""
+    """The records of an archive's files that its manifest lists; digests of blocks and payloads are checked. A listed file
+    that is not there is an error."""
+    root = qualified(spark, root)
     manifest = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest") if manifest is None else manifest
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(root)
-    listed = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(small_or_shuffled(manifest), "file", "left_semi").select("content")
+    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    lost = manifest.join(files.select("file"), "file", "left_anti").limit(1).collect()
+    if lost:
+        raise FileNotFoundError(f"{lost[0].file} of {root} is in the manifest, but not there")
+    listed = files.join(small_or_shuffled(manifest), "file", "left_semi").select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
