@@ -219,7 +219,7 @@ def base_secrets(text):
 def test_secrets_base_spans(spark, awkward):
     odd = ["password = token: abc", "🙂 API-KEY='abcdef1' Secret:\"zzzzzz\" token:short", "AKIA" + "A" * 15, "xAKIA" + "B7" * 10 + " AKIAAKIA", "f" * 23 + " " + "0a" * 12 + "g", "passwd  :   hunter2hunter2=token:aaaaaaaa", "é" * 5 + "secret=" + "q" * 8 + "🙂token=" + "r" * 9]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text")).unionByName(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
-    out = secrets.find_secrets(docs, table=secrets.train(docs)).collect()
+    out = secrets.find_secrets(docs, model=secrets.train(docs)).collect()
     for r in out:
         spans = [(s.start, s.rank, s.stop, s.kind) for s in r.secrets]
         assert spans == sorted(spans)
@@ -239,9 +239,9 @@ def test_secrets_by_models(spark):
     plain = ["_".join(rng.choice(names) for _ in range(6)) + "1" for _ in range(50)]
     table = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
     test = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(fresh + plain)], "doc_id long, text string")
-    got = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.find_secrets(test, table=table).collect()}
+    got = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.find_secrets(test, model=table).collect()}
     assert sum(bool(got[i]) for i in range(50)) >= 45 and not any(got[i] for i in range(50, 100))
-    clean = {r.doc_id: r.text for r in secrets.redact(test, table=table).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(test, model=table).collect()}
     assert clean[0] == "see [SECRET] here" and clean[60] == f"see {plain[10]} here"
 
 
@@ -255,7 +255,58 @@ def test_secrets_learn_from_all_rows_that_hold_one(spark):
     rows = [(i, line()) for i in range(3000)] + [(3000 + i, f"{line()} token={key()}") for i in range(30)]
     table = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"), sample=20)
     test = spark.createDataFrame([(i, f"see {key()} here") for i in range(50)], "doc_id long, text string")
-    assert table is not None and sum(r.secrets[0].kind == "markov" for r in secrets.find_secrets(test, table=table).collect() if r.secrets) >= 40
+    assert table is not None and sum(r.secrets[0].kind == "markov" for r in secrets.find_secrets(test, model=table).collect() if r.secrets) >= 40
+
+
+def test_planted_random_tokens_are_found(spark):
+    """Random tokens of several kinds among real documents; the threshold is set on tokens that were held out."""
+    import random
+    import string
+
+    rng = random.Random(12)
+    kinds = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/", "0123456789ABCDEF"]
+    key = lambda k, n: "".join(rng.choice(kinds[k]) for _ in range(n))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
+    rows, planted = [], {}
+    for i, t in enumerate(texts):
+        if i % 10 == 0:
+            rows.append((i, f"{t} token={key(i // 10 % 4, 36)}"))
+        elif i % 10 == 1:
+            planted[i] = len(t) + 5, len(t) + 5 + 32
+            rows.append((i, f"{t} key {key(i // 10 % 4, 32)} end"))
+        else:
+            rows.append((i, t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.train(docs)
+    assert model.recall >= 0.9
+    out = {r.doc_id: [(s.start, s.stop) for s in r.secrets if s.kind == "markov"] for r in secrets.find_secrets(docs, model=model).collect()}
+    assert sum(span in out[i] for i, span in planted.items()) >= 0.9 * len(planted)
+    assert sum(bool(own) for i, own in out.items() if i not in planted) < len(rows) / 200
+
+
+def test_markov_ratios_against_a_plain_version(spark):
+    import math
+
+    docs = spark.createDataFrame([(1, "token=Zx9Qk2Lm8Vb token=P0oT7yR5wX1 secret: QzX83jKd0LmN"), (2, "reader_station configuration value_of_index another_handle"), (3, "version request handler nation")], "doc_id long, text string")
+    tokens = secrets.labelled_tokens(docs).collect()
+    assert {r.token for r in tokens if r.secret} == {"Zx9Qk2Lm8Vb", "P0oT7yR5wX1", "QzX83jKd0LmN"}
+    used = [c for c in map(chr, range(128)) if c.isalnum() or c in "+/_=-."]
+    n = {True: Counter(), False: Counter()}
+    for r in tokens:
+        w = 1 if r.secret or r.n > 1 else secrets.ONCE
+        for t, v in [(r.token, w)] + [(r.token.upper(), w * secrets.ONCE)] * (not r.secret):
+            for i in range(len(t) - 1):
+                n[r.secret][t[i : i + 2]] += v * (not r.held)
+
+    def chance(label, a, b):
+        total = sum(n[label].values())
+        single = (sum(v for k, v in n[label].items() if k[1] == b) + 0.5) / (total + 0.5 * len(used))
+        back = 64 if label else 4
+        return math.log((n[label][a + b] + back * single) / (sum(v for k, v in n[label].items() if k[0] == a) + back))
+
+    model = secrets.train(docs)
+    for a, b in (("Z", "x"), ("r", "e"), ("_", "s"), ("9", "Q"), ("q", "q")):
+        assert abs(model.ratios[ord(a) * 128 + ord(b)] - (chance(True, a, b) - chance(False, a, b))) < 1e-9
 
 
 def test_secrets_sample_is_of_distinct_texts(spark):

@@ -4,7 +4,11 @@ Base kinds are patterns (assign, access, hex); matches that are too short are dr
 spans of kind markov: long tokens whose characters follow a model of random strings rather than one of ordinary
 identifiers, by the log-likelihood ratio of their character pairs. Both models are counted from labelled tokens: the values that
 base patterns find in any document are random strings; all other tokens of a sample of documents are ordinary
-identifiers. Only these are sampled: distinct texts whose hash falls below a fraction chosen so that about SAMPLE stay.
+identifiers, but one that a single text holds counts little (a secret that nobody labelled is such a one), and each
+counts a little in capitals too. A run of digits is a number and is not judged. Only ordinary ones are sampled: distinct texts whose hash falls below a fraction chosen so that about SAMPLE stay.
+One labelled token in HELD is not counted but judged by the models: the ratio a character that a token must reach is the one
+that no more than WRONG of the ordinary tokens held out pass (of those that two texts hold; shorter ones too, whose ratios
+spread more). A token must also carry TOTAL in all, the odds that outweigh how seldom a token is a secret.
 
 Positions are code points, end exclusive. Defined cases: null text is empty; repeated rows give repeated results;
 without labelled tokens of both kinds nothing is added.
@@ -13,24 +17,32 @@ without labelled tokens of both kinds nothing is added.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Cheap necessary conditions: texts without them have no span of the kind that is long enough.
 MAY = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-#: Tokens that the models judge.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that the models judge: shorter ones cannot carry TOTAL against usual text.
+LEAST = 16
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Distinct texts that ordinary identifiers are learned from, about.
 SAMPLE = 20_000
-#: The ratio must be at least so much in all, and so much a character.
-TOTAL, EACH = 15.0, 0.75
-#: Pairs that the frequency of the second character counts as.
-BACK = 4.0
+#: The ratio in all (a token is random with odds of 3 million to one), and that a character where nothing was held out.
+TOTAL, EACH = 15.0, 0.25
+#: One labelled token in so many is held out; the share of ordinary ones, of SHORT characters at least, that may pass.
+HELD, WRONG, SHORT = 5, 0.001, 8
+#: What an ordinary token of a single text counts as, and any one in capitals.
+ONCE = 0.02
+#: Pairs that the frequency of the second character counts as: characters of random strings hardly hang together.
+BACK, BACK_RANDOM = 4.0, 64.0
 
 SPANS = "array<struct<start: bigint, stop: bigint>>"
 
@@ -99,8 +111,17 @@ def ordinary_texts(docs: DataFrame, sample: int) -> DataFrame:
     return docs.distinct()
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[float] | None:
-    """Log-likelihood ratio (random to ordinary) of each pair of characters, 128 * 128 of them."""
+class Model(NamedTuple):
+    """ratios: log-likelihood ratio (random to ordinary) of each pair of characters, 128 * 128 of them; each: least a character;
+    recall: share of the random tokens held out that reach it (null without such tokens)."""
+
+    ratios: list[float]
+    each: float
+    recall: float | None
+
+
+def labelled_tokens(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(secret, token, n, held), each token once with the number of texts that hold it: what base patterns find in all documents, and all else in a sample of them."""
     docs = docs.select(F.col(text).alias("text")).where("text is not null")
     t = F.col("text")
     values = F.array_distinct(F.concat(
@@ -112,17 +133,36 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[flo
     random = docs.where(may).select(F.explode(F.filter(values, lambda x: F.char_length(x) >= 8)).alias("token"))
     labelled = ordinary_texts(docs, sample).select(values.alias("random"), F.array_distinct(F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("tokens"))
     ordinary = labelled.select(F.explode(F.filter("tokens", lambda x: ~F.exists("random", lambda r: x.contains(r) | r.contains(x)))).alias("token"))
-    tokens = random.select(F.lit(True).alias("secret"), "token").union(ordinary.select(F.lit(False), "token")).distinct()
-    counted = tokens.select("secret", F.explode(pairs_of(F.col("token"))).alias("pair")).groupBy("secret", "pair").count().collect()  # at most 2 * 128 * 128 rows
-    tables = {label: {r.pair: r["count"] for r in counted if r.secret == label} for label in (True, False)}
+    tokens = random.select(F.lit(True).alias("secret"), "token").union(ordinary.select(F.lit(False), "token")).groupBy("secret", "token").agg(F.count("*").alias("n"))
+    return tokens.withColumn("held", F.pmod(F.xxhash64("token"), F.lit(HELD)) == 0)
+
+
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model | None:
+    """The models and their threshold; none without labelled tokens of both kinds."""
+    tokens = stage(labelled_tokens(docs, text, sample), "tokens")
+    own = F.when(F.col("secret") | (F.col("n") > 1), F.lit(1.0)).otherwise(ONCE)
+    said = F.struct("token", own.alias("w"))
+    kinds = F.when(F.col("secret"), F.array(said)).otherwise(F.array(said, F.struct(F.upper("token").alias("token"), (own * ONCE).alias("w"))))
+    pairs = tokens.where("not held").select("secret", F.explode(kinds).alias("x")).select("secret", "x.w", F.explode(pairs_of(F.col("x.token"))).alias("pair"))
+    counted = pairs.groupBy("secret", "pair").agg(F.sum("w").alias("n")).collect()  # at most 2 * 128 * 128 rows
+    tables = {label: {r.pair: r.n for r in counted if r.secret == label} for label in (True, False)}
     if not tables[True] or not tables[False]:
         return None
     used = [c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-."]
-    models = [conditional(tables[label], used) for label in (True, False)]
-    return [models[0][p] - models[1][p] if p in models[0] else 0.0 for p in range(128 * 128)]
+    models = [conditional(tables[True], used, BACK_RANDOM), conditional(tables[False], used, BACK)]
+    ratios = [models[0][p] - models[1][p] if p in models[0] else 0.0 for p in range(128 * 128)]
+    judged = tokens.where(F.col("held") & (F.char_length("token") >= F.when(F.col("secret"), LEAST).otherwise(SHORT)) & ~F.col("token").rlike("^[0-9]+$"))
+    judged = judged.where("secret or n > 1").select("secret", (total_of(F.col("token"), constant(ratios)) / F.char_length("token")).alias("each"))
+    each = judged.where("not secret").agg(F.percentile("each", F.lit(1 - WRONG))).first()[0]
+    each = EACH if each is None else max(0.0, float(each))
+    return Model(ratios, each, judged.where("secret").agg(F.avg((F.col("each") >= each).cast("double"))).first()[0])
 
 
-def conditional(counts: dict[int, int], used: list[int]) -> dict[int, float]:
+def constant(ratios: list[float]) -> Column:
+    return F.from_json(F.lit("[" + ",".join(f"{x:.4f}" for x in ratios) + "]"), "array<double>")
+
+
+def conditional(counts: dict[int, float], used: list[int], back: float) -> dict[int, float]:
     """Log-probability of each second character given the first; rare pairs fall back to how often the second occurs."""
     single = {b: sum(counts.get(a * 128 + b, 0) for a in used) for b in used}
     total = sum(single.values())
@@ -130,21 +170,18 @@ def conditional(counts: dict[int, int], used: list[int]) -> dict[int, float]:
     out = {}
     for a in used:
         row = sum(counts.get(a * 128 + b, 0) for b in used)
-        out |= {a * 128 + b: math.log((counts.get(a * 128 + b, 0) + BACK * single[b]) / (row + BACK)) for b in used}
+        out |= {a * 128 + b: math.log((counts.get(a * 128 + b, 0) + back * single[b]) / (row + back)) for b in used}
     return out
 
 
-def markov_spans(text: Column, table: list[float] | None) -> Column:
+def markov_spans(text: Column, model: Model | None) -> Column:
     """Tokens that look random."""
-    if table is None:
+    if model is None:
         return F.array().cast(SPANS)
-    ratios = F.from_json(F.lit("[" + ",".join(f"{x:.4f}" for x in table) + "]"), "array<double>")
+    ratios = constant(model.ratios)
     matches = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
-
-    def judged(m: Column) -> Column:
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (total_of(m, ratios) >= F.greatest(F.lit(TOTAL), EACH * F.char_length(m)))
-
+    judged = lambda m: ~m.rlike("^[0-9]+$") & (total_of(m, ratios) >= F.greatest(F.lit(TOTAL), model.each * F.char_length(m)))
     rows = F.transform(
         F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")),
         lambda r: F.struct(F.char_length(r["g"]).cast("long").alias("gap"), F.char_length(r["m"]).cast("long").alias("len"), judged(r["m"]).alias("ok")),
@@ -152,11 +189,11 @@ def markov_spans(text: Column, table: list[float] | None) -> Column:
     return F.when(text.rlike(TOKEN), walked(rows)).otherwise(F.array().cast(SPANS))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", table: list[float] | None = None, out: str = "secrets") -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", model: Model | None = None, out: str = "secrets") -> DataFrame:
     """docs with out: array of (start, rank, stop, kind), ordered; markov spans only where they meet no base span."""
     t = F.coalesce(F.col(text), F.lit(""))
     names = {k: f"__{k}" for k in KINDS}
-    df = docs.withColumns({names[k]: c for k, c in base_spans(t).items()} | {names["markov"]: markov_spans(t, table)})
+    df = docs.withColumns({names[k]: c for k, c in base_spans(t).items()} | {names["markov"]: markov_spans(t, model)})
     base = F.concat(*[F.col(names[k]) for k in KINDS[:3]])
     df = df.withColumn(names["markov"], F.filter(names["markov"], lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))))
 
@@ -176,9 +213,9 @@ def count_of(secrets: Column, kind: str) -> Column:
     return F.size(F.filter(secrets, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(docs: DataFrame, text: str = "text", table: list[float] | None = None, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", model: Model | None = None, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span in text replaced by mask; overlapping spans become one. A null text stays null."""
-    found = find_secrets(docs, text, table, "__secrets")
+    found = find_secrets(docs, text, model, "__secrets")
     source = F.col(text)
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
