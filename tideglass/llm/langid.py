@@ -4,14 +4,17 @@ A text's most frequent n-grams (n = 1..3 over lower-cased letters, words bounded
 to a language is the sum over them of how far each is out of place in that language's profile, with the profile's
 length as the penalty for n-grams that it lacks. The nearest language wins, ties to the smaller name.
 
-Profiles are counted by grouped aggregation over a sample of the labelled rows: those whose hash falls below a
-fraction chosen so that about SAMPLE of them stay (all, if there are fewer).
+Profiles are counted by grouped aggregation over a sample of the labelled rows: of each language those whose hash falls
+below a fraction chosen so that about SAMPLE of them stay (all, if there are fewer), so rare languages are learned too.
+The profiles are one broadcast table of grams with the languages that rank them, LANGUAGES * TOP entries at most.
 Defined cases: null texts and texts without a letter give und and score 0; rows with null text or label are not learned
 from; with nothing to learn from every prediction is und.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,9 +26,9 @@ from .common import U64, append_columns
 
 #: N-grams of a profile, and of a document that are compared.
 TOP = 400
-#: Labelled rows that are learned from, about.
-SAMPLE = 8_000
-#: Languages that fit one broadcast table of profiles.
+#: Labelled rows of a language that are learned from, about.
+SAMPLE = 2_000
+#: Languages that fit one broadcast table of profiles (50 MB); more are an error.
 LANGUAGES = 10_000
 
 
@@ -47,7 +50,7 @@ LETTER = np.array([chr(p).isalpha() for p in range(0x250)])
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams, packed as 21 bits a letter, and how often each occurs."""
+    """Distinct n-grams, packed as 21 bits a letter (a blank is 0, so one before a gram adds nothing), and how often each occurs."""
     x = letters(text)
     if len(x) < 3:
         return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
@@ -88,36 +91,43 @@ def profiles(rows: DataFrame, text: str = "text", lang: str = "lang", top: int =
 SENT = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
-def sampled(rows: DataFrame, key: str, limit: int = SAMPLE) -> DataFrame:
-    """About limit rows, chosen by the hash of their key, spread over all partitions."""
-    n = rows.count()
-    if n <= limit:
+def sampled(rows: DataFrame, key: str, lang: str, limit: int = SAMPLE) -> DataFrame:
+    """About limit rows of each language, chosen by the hash of their key, spread over all partitions."""
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    shares = [(k, int(1_000_000 * limit / n)) for k, n in counts.items() if n > limit]
+    if not shares:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("profile")), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+    known = F.from_json(F.lit(json.dumps(dict(shares))), "map<string, int>")
+    least = F.coalesce(F.try_element_at(known, F.col(lang)), F.lit(1_000_000))
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("profile")), F.lit(1_000_000)) < least)
 
 
 def predict(docs: DataFrame, learned: DataFrame, text: str = "text", top: int = TOP) -> DataFrame:
     """docs with lang_pred and score (0 to 1: how much nearer the best language is than the worst distance there can be)."""
-    found = learned.orderBy("lang", "rank").limit(LANGUAGES * top).collect()  # bounded by languages times top
-    names = sorted({r.lang for r in found})
+    found = sorted((r.gram, r.lang, r.rank) for r in learned.collect())  # bounded: sampled() holds the languages, profiles() their grams
+    names = sorted({lang for _, lang, _ in found})
     number = {name: i for i, name in enumerate(names)}
-    vocabulary = np.unique(np.array([r.gram for r in found], dtype=np.int64).view(U64))
-    table = np.full((len(names), len(vocabulary) + 1), -1, dtype=np.int32)
-    for r in found:
-        table[number[r.lang], np.searchsorted(vocabulary, np.array([r.gram], dtype=np.int64).view(U64)[0])] = r.rank
-    shared = docs.sparkSession.sparkContext.broadcast((names, vocabulary, table))
+    keys = np.array([g for g, _, _ in found], dtype=np.int64).view(U64)
+    order = np.argsort(keys, kind="stable")
+    vocabulary, first = np.unique(keys[order], return_index=True)
+    langs, ranks = (np.array(x, dtype=np.int32)[order] for x in ([number[lang] for _, lang, _ in found], [rank for *_, rank in found]))
+    shared = docs.sparkSession.sparkContext.broadcast((names, vocabulary, np.append(first, len(keys)), langs, ranks))
 
     def one(t: str | None) -> tuple[str, float]:
-        names, vocabulary, table = shared.value
+        names, vocabulary, edge, langs, ranks = shared.value
         mine = ranked(*grams(t), top) if t and names else ()
         if not len(mine):
             return "und", 0.0
         at = np.minimum(np.searchsorted(vocabulary, mine), len(vocabulary) - 1)
-        at = np.where(vocabulary[at] == mine, at, len(vocabulary))
-        place = table[:, at]
-        distance = np.where(place < 0, top, np.abs(place - np.arange(len(mine)))).sum(axis=1)
-        best = int(distance.argmin())
-        return names[best], float(1 - distance[best] / (top * len(mine)))
+        have = np.flatnonzero(vocabulary[at] == mine)
+        counts = (edge[1:] - edge[:-1])[at[have]]
+        place = np.repeat(edge[at[have]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        # Every gram that a profile lacks is top places out; those that it has are nearer.
+        nearer = np.bincount(langs[place], weights=top - np.abs(ranks[place] - np.repeat(have, counts)), minlength=len(names))
+        best = int(nearer.argmax())
+        return names[best], float(nearer[best] / (top * len(mine)))
 
     def fn(cols: list[list]) -> list[pa.Array]:
         out = [one(t) for t in cols[0]]
@@ -133,6 +143,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; learns from labelled rows that are not held out."""
     known = docs.where(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    learned = profiles(sampled(known.select(id_col, text, lang), id_col), text, lang)
+    learned = profiles(sampled(known.select(id_col, text, lang), id_col, lang), text, lang)
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), held_out(id_col).alias("held_out"))
     return predict(mine, learned, "text").select("doc_id", "held_out", "lang_pred", "score")
