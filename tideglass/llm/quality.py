@@ -6,7 +6,8 @@ host and path rates are posteriors of a Beta prior centred on the level above (g
 weight M fitted by moments from how much hosts (paths) differ, so sparse sites fall back to the level above.
 
 A site is the part of `source` before the first '/', a path the whole of it. Document probabilities count as soft
-observations where no label is known. Only the site's prior counts are shuffled, pre-aggregated.
+observations where no label is known. Only the site's prior counts are shuffled, pre-aggregated. A document's own observation is left out of the
+rates that are its prior, so it is not counted twice.
 Defined cases: null or empty text has all features in their lowest bin; null sources form one site; rows whose label is
 null, and labels of rows that are not there, teach nothing; several labels of one doc_id count as their mean, and
 without labels every probability is 0.5 and every document is accepted.
@@ -107,16 +108,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     ratios = F.array(*[F.array(*[F.lit(float(x)) for x in t]) for t in table])
     evidence = F.aggregate(F.zip_with("bins", ratios, lambda b, t: F.get(t, b)), F.lit(0.0), lambda s, x: s + x)
     scored = rows.withColumn("evidence", F.round(evidence, 9)).drop("bins")
-    soft = F.coalesce("label", 1 / (1 + F.exp(-(F.col("evidence") + math.log(center / (1 - center))))))
+    scored = scored.withColumn("seen", F.coalesce("label", 1 / (1 + F.exp(-(F.col("evidence") + math.log(center / (1 - center)))))))
 
-    counts = stage(scored.groupBy("host", "path").agg(F.sum(soft).alias("good"), F.count("*").alias("n")), "sites")
+    counts = stage(scored.groupBy("host", "path").agg(F.sum("seen").alias("good"), F.count("*").alias("n")), "sites")
     hosts = counts.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     mean = counts.agg(F.sum("good") / F.sum("n")).first()[0] if sum(both) else 0.5
     mean = 0.5 if mean is None else float(mean)
     m = weight(hosts.withColumn("center", F.lit(mean)), "good", "n", "center") if sum(both) else 10.0
-    hosts = hosts.select("host", ((F.col("good") + m * mean) / (F.col("n") + m)).alias("host_rate"))
+    hosts = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n"), ((F.col("good") + m * mean) / (F.col("n") + m)).alias("host_rate"))
     paths = counts.join(hosts, "host")
     k = weight(paths, "good", "n", "host_rate") if sum(both) else 10.0
-    paths = stage(paths.select("path", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "paths")
-    out = scored.join(paths, "path").withColumn("probability", F.round(1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("path_rate"))))), 6))
+    paths = stage(paths.select("path", "good", "n", "host_good", "host_n", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "paths")
+    others = (F.col("host_good") - F.col("seen") + m * mean) / (F.col("host_n") - 1 + m)
+    prior = (F.col("good") - F.col("seen") + k * others) / (F.col("n") - 1 + k)
+    out = scored.join(paths, "path").withColumn("probability", F.round(1 / (1 + F.exp(-(F.col("evidence") + logit(prior)))), 6))
     return out.select("doc_id", "host", "evidence", F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), "probability", (F.col("probability") >= threshold).alias("accepted"), *carry)
