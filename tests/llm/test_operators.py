@@ -171,6 +171,90 @@ def test_language_of_held_out_rows(spark, awkward):
     assert all(r.held_out == (z.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.values())
 
 
+def test_language_distances_against_a_plain_version(spark, awkward):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(awkward.select("doc_id", "text", "lang")).unionByName(spark.createDataFrame([(9001, "ΑΒΓ αβγ ｆ１", "el"), (9002, "İß ﬁ", "tr"), (9003, "a", None), (9004, "12 !?", "en")], "doc_id long, text string, lang string"))
+    rows = docs.collect()
+
+    def counted(text):
+        x = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
+        x = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in x))
+        own = [x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1) if x[i : i + n] != " "]
+        return Counter(sum((0 if c == " " else ord(c)) << 21 * i for i, c in enumerate(reversed(g))) for g in own) if x.strip() else Counter()
+
+    top = lambda c: sorted(c, key=lambda g: (-c[g], g))[:400]
+    sums = defaultdict(Counter)
+    out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    for r in rows:
+        if r.lang is not None and r.text is not None and not out_of(r.doc_id):
+            sums[r.lang] += counted(r.text)
+    ranks = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in sums.items() if c}
+    want = Counter()
+    for r in rows:
+        mine = top(counted(r.text or ""))
+        far = sorted((sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(mine)), lang) for lang, p in ranks.items()) if mine else []
+        want[r.doc_id, out_of(r.doc_id), far[0][1] if far else "und", round(1 - far[0][0] / (400 * len(mine)), 9) if far else 0.0] += 1
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs).collect()) == want
+
+
+def test_rare_languages_are_sampled_whole(spark):
+    rows = [(i, "the text", "en") for i in range(5000)] + [(10_000 + i, "der text", "de") for i in range(40)]
+    got = Counter(r.lang for r in langid.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "lang", 500).collect())
+    assert got["de"] == 40 and 400 < got["en"] < 600
+
+
+def test_quality_against_a_plain_version(spark, awkward):
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").unionByName(awkward.select("doc_id", "text", "source"))
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()] + [(6, 1), (6, 0), (7, None), (99_999, 1)]
+    rows = docs.collect()
+    said = defaultdict(list)
+    for i, q in labels:
+        if q is not None:
+            said[i].append(q)
+    label = [sum(said[r.doc_id]) / len(said[r.doc_id]) if r.doc_id in said else None for r in rows]
+    bins = [quality.measured(r.text) for r in rows]
+    good, bad = sum(x for x in label if x is not None), sum(1 - x for x in label if x is not None)
+    table = [[math.log((sum(x for x, b in zip(label, bins, strict=True) if x is not None and b[f] == v) + 0.5) / (good + 0.5 * n)) - math.log((sum(1 - x for x, b in zip(label, bins, strict=True) if x is not None and b[f] == v) + 0.5) / (bad + 0.5 * n)) for v in range(n)] for f, n in enumerate(len(e) + 1 for e in quality.EDGES.values())]
+    center = (good + 1) / (good + bad + 2)
+    used = {(f, b[f]) for x, b in zip(label, bins, strict=True) if x is not None for f in range(len(table))}
+    evidence = [round(sum(table[f][v] if (f, v) in used else 0.0 for f, v in enumerate(b)), 9) for b in bins]
+    seen = [x if x is not None else 1 / (1 + math.exp(-(e + math.log(center / (1 - center))))) for x, e in zip(label, evidence, strict=True)]
+    path = [r.source or "" for r in rows]
+    host = [p.split("/")[0] for p in path]
+
+    def sums(keys):
+        out = defaultdict(lambda: [0.0, 0])
+        for k, s in zip(keys, seen, strict=True):
+            out[k][0] += s
+            out[k][1] += 1
+        return out
+
+    hosts, paths, mean = sums(host), sums(path), sum(seen) / len(seen)
+
+    def moments(own):
+        own = [(g, n, c) for g, n, c in own if n > 1]
+        n, n2, within = sum(n for _, n, _ in own), sum(n * n for _, n, _ in own), sum(n * c * (1 - c) for _, n, c in own)
+        if len(own) < 2 or not within:
+            return 10.0
+        p = within / n
+        between = (sum(n * (g / n - c) ** 2 for g, n, c in own) - p * len(own)) / max(n - n2 / n, 1e-9)
+        return min(max(p / between - 1, 1.0), 1e4) if between > 1e-9 else 1e4
+
+    m = moments([(g, n, mean) for g, n in hosts.values()])
+    rate = {h: (g + m * mean) / (n + m) for h, (g, n) in hosts.items()}
+    k = moments([(g, n, rate[p.split("/")[0]]) for p, (g, n) in paths.items()])
+    want = []
+    for r, e, s, h, p in zip(rows, evidence, seen, host, path, strict=True):
+        others = (hosts[h][0] - s + m * mean) / (hosts[h][1] - 1 + m)
+        prior = min(max((paths[p][0] - s + k * others) / (paths[p][1] - 1 + k), 1e-6), 1 - 1e-6)
+        want.append((str(r.doc_id), h, round(e, 6), rate[h], 1 / (1 + math.exp(-(e + math.log(prior / (1 - prior)))))))
+    got = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    got = sorted((str(r.doc_id), r.host, round(r.evidence, 6), r.host_rate, r.probability) for r in got)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=2e-6)
+
+
 def test_quality_learns_labels(spark, awkward):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
@@ -453,7 +537,7 @@ def test_containment_against_all_pairs(spark, awkward):
             s = shingles(t, 5)
             if i is not None and s and 100 * len(s & own) >= 80 * len(s):
                 expected[d.doc_id, i, len(s), len(s & own)] += 1
-    for limit in (100_000, 20):
+    for limit in (50_000, 20):
         decontam.ITEMS, keep = limit, decontam.ITEMS
         got = decontam.contained_items(docs, bench).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*").collect()
         decontam.ITEMS = keep

@@ -8,14 +8,17 @@ miss with probability 1e-6). Classes begin at 2^3; items of at most SMALL shingl
 shingles is found, which misses none. Candidates are verified by exact containment of the item's whole set in the document's
 whole set: 100 * shared >= percent * size.
 
-The items' index is broadcast in parts of at most ITEMS items; more items mean more passes over the documents.
+The items' index is made on executors in parts of about ITEMS items and at most BYTES of text, each of which is broadcast;
+more items mean more passes over the documents.
 Defined cases: null or wordless texts match nothing and items without words are never found; an item or document of
 fewer words than the width is one shingle; repeated items and documents give repeated results.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, append_columns, first_permutation, second_permutation, shingle_hashes
+from .common import U64, append_columns, first_permutation, second_permutation, shingle_hashes, stage
 
+U8 = np.uint8
 COORDINATES = 64
 #: Items of at most so many shingles are looked up by each of them instead.
 SMALL = 4
 #: Shingles that a task looks at together.
 GROUP = 1 << 16
-#: Items (and shingles of items) of one broadcast index: at most about 100 MB.
-ITEMS, SHINGLES = 100_000, 5_000_000
+#: Items, and bytes of their texts, of one broadcast index, about: 64 keys of 16 bytes an item, a shingle of 8 bytes for
+#: every 5 bytes of text or more, and 2^BITS / 8 bytes for each of at most 30 classes; 100 MB at most.
+ITEMS, BYTES, BITS = 50_000, 20_000_000, 23
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_item", T.LongType()), T.StructField("n_shared", T.LongType())]))
 
@@ -60,9 +65,10 @@ class Index:
             values = np.stack([minima(self.sets[i], np.array([0]))[:, 0] for i in own], axis=1)
             keys = keyed(values).ravel()
             order = np.argsort(keys, kind="stable")
-            bits = min(28, max(20, int(len(keys) * 64).bit_length()))
-            seen = np.zeros(1 << bits, dtype=bool)
-            seen[spread(keys, bits)] = True
+            bits = min(BITS, max(16, int(len(keys) * 32).bit_length()))
+            seen = np.zeros(1 << (bits - 3), dtype=np.uint8)
+            at = spread(keys, bits)
+            np.bitwise_or.at(seen, at >> U64(3), U8(1) << (at & U64(7)).astype(np.uint8))
             self.classes[c] = (keys[order], np.tile(np.array(own), COORDINATES)[order], seen, bits)
 
     def candidates(self, sets: list[np.ndarray]) -> dict[int, set[int]]:
@@ -89,7 +95,8 @@ class Index:
             together = np.flatnonzero(doc[:-1] == doc[1:])
             windows[:, together] = np.minimum(blocks[:, together], blocks[:, together + 1])
             wanted = keyed(windows)
-            k, w = np.nonzero(seen[spread(wanted, bits)])
+            at = spread(wanted, bits)
+            k, w = np.nonzero(seen[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & U8(1))
             hits = wanted[k, w]
             lo, hi = np.searchsorted(keys, hits), np.searchsorted(keys, hits, side="right")
             for i in np.flatnonzero(hi > lo):
@@ -150,11 +157,22 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", item_
     """docs with out: an array of (item_id, n_item, n_shared), one for each item that the document contains."""
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, -(-n // ITEMS), -(-size // (4 * SHINGLES)))
+    parts = max(1, -(-n // ITEMS), -(-size // BYTES))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for batch in batches:
+            for part, *item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own[part].append(tuple(item))
+        for part, rows in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int64()), pa.array([pickle.dumps(Index(rows, width), protocol=5)], type=pa.binary())], names=["part", "index"])
+
+    dealt = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("part"), "item_id", "text").repartition(parts, "part")
+    made = stage(dealt.mapInArrow(build, "part long, index binary"), "indexes")
     names = []
     for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.toLocalIterator()], width))
+        row = made.where(F.col("part") == k).first()  # one part, bounded as above
+        index = docs.sparkSession.sparkContext.broadcast(pickle.loads(row["index"]) if row else Index([], width))
 
         def fn(cols: list[list], index=index) -> list[pa.Array]:
             return [pa.array(index.value.matches(cols[0], percent), type=pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])))]
