@@ -62,6 +62,15 @@ def small_or_shuffled(ids: DataFrame, limit: int = BROADCAST_ROWS, parts: str |
     return F.broadcast(ids) if n <= limit else ids
 
 
+def bound_session(spark: SparkSession) -> None:
+    """For an application over long texts: its session's Arrow batches hold BATCH_ROWS rows at most, also in maps that run
+    after the operators have returned. Operators themselves leave the session as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 @contextmanager
 def bounded_batches(spark: SparkSession) -> Iterator[None]:
     """Within it the session's Arrow batches hold BATCH_ROWS rows at most."""

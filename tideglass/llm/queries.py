@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, langid, minhash, quality, secrets, suffix, topk, warc
+from .common import bound_session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
