@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideglass.llm import bpe, decontam, minhash, quality, secrets
-from tideglass.llm.common import row_key, small_or_shuffled, stage
+from tideglass.llm.common import bound_session, row_key, small_or_shuffled, stage
 
 #: Some stage's models cannot be expressed in SQL; the pipeline is tested against a plain version of each stage.
 ORACLE_SQL = None
@@ -19,6 +19,7 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; rows with a null doc_id are judged by their text and source alone."""
+    bound_session(spark)
     keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
     judged = quality.classify(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("__key",))
     gone = stage(judged.where("not accepted").select("__key").distinct(), "rejected")
@@ -27,23 +28,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    bound_session(spark)
     return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    bound_session(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets masked and n_chars counted anew where one was."""
-    table = secrets.train(docs)
-    masked = secrets.redact(docs, "text", table)
+    bound_session(spark)
+    model = secrets.train(docs)
+    masked = secrets.redact(docs, "text", model)
     return masked.withColumn("n_chars", F.when(F.contains("text", F.lit("[SECRET]")), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids, checked: the ids decode to the text's bytes again."""
+    bound_session(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     whole = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
