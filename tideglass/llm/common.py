@@ -25,9 +25,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else (local tests) a new one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else (local master only) a new one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         at = tempfile.mkdtemp(prefix="tideglass-")
         spark.sparkContext.setCheckpointDir(at)
     return at
