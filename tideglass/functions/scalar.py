@@ -61,9 +61,13 @@ def is_content_title(c: Column) -> Column:
     return (c != "-") & ~(F.contains(c, F.lit(":")) & F.substring_index(c, ":", 1).isin(*NAMESPACES))
 
 
+#: Fixed value: a link of wikitext, its target as the group.
+LINK = r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"
+
+
 def wikitext_links(c: Column) -> Column:
     """Distinct sorted keys of the literal links into the main namespace."""
-    targets = F.transform(F.regexp_extract_all(c, F.lit(r"\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]"), F.lit(1)), lambda t: F.trim(F.substring_index(t, "#", 1)))
+    targets = F.transform(F.regexp_extract_all(c, F.lit(LINK), F.lit(1)), lambda t: F.trim(F.substring_index(t, "#", 1)))
 
     def main(t: Column) -> Column:
         prefix = F.lower(F.trim(F.substring_index(t, ":", 1)))
