@@ -70,6 +70,8 @@ def test_bpe_equals_library_and_decodes(spark, awkward):
     enc, path, pattern = tiktoken_encoding()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
     out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
+    assert bpe.encode_and_decode(docs, path, pattern).select(*out[0].asDict()).collect() == out
+    assert bpe.encode_and_decode(empty(spark), path, pattern).count() == 0
     assert len(out) == docs.count()
     for r in out:
         assert r.ids == enc.encode_ordinary(r.text or "")

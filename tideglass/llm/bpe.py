@@ -187,15 +187,32 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     return append_columns(df, [text], [T.StructField(out, T.ArrayType(T.IntegerType(), True))], fn, after=lambda: shared.value.memo.clear())
 
 
+def bytes_array(rows: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    """The bytes that each row's ids stand for."""
+    edge = rows.offsets.to_numpy()
+    flat, edge = rows.values.to_numpy(zero_copy_only=False)[edge[0] : edge[-1]].tolist(), (edge - edge[0]).tolist()
+    return pa.array([b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(edge, edge[1:], strict=False)], type=pa.binary())
+
+
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with out: the bytes that the ids stand for (null ids: no bytes)."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
 
     def fn(cols: list[pa.Array]) -> list[pa.Array]:
-        get: Callable = shared.value.tokens.__getitem__
-        rows = cols[0].fill_null([]) if cols[0].null_count else cols[0]
-        edge = rows.offsets.to_numpy()
-        flat, edge = rows.values.to_numpy(zero_copy_only=False)[edge[0] : edge[-1]].tolist(), (edge - edge[0]).tolist()
-        return [pa.array([b"".join(map(get, flat[a:b])) for a, b in zip(edge, edge[1:], strict=False)], type=pa.binary())]
+        return [bytes_array(cols[0].fill_null([]) if cols[0].null_count else cols[0], shared.value.tokens)]
 
     return append_columns(df, [ids], [T.StructField(out, T.BinaryType())], fn, arrow=True)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with encode's and decode's column. One after the other they hold two Python workers a task; here one makes the
+    ids and then decodes them."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path, pattern))
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), True)), T.StructField(decoded, T.BinaryType())]
+
+    def fn(cols: list[list]) -> list[pa.Array]:
+        v = shared.value.ready()
+        ids = list_array([v.encode(t) if t else b"" for t in cols[0]])
+        return [ids, bytes_array(ids, v.tokens)]
+
+    return append_columns(df, [text], fields, fn, after=lambda: shared.value.memo.clear())

@@ -18,8 +18,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    out = bpe.decode(ids, path, pattern)
+    out = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
