@@ -126,7 +126,7 @@ def by_difference(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     Changes that are a member's own come first there and meet nobody, so a family of unlinked near copies makes no
     pairs. Linked members (near) look half as far as unlinked ones that look for them (far)."""
     lo, hi = 100 - percent, 100 + percent
-    top = rest.groupBy("band").agg(F.max(F.struct("central", "id")).alias("top")).select("band", F.col("top.id").alias("top"))
+    top = stage(rest.groupBy("band").agg(F.max(F.struct("central", "id")).alias("top")).select("band", F.col("top.id").alias("top")), "top")
     own = rest.join(top, "band").where("id <> top").select("top", "id", "comp").distinct()
     x, y = sets.select(F.col("cid").alias("id"), F.col("shingles").alias("sx")), sets.select(F.col("cid").alias("top"), F.col("shingles").alias("sl"))
     d = own.join(x, "id").join(y, "top").select("top", "id", "comp", F.size("sx").alias("n"), F.size("sl").alias("nl"), F.concat(F.array_except("sx", "sl"), F.array_except("sl", "sx")).alias("parts"))
@@ -135,7 +135,7 @@ def by_difference(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     links = d.where("linked").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b"))
 
     e = d.select("top", "id", F.explode("parts").alias("e"))
-    counts = e.groupBy("top", "e").agg(F.count("*").alias("of")).where("of > 1")
+    counts = stage(e.groupBy("top", "e").agg(F.count("*").alias("of")).where("of > 1"), "counts")
     mine = W.partitionBy("top", "id")
     ranked = e.join(counts, ["top", "e"]).select("top", "id", "e", F.row_number().over(mine.orderBy("of", "e")).alias("rank"), F.count("*").over(mine).alias("common"))
     near = F.floor((F.col("d") * hi + (F.col("nl") - F.col("n")) * lo) / F.lit(2 * hi)) + 1
@@ -164,7 +164,8 @@ def groups_of(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2")])
     classes = stage(classes.withColumn("cid", F.xxhash64("set_key")), "classes")
     members = classes.select(F.col("cid").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", F.posexplode("bands").alias("no", "band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("of")).where("of > 1")
+    # What is counted by bucket is written first: a join with it can then be split where a bucket is hot.
+    shared = stage(members.groupBy("band").agg(F.count("*").alias("of")).where("of > 1"), "shared")
     members = stage(members.join(shared, "band").select("band", "no", "id", "n", "s1", "s2", "of"), "members")
     central = members.groupBy("id").agg(F.sum("of").alias("central"))
     members = stage(members.drop("of").join(central, "id"), "central")
@@ -190,24 +191,24 @@ def groups_of(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
             comp = connected_components(reduce(DataFrame.union, links))
 
     def labelled(own: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one component, with their component."""
+        """The members of buckets that hold more than one component, with their component and their bucket's leader."""
         if comp is None:
             out = own.withColumn("comp", F.col("id"))
         else:
             out = own.join(comp.withColumnRenamed("id", "of_id"), F.col("id") == F.col("of_id"), "left")
             out = out.select(*own.columns, F.coalesce("comp", "id").alias("comp"))
-        mixed = out.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        return out.join(mixed, "band")
+        leader = F.max(F.struct("central", "id", "n", "s1", "s2", "comp")).alias("leader")
+        mixed = out.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leader).where("lo <> hi")
+        return out.join(stage(mixed.select("band", "leader"), "mixed"), "band")
 
     def with_leaders(own: DataFrame) -> DataFrame:
-        own = own.select("band", F.struct("central", "id", "n", "s1", "s2", "comp").alias("x"))
-        leaders = own.groupBy("band").agg(F.max("x").alias("y"))
-        pairs = own.join(leaders, "band").where((F.col("x.comp") != F.col("y.comp")) & may_link(percent))
+        pairs = own.select(F.struct("id", "n", "s1", "s2", "comp").alias("x"), F.col("leader").alias("y"))
+        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & may_link(percent))
         return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
     check(with_leaders(labelled(members.where(F.col("no") < FIRST))))
     check(with_leaders(labelled(members)))
-    rest = stage(labelled(members), "rest")
+    rest = stage(labelled(members).drop("leader"), "rest")
     if not rest.isEmpty():
         sets = class_sets(rest.select(F.col("id").alias("cid")), classes, only, width)
         direct, pairs = by_difference(rest, sets, percent)
