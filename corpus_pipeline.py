@@ -50,9 +50,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids, checked: the ids decode to the text's bytes again."""
     bound_session(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    whole = bpe.encode_and_decode(docs, path, pattern, decoded="__decoded")
-    same = F.col("__decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return whole.withColumn("ids", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to the text")))).drop("__decoded")
+    whole = bpe.encode_and_decode(docs, path, pattern)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return whole.withColumn("ids", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to the text")))).drop("decoded")
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", keep_distinct), ("decontamination", keep_clean), ("secrets", mask_secrets), ("tokens", tokenize)]
