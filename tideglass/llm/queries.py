@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, minhash, quality, secrets, suffix, topk, warc
+from . import bpe, chat, decontam, hardneg, langid, minhash, quality, repair, secrets, shards, suffix, topk, warc
 from .common import bound_session
 
 
@@ -88,13 +88,35 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "m.item_id", "m.n_item", "m.n_shared")
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), label)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = repair.repair(repair.damage(rows))
+    digests = repair.line_digests(repaired, "conv_id", ["at", "part"], F.concat_ws(":", "role", "text")).withColumnRenamed("conv_id", "d_id")
+    every = rows.select(F.col("conv_id").alias("c_id")).distinct()
+    whole = every.join(report, F.col("c_id").eqNullSafe(F.col("conv_id")), "left").join(digests, F.col("c_id").eqNullSafe(F.col("d_id")), "left")
+    counts = [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(F.col("c_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.md5(data).alias("digest"))
+    placed = shards.assign(docs, shards=16, order=["doc_id", "digest"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_langid, op4_quality, op5_chat, op6_secrets, op7_warc, op8_suffix, op9_topk, op10_decontam, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_langid, op4_quality, op5_chat, op6_secrets, op7_warc, op8_suffix, op9_topk, op10_decontam, op11_hardneg, op12_repair, op13_shards, pipeline)}
 
 #: Words and shingles as the operators take them. {width} is filled in.
 SHINGLES = r"""
@@ -103,7 +125,93 @@ words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDE
   ELSE list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' ')) END) AS s FROM words)
 """
 
+#: CRC-32 of a list of hexadecimal bytes; {bytes} is filled in. crc_table has its 256 steps.
+CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"""
+
+
+def feistel_sql() -> str:
+    """One pass of the network over p(rn, v, step); b has the widths of the halves."""
+    now = "SELECT rn, step, lb, rb, v >> rb AS hi, v & ((CAST(1 AS BIGINT) << rb) - 1) AS lo, lb AS w, rb AS z FROM p, b WHERE step = 0 OR v >= n"
+    for x, y in shards.round_keys(0):
+        m = f"((lo + {x}) % {shards.PRIME})"
+        m = f"(({m} * {m} + {y}) % {shards.PRIME})"
+        now = f"SELECT rn, step, lb, rb, lo AS hi, xor(hi, xor(m, m >> 15) & ((CAST(1 AS BIGINT) << w) - 1)) AS lo, z AS w, w AS z FROM (SELECT *, ({m} * {x | 1} + {y}) % {shards.PRIME} AS m FROM ({now}))"
+    return f"SELECT rn, (hi << rb) | lo AS v, step + 1 AS step FROM ({now})"
+
+
+def repair_sql() -> str:
+    """Bests of the four states before row i, from those after it: cost in nine digits, then audit."""
+    more = lambda s, k, op: f"lpad(CAST(CAST(left({s}, 9) AS BIGINT) + {k} AS VARCHAR), 9, '0') || '{op}' || substr({s}, 10)"
+    after, added = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}, repair.ADDED
+    taken = []
+    for g in range(4):
+        keep = [f"CASE WHEN NOT gone AND r = '{r}' THEN {more(f'b{to}', 'cut', 'K')} END" for r, to in after[g].items()]
+        taken.append(f"least({more(f'b{g}', 4, 'D')}, CASE WHEN NOT gone THEN {more(f'b{added[g]}', '3 + cut', 'R')} END, {', '.join(keep)}) AS c{g}")
+    best = []
+    for g in range(4):
+        ways, at = [f"c{g}"], g
+        for k in (1, 2):
+            at = added[at]
+            ways.append(more(f"c{at}", 3 * k, "I" * k))
+        best.append(f"least({', '.join(ways)}) AS b{g}")
+    return f"SELECT k, i - 1 AS i, {', '.join(best)} FROM (SELECT k, i, {', '.join(taken)} FROM (SELECT w.k, w.i, b0, b1, b2, b3, r, gone, cut FROM w JOIN f ON f.k = w.k AND f.i = w.i))"
+
+
 ORACLE_SQL = {
+    "op11_hardneg": """
+WITH v AS (SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.rn, a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, CAST(coalesce(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * c.x[i])), 0) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.rn <> c.rn AND len(a.x) = len(c.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS slot FROM s WHERE label = own QUALIFY slot <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.rn, p.slot ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.rn = p.rn AND s.label <> s.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
+    "op12_repair": rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT DISTINCT conv_id FROM conversations),
+ids AS (SELECT conv_id, row_number() OVER () AS k FROM o),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC.format(text="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d FROM conversations, crc_table),
+g AS (SELECT k, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h JOIN ids ON h.conv_id IS NOT DISTINCT FROM ids.conv_id, range(2) copies(c) WHERE d <> 0 AND (c = 0 OR d = 3)),
+e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i FROM g),
+q AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open, left(role, 1) AS r FROM e),
+f AS (SELECT k, i, turn, r, blank, again AND NOT blank AS dup, blank OR again AS gone, open AND NOT blank AND NOT again AS trunc, CASE WHEN open THEN 3 ELSE 0 END AS cut,
+    role, text, lag(r) OVER (PARTITION BY k ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS bad FROM q),
+c AS (SELECT k, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    count(*) FILTER (trunc) AS truncated, count(*) FILTER (bad) AS illegal FROM f GROUP BY k),
+w AS (SELECT k, n AS i, '000000000' AS b0, '000000006II' AS b1, '000000003I' AS b2, '000000000' AS b3 FROM c
+  UNION ALL {repair_sql()}),
+best AS (SELECT k, CAST(left(b0, 9) AS BIGINT) AS cost, substr(b0, 10) AS audit FROM w WHERE i = 0),
+walk AS (SELECT k, audit AS rest, CAST(0 AS BIGINT) AS i, 0 AS state, CAST([] AS VARCHAR[]) AS lines FROM best
+  UNION ALL SELECT walk.k, substr(rest, 2), CASE WHEN rest[1] = 'I' THEN walk.i ELSE walk.i + 1 END,
+    CASE WHEN rest[1] = 'D' THEN state WHEN rest[1] = 'K' AND r = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END,
+    CASE rest[1] WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END || CASE rest[1] WHEN 'R' THEN text ELSE '' END) END
+  FROM walk LEFT JOIN f ON f.k = walk.k AND f.i = walk.i + 1 WHERE rest <> ''),
+said AS (SELECT k, sha256(array_to_string(lines, chr(10))) AS sha FROM walk WHERE rest = '')
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN c USING (k) LEFT JOIN best USING (k) LEFT JOIN said USING (k)
+""",
+    "op13_shards": f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) - 1 AS rn FROM documents),
+b AS (SELECT n, greatest(2, len(bin(n - 1))) // 2 AS lb, greatest(2, len(bin(n - 1))) - greatest(2, len(bin(n - 1))) // 2 AS rb FROM (SELECT count(*) AS n FROM documents)),
+p AS (SELECT rn, rn AS v, 0 AS step FROM d UNION ALL {feistel_sql()}),
+placed AS (SELECT rn, v FROM p, b WHERE step > 0 AND v < n)
+SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {CRC.format(text="coalesce(text, '')")} AS text_crc32, 'rows' AS law,
+  CAST(v % 16 AS INT) AS shard, v // 16 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM d JOIN placed USING (rn), crc_table
+""",
     "op2_minhash": f"""
 WITH RECURSIVE {SHINGLES.format(table='documents', width=4, name='sh')},
 sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
