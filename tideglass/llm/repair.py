@@ -182,7 +182,7 @@ def reports(pieces: DataFrame) -> DataFrame:
     roles = F.array_join(F.transform("parts", lambda p: p["roles"]), "")
     legal = F.regexp_count(roles, F.lit("(?=su|ua|au)"))
     span = F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") + 1 - F.col("turns") + meet
-    gaps = F.coalesce(F.least(span.cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long"), F.lit(0).cast("long"))
+    gaps = F.when(F.col("low").isNull(), F.lit(0).cast("long")).otherwise(F.least(span.cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long"))
     return whole.select("conv_id", gaps.alias("gaps"), "blank", "duplicate", "truncated", (F.char_length(roles) - 1 - legal).cast("long").alias("illegal"), F.array_join(F.transform("parts", lambda p: p["sig"]), "").alias("sig"), F.transform("parts", lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"))).alias("parts"))
 
 
