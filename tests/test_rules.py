@@ -240,18 +240,6 @@ def test_listing_with_trailer(spark, tmp_path):
     assert [r.ticker for r in R.common_stock(R.read_listing(spark, str(tmp_path))).collect()] == ["ABC"]
 
 
-def test_snapshot_replacement_and_registry(spark, tmp_path):
-    path = str(tmp_path)
-    rows = lambda *ids, ts: spark.createDataFrame([("live", datetime(2024, 1, 1, ts), i) for i in ids], "source string, snapshot_ts timestamp, id long")
-    K.write_snapshot(rows(1, 2, ts=1), path, "live", "2024-01-01 01:00:00", "2024-01-01")
-    K.write_snapshot(rows(3, ts=2), path, "live", "2024-01-01 02:00:00", "2024-01-01")
-    K.write_snapshot(rows(4, ts=1), path, "live", "2024-01-01 01:00:00", "2024-01-01")
-    K.write_snapshot(rows(ts=3), path, "live", "2024-01-01 03:00:00", "2024-01-01")
-    assert sorted(r.id for r in spark.read.parquet(f"{path}/clusters").collect()) == [3, 4]
-    registry = spark.read.parquet(f"{path}/registry")
-    assert sorted((r.snapshot_ts.hour, r.cluster_count) for r in registry.collect()) == [(1, 1), (2, 1), (3, 0)]
-
-
 def test_finished_shards_are_left_alone(spark, tmp_path):
     first = K.write_shards(spark.range(25), str(tmp_path / "s"), 10)
     again = K.write_shards(spark.range(3), str(tmp_path / "s"), 10)

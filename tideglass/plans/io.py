@@ -10,6 +10,7 @@ from ..operators import attention as A
 from ..operators import quality as D
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..sources.versions import Versions, WouldOrphan
 from ..streaming import jobs as J
 from . import scratch
 from .registry import Tables, query
@@ -219,6 +220,53 @@ def snk04(t):
     return t.spark.read.parquet(path).groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "again").alias("again"))
 
 
+CLUSTERS = "source string, snapshot_ts timestamp, id long, label string"
+
+
+def versioned(t: Tables) -> tuple[Versions, DataFrame]:
+    """All clusters by month, committed, and the months."""
+    store = Versions(t.spark, scratch.path(t.spark, "versions"), {"clusters": CLUSTERS})
+    c = t.f_clusters.select("source", F.date_trunc("month", "snapshot_ts").alias("snapshot_ts"), "id", "label")
+    months = c.select("source", "snapshot_ts").distinct()
+    store.replace(months, {"clusters": c})
+    return store, months
+
+
+@query("snk04b_snapshot_versions", """
+WITH c AS (SELECT source, date_trunc('month', snapshot_ts) AS ts, id FROM f_clusters),
+r AS (SELECT source, year(ts) AS y, count(DISTINCT ts) AS snapshots FROM c GROUP BY 1, 2),
+n AS (SELECT source, year(ts) AS y, count(*) AS n, sum(id) AS ids FROM c WHERE year(ts) <> 1997 AND (year(ts) <> 1996 OR id % 3 = 0) GROUP BY 1, 2)
+SELECT source, y, snapshots, CASE y WHEN 1996 THEN 1 WHEN 1997 THEN 1 ELSE 0 END AS generation, coalesce(n, 0) AS n, coalesce(n, 0) AS registered, CAST(coalesce(ids, 0) AS BIGINT) AS ids FROM r LEFT JOIN n USING (source, y)""")
+def snk04b(t):
+    """1996 is rewritten with a third of its rows and 1997 with none."""
+    store, months = versioned(t)
+    store.replace(months.where("year(snapshot_ts) = 1996"), {"clusters": store.read("clusters").where("year(snapshot_ts) = 1996 and id % 3 = 0")})
+    store.replace(months.where("year(snapshot_ts) = 1997"), {})
+    parts = store.pointers().groupBy("source", F.year("snapshot_ts").alias("y")).agg(F.count("*").alias("snapshots"), F.max("generation").cast("int").alias("generation"), F.sum(F.col("rows")["clusters"]).alias("registered"))
+    rows = store.read("clusters").groupBy("source", F.year("snapshot_ts").alias("y")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return parts.join(rows, ["source", "y"], "left").fillna(0, ["n", "ids"])
+
+
+@query("snk05b_guarded_replacement", """
+WITH c AS (SELECT id, year(snapshot_ts) = 1996 AND id % 3 <> 0 AS gone FROM f_clusters)
+SELECT s.tier, count(*) AS n, count_if(NOT gone) AS kept, count_if(gone) AS refused FROM f_cluster_stock s JOIN c ON c.id = s.cluster_id GROUP BY 1""")
+def snk05b(t):
+    """A rewrite of 1996 with a third of its clusters is refused while stocks hang on the others; allowed, it drops them."""
+    store, months = versioned(t)
+    own, new = months.where("year(snapshot_ts) = 1996"), {"clusters": store.read("clusters").where("year(snapshot_ts) = 1996 and id % 3 = 0")}
+    tiers = {r.tier: t.f_cluster_stock.where(F.col("tier") == r.tier) for r in t.f_cluster_stock.select("tier").distinct().collect()}
+    refused = {}
+    try:
+        store.replace(own, new, tiers, "clusters")
+    except WouldOrphan as e:
+        refused = e.counts
+    before = store.kept(t.f_cluster_stock, "clusters").groupBy("tier").agg(F.count("*").alias("n"))
+    store.replace(own, new, tiers, "clusters", allow=bool(refused))
+    after = store.kept(t.f_cluster_stock, "clusters").groupBy("tier").agg(F.count("*").alias("kept"))
+    counted = F.create_map(*(F.lit(x) for kv in refused.items() for x in kv)) if refused else F.create_map().cast("map<string,int>")
+    return before.join(after, "tier", "left").select("tier", "n", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce(counted[F.col("tier")].cast("long"), F.lit(0)).alias("refused"))
+
+
 @query("snk06_replace_by_key", """
 WITH n AS (SELECT cluster_id, ticker, 0.5 AS similarity FROM f_cluster_stock WHERE cluster_id % 10 = 0 AND ticker > 'S5')
 SELECT cluster_id, ticker, similarity FROM f_cluster_stock WHERE cluster_id NOT IN (SELECT cluster_id FROM n) UNION ALL SELECT * FROM n""")

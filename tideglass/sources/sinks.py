@@ -48,23 +48,6 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def write_snapshot(clusters: DataFrame, path: str, source: str, snapshot_ts: str, snapshot_date: str) -> None:
-    """Replace one snapshot's clusters and register it, also when it has none."""
-    spark = clusters.sparkSession
-    at = F.lit(snapshot_ts).cast("timestamp")
-    try:
-        old = spark.read.parquet(f"{path}/clusters").where((F.col("source") == source) & (F.col("snapshot_date") == F.lit(snapshot_date).cast("date")) & (F.col("snapshot_ts") != at))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = clusters.limit(0).withColumn("snapshot_date", F.lit(snapshot_date).cast("date"))
-    new = clusters.withColumn("snapshot_date", F.lit(snapshot_date).cast("date"))
-    both = old.select(new.columns).unionByName(new).checkpoint()  # read before its partition is replaced
-    replace_partitions(both, f"{path}/clusters", ["source", "snapshot_date"])
-    n = clusters.agg(F.count("*").alias("cluster_count")).select(F.lit(source).alias("source"), at.alias("snapshot_ts"), "cluster_count")
-    replace_partitions(n, f"{path}/registry", ["source", "snapshot_ts"])  # written twice, it is registered once
-
-
 def dependants(snapshot: DataFrame, tables: dict[str, DataFrame], key: str = "cluster_id") -> DataFrame:
     """Rows of each table that hang on the snapshot's clusters."""
     out = None
