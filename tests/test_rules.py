@@ -107,6 +107,18 @@ def test_root_selection_goes_on_from_earlier_picks(spark):
     assert {(r.snapshot_ts, r.page_id) for r in alone.collect()} == {x for x in greedy(rows, None, 24) if x[0] >= cut}
 
 
+def test_root_selection_of_one_unbroken_run_in_blocks(spark):
+    rng = random.Random(11)
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=6 * h), p, rng.randrange(40)) for h in range(240) for p in range(14) if rng.random() < 0.6]
+    df = spark.createDataFrame([(s, *r) for s in ("live", "replay") for r in rows], "source string, snapshot_ts timestamp, page_id long, views int")
+    for span in (1, 3):
+        rounds = []
+        got = {(r.source, r.snapshot_ts, r.page_id) for r in G.select_roots(df, 3, 24, span=span, rounds=rounds).collect()}
+        assert got == {(s, *x) for s in ("live", "replay") for x in greedy(rows, 3, 24)}
+        assert 120 // span <= rounds[0] <= 120 // span + 4 and 1 < len(rounds) <= 60 // span + 1  # all blocks at once, then those that changed
+        assert sum(rounds[1:]) < rounds[0] * len(rounds)
+
+
 def plain_core(pages, links, outlinks, focus, detach):
     """The two suppressions by sets of pages, each step from the beginning. pages: (page, views, score) in order."""
     order = [p for p, _, _ in sorted(pages, key=lambda x: (-x[2], x[0]))]

@@ -21,14 +21,18 @@ MIN_CLICKS, CREATED_DAYS, EVENT_EDITS, BASE_EDITS, RESURGENCE = 10, 30, 20, 5, 5
 SNAPSHOT = ["source", "snapshot_ts"]
 
 
-def select_roots(spikes: DataFrame, limit: int | None = LIMIT, cooldown: int = COOLDOWN, prior: DataFrame | None = None) -> DataFrame:
+def select_roots(spikes: DataFrame, limit: int | None = LIMIT, cooldown: int = COOLDOWN, prior: DataFrame | None = None, span: int = 4, rounds: list[int] | None = None) -> DataFrame:
     """Picks of each snapshot in time order: most viewed first, no page again within the cooldown, counted from its last
     pick here or in prior (source, snapshot_ts, page_id of earlier runs).
 
-    Without a cooldown this is a rank. Otherwise a pick depends on earlier ones, but on those within the cooldown only: a
-    source is cut wherever no snapshot follows within it, and each run of snapshots is one ordered pass that holds the
-    picks of one cooldown. At most `limit` pages of each snapshot within it (and prior's) can be cooling, so the rows
-    that can ever be picked are cut by rank first. Without a limit pages do not meet and go one by one.
+    Without a cooldown this is a rank, and without a limit pages do not meet and go one by one. Otherwise a pick depends on
+    earlier ones, but on those within the cooldown only. So time is cut into blocks of `span` cooldowns; a block depends on what
+    its predecessor leaves cooling, and on nothing before. All blocks are evaluated at once, each from an assumed set of cooling
+    pages (at first none), and again only where the predecessor turns out to leave another set, until no set changes.
+    After round n the first n blocks are final, so it ends; rounds gets the number of blocks that each round evaluated.
+
+    At most `limit` pages of each snapshot within the cooldown (and prior's) can be cooling, so the rows that can ever be
+    picked are cut by rank first, and a set has as many pages at most. Rounds are checkpoints in the shared folder.
     """
     rows = spikes.select(*SNAPSHOT, "page_id", F.coalesce("views", F.lit(0)).alias("views"))
     rank = F.row_number().over(W.partitionBy(*SNAPSHOT).orderBy(F.desc("views"), "page_id"))
@@ -37,25 +41,49 @@ def select_roots(spikes: DataFrame, limit: int | None = LIMIT, cooldown: int = C
     seconds = cooldown * 3600
     at = F.unix_timestamp("snapshot_ts").alias("at")
     old = (rows.limit(0) if prior is None else prior).select(*SNAPSHOT, "page_id")
+    old = old.select(*SNAPSHOT, at, "page_id", F.lit(None).cast("long").alias("views"), F.lit(True).alias("prior"))
+    rows = rows.select(*SNAPSHOT, at, "page_id", "views", F.lit(False).alias("prior"))
     if limit is None:
-        rows = rows.select(*SNAPSHOT, at, "page_id", "views", F.lit(False).alias("prior"), F.col("page_id").alias("run"))
-        old = old.select(*SNAPSHOT, at, "page_id", F.lit(None).cast("long").alias("views"), F.lit(True).alias("prior"), F.col("page_id").alias("run"))
-    else:
-        times = rows.select(*SNAPSHOT).distinct().select(*SNAPSHOT, F.lit(limit).cast("long").alias("most"))
-        times = times.union(old.groupBy(*SNAPSHOT).agg(F.count("*"))).groupBy(*SNAPSHOT).agg(F.sum("most").alias("most")).select(*SNAPSHOT, at, "most")
-        by_time = W.partitionBy("source").orderBy("at")
-        times = times.select(*SNAPSHOT, "at", F.sum("most").over(by_time.rangeBetween(-seconds + 1, 0)).alias("most"), (F.col("at") - F.lag("at").over(by_time) >= seconds).cast("int").alias("cut"))
-        times = times.withColumn("run", F.coalesce(F.sum("cut").over(by_time), F.lit(0)).cast("long")).drop("cut")
-        rows = rows.withColumn("n", rank).join(times, SNAPSHOT).where("n <= most").select(*SNAPSHOT, "at", "page_id", "views", F.lit(False).alias("prior"), "run")
-        old = old.join(times, SNAPSHOT).select(*SNAPSHOT, "at", "page_id", F.lit(None).cast("long").alias("views"), F.lit(True).alias("prior"), "run")
+        return one_pass(rows.unionByName(old).withColumn("part", F.col("page_id")), None, seconds).select(*SNAPSHOT, "page_id")
+    times = rows.select("source", "at").distinct().withColumn("most", F.lit(limit).cast("long")).unionByName(old.groupBy("source", "at").agg(F.count("*").alias("most")))
+    times = times.groupBy("source", "at").agg(F.sum("most").alias("most"))
+    times = times.withColumn("most", F.sum("most").over(W.partitionBy("source").orderBy("at").rangeBetween(-seconds + 1, 0)))
+    block = F.floor(F.col("at") / (seconds * span)).alias("part")
+    may = rows.withColumn("n", rank).join(times, ["source", "at"]).where("n <= most").drop("n", "most")
+    base = may.unionByName(old).select("*", block).checkpoint()
+    return settled(base, limit, seconds, seconds * span, rounds).select(*SNAPSHOT, "page_id")
+
+
+def settled(base: DataFrame, limit: int, seconds: int, width: int, rounds: list[int] | None) -> DataFrame:
+    """Picks of all blocks (source, part), evaluated until no block's set of cooling pages changes."""
+    key, cooling = ["source", "part"], "array<struct<page_id:bigint,at:bigint>>"
+    blocks = base.select(*key).distinct().withColumn("cooling", F.array().cast(cooling)).checkpoint()
+    todo, picks, done = blocks, None, 0
+    while True:
+        done += 1
+        held = todo.select(*key, F.explode("cooling").alias("c")).select(*key, F.timestamp_seconds("c.at").alias("snapshot_ts"), F.col("c.at").alias("at"), F.col("c.page_id").alias("page_id"), F.lit(None).cast("long").alias("views"), F.lit(True).alias("prior"))
+        new = one_pass(base.join(todo.select(*key), key, "left_semi").unionByName(held), limit, seconds)
+        picks = (new if picks is None else picks.join(todo.select(*key), key, "left_anti").unionByName(new)).checkpoint()
+        if rounds is not None:
+            rounds.append(todo.count())
+        last = picks.select(*key, "at", "page_id").unionByName(base.where("prior").select(*key, "at", "page_id")).where(F.col("at") > (F.col("part") + 1) * width - seconds)
+        left = last.groupBy("source", (F.col("part") + 1).alias("part"), "page_id").agg(F.max("at").alias("at")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("page_id", "at"))).alias("new"))
+        after = blocks.join(left, key, "left").select(*key, F.coalesce("new", F.array().cast(cooling)).alias("cooling"), F.col("cooling").alias("was")).checkpoint()
+        todo, blocks = after.where("cooling <> was").drop("was"), after.drop("was")
+        if todo.isEmpty():
+            return picks
+
+
+def one_pass(rows: DataFrame, limit: int | None, seconds: int) -> DataFrame:
+    """Picks of each (source, part) in one ordered pass, which holds the picks of one cooldown; prior rows only cool."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, now, last, taken = None, None, {}, 0
+        part, now, last, taken = None, None, {}, 0
         for pdf in batches:
             keep = []
-            for source, number, t, page, is_prior in zip(pdf["source"], pdf["run"], pdf["at"], pdf["page_id"], pdf["prior"], strict=True):
-                if (source, number) != run:
-                    run, now, last = (source, number), None, {}
+            for source, number, t, page, is_prior in zip(pdf["source"], pdf["part"], pdf["at"], pdf["page_id"], pdf["prior"], strict=True):
+                if (source, number) != part:
+                    part, now, last = (source, number), None, {}
                 if t != now:
                     now, taken, last = t, 0, {p: u for p, u in last.items() if t - u < seconds}
                 free = page not in last and (limit is None or taken < limit)
@@ -63,10 +91,10 @@ def select_roots(spikes: DataFrame, limit: int | None = LIMIT, cooldown: int = C
                 if free or is_prior:
                     last[page] = t
                     taken += not is_prior
-            yield pdf.loc[keep, ["source", "snapshot_ts", "page_id"]]
+            yield pdf.loc[keep, ["source", "part", "snapshot_ts", "at", "page_id"]]
 
-    order = ["source", "run", "at", F.desc("prior"), F.desc("views"), "page_id"]
-    return rows.unionByName(old).repartition("source", "run").sortWithinPartitions(*order).mapInPandas(pick, "source string, snapshot_ts timestamp, page_id long")
+    order = ["source", "part", "at", F.desc("prior"), F.desc("views"), "page_id"]
+    return rows.repartition("source", "part").sortWithinPartitions(*order).mapInPandas(pick, "source string, part long, snapshot_ts timestamp, at long, page_id long")
 
 
 def root_edges(roots: DataFrame, links: DataFrame) -> DataFrame:

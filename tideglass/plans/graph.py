@@ -39,6 +39,7 @@ def win09_rank(t):
 
 @query("win09_root_selection")
 def win09(t):
+    scratch.path(t.spark, "picks")  # names the checkpoint folder of a local run
     return G.select_roots(t.f_root_rows, 20, 24 * 62)
 
 
