@@ -12,6 +12,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..sources.versions import Versions, WouldOrphan
 from ..streaming import jobs as J
+from ..streaming import pending as P
 from . import scratch
 from .registry import Tables, query
 
@@ -375,6 +376,25 @@ def str10(t):
     return J.live_cycle(pending, t.f_arrival, t.f_hourly_views, A.ewma_baseline(w, AS_OF), NOW)["decisions"].select("wiki", "title", "window_start", "views", "status")
 
 
+@query("str09b_pending_stream", """
+SELECT p.wiki, p.title, p.window_start, CASE WHEN d.status IS NULL THEN 0 ELSE 1 END AS rechecks FROM s_pending p LEFT JOIN s_dec d USING (wiki, title, window_start)
+WHERE (d.status IS NULL OR d.status = 'PENDING_VIEWS') AND NOT (window_start < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 36 HOUR AND EXISTS (SELECT 1 FROM f_arrival a WHERE a.wiki = p.wiki AND a.ts_hour >= p.window_start))""")
+def str09b(t):
+    """Pending windows, then decisions, then the ledger, each a micro-batch of the keyed state."""
+    from .attention import NOW, decisions, pending
+
+    path, day = scratch.path(t.spark, "pending"), NOW[:11]
+    steps = [
+        P.decision_rows(pending(t).withColumn("status", F.lit("PENDING_VIEWS")), day + "11:57:00"), P.decision_rows(decisions(t), day + "11:58:00"),
+        P.ledger_rows(t.f_arrival, day + "11:59:00"), P.ledger_rows(t.f_arrival.orderBy("ts_hour").limit(1), NOW),
+    ]
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{path}/in")
+        source = t.spark.readStream.schema(P.ROWS).parquet(f"{path}/in")
+        P.start_pending_stream(source, f"{path}/out", f"{path}/state", None, buckets=8).awaitTermination()
+    return P.pending_table(t.spark, f"{path}/out")
+
+
 @query("snk07_foreach_batch", "SELECT status, count(*) AS n FROM s_dec WHERE edit_count >= 1 GROUP BY 1")
 def snk07(t):
     return str08(t).groupBy("status").agg(F.count("*").alias("n"))
