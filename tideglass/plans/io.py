@@ -13,6 +13,7 @@ from ..sources import sinks as K
 from ..sources.versions import Versions, WouldOrphan
 from ..streaming import jobs as J
 from ..streaming import pending as P
+from ..streaming.live import Live
 from . import scratch
 from .registry import Tables, query
 
@@ -376,6 +377,29 @@ def str10(t):
     return J.live_cycle(pending, t.f_arrival, t.f_hourly_views, A.ewma_baseline(w, AS_OF), NOW)["decisions"].select("wiki", "title", "window_start", "views", "status")
 
 
+@query("str10b_live_cycle_twice", """
+WITH p AS (SELECT w.wiki, w.title, w.window_start, w.edit_count, a.ts_hour IS NOT NULL AS came, coalesce(v.views, 0) AS views, b.view_ewma AS m, b.view_stddev AS d, coalesce(sample_days >= 7 AND view_ewma > 0, false) AS u
+  FROM s_windows w LEFT JOIN f_arrival a ON a.wiki = w.wiki AND a.ts_hour = w.window_start AND w.window_start <= TIMESTAMP '2024-01-30 09:00:00' LEFT JOIN f_hourly_views v ON v.wiki = w.wiki AND v.title = w.title AND v.ts_hour = w.window_start
+  LEFT JOIN s_base b ON b.wiki = w.wiki AND b.title = w.title AND b.hour_of_day = extract(hour FROM w.window_start) WHERE w.edit_count >= 1 AND w.window_start >= TIMESTAMP '2024-01-28'),
+j AS (SELECT *, CASE WHEN came THEN CASE WHEN views >= 100 AND (NOT u OR (views / m >= 2 AND (d IS NULL OR d = 0 OR (views - m) / d >= 3))) THEN 'CONFIRMED' ELSE 'REJECTED' END
+  WHEN window_start < TIMESTAMP '2024-01-29 00:00:00' AND EXISTS (SELECT 1 FROM p q WHERE q.came AND q.wiki = p.wiki AND q.window_start >= p.window_start) THEN 'EXPIRED' ELSE 'PENDING' END AS kind FROM p)
+SELECT kind, title, window_start, CASE kind WHEN 'CONFIRMED' THEN views END AS views, edit_count, 0 AS rechecks FROM j WHERE kind IN ('CONFIRMED', 'PENDING')""")
+def str10b(t):
+    """All windows of the last days wait for views; the cycle fetches their hours, judges, expires; then once more."""
+    from .attention import AS_OF, JUDGED, NOW, windows
+
+    live = Live(t.spark, scratch.path(t.spark, "live"))
+    w = windows(t)
+    live.put_baseline(A.ewma_baseline(w, AS_OF), AS_OF)
+    waiting = w.where((F.col("edit_count") >= 1) & (F.col("window_start") >= JUDGED))
+    live.add(waiting.withColumns({"status": F.lit("PENDING_VIEWS"), "view_ratio": F.lit(0.0), "view_z": F.lit(0.0), "spike_score": F.lit(0.0)}))
+    rows = t.f_hourly_views.select("wiki", "title", "ts_hour", "views", F.lit(False).alias("is_mobile"))
+    for _ in range(2):
+        live.cycle(NOW, lambda hours: (t.f_arrival, rows), most=1_000)
+    spikes = live.spikes().select(F.lit("CONFIRMED").alias("kind"), "title", "window_start", "views", "edit_count", F.lit(0).alias("rechecks"))
+    return spikes.unionByName(live.pending().select(F.lit("PENDING").alias("kind"), "title", "window_start", F.lit(None).cast("long").alias("views"), "edit_count", F.col("rechecks").cast("int").alias("rechecks")))
+
+
 @query("str09b_pending_stream", """
 SELECT p.wiki, p.title, p.window_start, CASE WHEN d.status IS NULL THEN 0 ELSE 1 END AS rechecks FROM s_pending p LEFT JOIN s_dec d USING (wiki, title, window_start)
 WHERE (d.status IS NULL OR d.status = 'PENDING_VIEWS') AND NOT (window_start < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 36 HOUR AND EXISTS (SELECT 1 FROM f_arrival a WHERE a.wiki = p.wiki AND a.ts_hour >= p.window_start))""")
