@@ -301,6 +301,27 @@ def test_asof_takes_the_latest_fact_of_another_owner(spark):
     assert len(got) == len(targets)
 
 
+@pytest.mark.parametrize("hot", [10, 1_000_000])
+def test_asof_with_a_hot_key_in_blocks(spark, hot):
+    from tideglass.operators.serving import asof_reuse
+
+    rng = random.Random(10)
+    facts = [(rng.choice("aaaab"), rng.randrange(300), rng.choice([1, 1, 1, 2, None]), i) for i in range(150)]
+    targets = [(rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(-5, 320), own) for own in (1, 2, 3) for _ in range(150)]
+    f = spark.createDataFrame(facts, "k string, fts int, owner int, v int").repartition(3)
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(targets)], "i int, k string, ts int, me int").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = asof_reuse(df, f, ["k"], "ts", "fts", "me", "owner", ["v"], ["v"], hot=hot, blocks=16).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for r in got:
+        past = [(ts, v) for k, ts, own, v in facts if k == r.k and ts <= r.ts and own != r.me]
+        assert r.v == (max(past)[1] if past else None), r
+    assert sorted((r.i, r.k, r.ts, r.me) for r in got) == [(i, *t) for i, t in enumerate(targets)]
+    assert (len({r.task for r in got if r.k == "a"}) > 4) == (hot == 10)  # one key over many tasks
+
+
 def test_cosine_topk_takes_any_number_of_queries(spark):
     rng = random.Random(7)
     items = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)], "vec_id long, embedding array<double>").repartition(5)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 
@@ -37,18 +41,33 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> tuple[D
     return df.orderBy(*order).offset(max(0, offset)).limit(min(100, max(1, limit))), df.agg(F.count("*").alias("total"))
 
 
-def asof_reuse(targets: DataFrame, facts: DataFrame, keys: list[str], target_ts: str, fact_ts: str, own: str, fact_own: str, ties: list[str], take: list[str]) -> DataFrame:
+def asof_reuse(
+    targets: DataFrame, facts: DataFrame, keys: list[str], target_ts: str, fact_ts: str, own: str, fact_own: str, ties: list[str], take: list[str], hot: int = 1_000_000, blocks: int = 64,
+) -> DataFrame:
     """Targets with the fields of the latest fact of the same keys at or before them that another owner made.
 
     Equal times are settled by the largest ties. Facts and targets are one table, dealt and sorted once by key and time;
-    running windows carry the latest fact forward, and the latest one of an owner before it. Nothing is joined."""
+    running windows carry the latest fact forward, and the latest one of an owner before it. Nothing is joined but small
+    tables: a key with more than `hot` rows is cut into time blocks at its quantiles, dealt by key and block, and each of them begins
+    with what a scan over the blocks before it carries forward, their last fact and the last one of another owner.
+
+    Rows of one key and one time stay together. Targets with a null in a key find nothing and are dealt evenly."""
     k = [f"__k{i}" for i in range(len(keys))]
     fact = F.struct(F.col(fact_own).alias("owner"), *[F.col(c) for c in take])
     order = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.col(fact_own).alias("owner"))
     f = facts.dropna(subset=keys).select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(fact_ts).alias("__ts"), order.alias("__order"), fact.alias("__x"))
     t = targets.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(target_ts).alias("__ts"), F.struct("*").alias("__row"))
     both = f.unionByName(t, allowMissingColumns=True)
-    w = W.partitionBy(*k).orderBy("__ts", F.col("__row").isNotNull(), "__order")
+    many = both.dropna(subset=k).groupBy(*k).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*k)
+    # There is at most one hot key for `hot` rows, so both small tables are bounded.
+    cuts = both.join(F.broadcast(many), k, "left_semi").groupBy(*k).agg(F.percentile_approx("__ts", [i / blocks for i in range(1, blocks)], 10_000).alias("__cuts"))
+    both = both.join(F.broadcast(cuts), k, "left")
+    whole = reduce(and_, (F.col(c).isNotNull() for c in k))
+    block = F.when(~whole, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).otherwise(F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__ts"))), F.lit(0)))
+    both = both.withColumn("__block", block).withColumn("__seq", F.lit(0))
+    carried = carried_facts(both.where("__cuts is not null and __x is not null"), k, blocks)
+    both = both.drop("__cuts").unionByName(carried, allowMissingColumns=True).repartition(*k, "__block")
+    w = W.partitionBy(*k, "__block").orderBy("__seq", "__ts", F.col("__row").isNotNull(), "__order")
     latest = F.last("__x", True).over(w.rowsBetween(W.unboundedPreceding, -1))
     # Where the owner changes, the fact before is the best of another owner until the next change.
     both = both.withColumn("__before", latest)
@@ -58,6 +77,28 @@ def asof_reuse(targets: DataFrame, facts: DataFrame, keys: list[str], target_ts:
     return both.withColumn("__found", chosen).select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in take])
 
 
+def carried_facts(facts: DataFrame, k: list[str], blocks: int) -> DataFrame:
+    """Facts that each block of a hot key begins with: of the blocks before it the last one of another owner (__seq -2), then
+    the last (-1). A key has two facts a block, so its scan is bounded by `blocks`."""
+    kind = facts.schema["__x"].dataType
+    last = facts.groupBy(*k, "__block", F.col("__x.owner").alias("__o")).agg(F.max(F.struct("__ts", "__order")).alias("__at"), F.max_by("__x", F.struct("__ts", "__order")).alias("__x"))
+    two = last.withColumn("__p", F.row_number().over(W.partitionBy(*k, "__block").orderBy(F.desc("__at")))).where("__p <= 2")
+    by_block = two.groupBy(*k, "__block").agg(F.max(F.when(F.col("__p") == 1, F.col("__x"))).alias("a"), F.max(F.when(F.col("__p") == 2, F.col("__x"))).alias("b"))
+    by_key = by_block.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct("__block", F.struct("a", "b")))).alias("m"))
+    none = F.lit(None).cast(kind)
+    start = F.struct(none.alias("a"), none.alias("b"), F.array().cast(T.ArrayType(T.StructType([T.StructField("block", T.IntegerType()), T.StructField("a", kind), T.StructField("b", kind)]))).alias("out"))
+
+    def step(s: Column, i: Column) -> Column:
+        own = F.try_element_at("m", i)
+        other = F.when(own["b"].isNotNull(), own["b"]).when(~s["a"]["owner"].eqNullSafe(own["a"]["owner"]), s["a"]).otherwise(s["b"])
+        out = F.concat(s["out"], F.array(F.struct(i.alias("block"), s["a"].alias("a"), s["b"].alias("b"))))
+        return F.struct(F.when(own.isNull(), s["a"]).otherwise(own["a"]).alias("a"), F.when(own.isNull(), s["b"]).otherwise(other).alias("b"), out.alias("out"))
+
+    states = by_key.select(*k, F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(blocks)), start, step, lambda s: s["out"])).alias("s"))
+    rows = F.array(F.struct(F.lit(-2).alias("q"), F.col("s.b").alias("x")), F.struct(F.lit(-1).alias("q"), F.col("s.a").alias("x")))
+    return states.select(*k, F.col("s.block").alias("__block"), F.explode(rows).alias("r")).where("r.x is not null").select(*k, "__block", F.col("r.q").alias("__seq"), F.col("r.x").alias("__x"))
+
+
 def top_per_snapshot(clusters: DataFrame, n: int) -> DataFrame:
     """The n clusters of the highest pulse in each snapshot, ties to the smaller id."""
     place = F.row_number().over(W.partitionBy("source", "snapshot_ts").orderBy(F.desc("pulse_score"), "id"))
