@@ -116,3 +116,18 @@ def test_best_stocks_are_cut_before_they_are_gathered(spark):
     assert [(r.cluster_id, [s.ticker for s in r.stocks]) for r in best.collect()] == [(1, [w[1] for w in want])]
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert re.search("WindowGroupLimit.*Partial", plan)
+
+
+def test_exact_quantiles_in_several_rounds(spark):
+    import random
+    import statistics
+
+    from tideglass.operators.statistics import exact_quantile, order_statistic
+
+    rng = random.Random(4)
+    for values in ([rng.choice([rng.gauss(0, 1), 0.0, 1e300, -1e300, 5.0]) for _ in range(1001)], [7.0, 9.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "x double").repartition(2)
+        assert exact_quantile(df, "x", bins=64, few=20) == pytest.approx(statistics.median(values), rel=1e-15)
+    own = spark.createDataFrame([(2.0 ** rng.randrange(-60, 60),) for _ in range(500)], "x double")
+    assert order_statistic(own, "x", 100, bins=8, few=20) == sorted(r.x for r in own.collect())[100]
+    assert exact_quantile(df.where("false"), "x") is None

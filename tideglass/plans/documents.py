@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as O
 from ..operators import graph as G
+from ..sources.copies import copy_snapshots
+from . import scratch
 from .graph import links, roots
 from .registry import STEPS, Tables, query
 
@@ -27,7 +29,9 @@ def store(t: Tables, focus: float = 0.0, detach: int = 10**9) -> tuple[DataFrame
     own, cluster_id = roots(t), (F.date_format("snapshot_ts", "yyyyMM").cast("long") * 1000 + F.col("comp")).alias("cluster_id")
     none = lambda kind: F.lit(None).cast(kind)
     hour = F.expr("interval 1 hour")
-    linked = G.core_links(own, links(t), focus, detach).select("*", cluster_id)
+    path = scratch.path(t.spark, "linked")
+    G.core_links(own, links(t), focus, detach).select("*", cluster_id).write.parquet(path)
+    linked = t.spark.read.parquet(path)
     people = linked.join(own.drop("link_key"), ["source", "snapshot_ts", "page_id"]).select(
         "cluster_id", "source", "snapshot_ts", "comp", "page_id", F.lit("enwiki").alias("wiki"), "title", (F.col("score") >= 5).alias("is_seed"), F.col("score").alias("weight"), none("long").alias("edit_count"), "views",
         none("double").alias("edit_baseline"), (F.col("views") / 4.0).alias("view_baseline"), F.col("score").alias("spike_score"), F.round(F.col("score") / (F.col("score") + 5), 6).alias("size_score"),
@@ -124,3 +128,44 @@ def grf13b(t):
     out = O.report_inputs(clusters, people, intros, reports, stocks)
     line = lambda m: F.concat_ws("|", m["page_id"].cast("string"), m["title"], m["is_seed"].cast("string"), m["views"].cast("string"), m["usual_views"].cast("string"), F.coalesce(F.char_length(m["intro"]), F.lit(0)).cast("string"))
     return out.select("id", "snapshot_ts", "label", "short_summary", written("members", line).alias("members"), written("stocks", lambda s: s["ticker"]).alias("stocks"))
+
+
+@query("snk11b_copied_days", """
+WITH n AS (SELECT * FROM s_d_clusters WHERE snapshot_ts = TIMESTAMP '1996-01-01'), m AS (SELECT d.* FROM s_d_members d JOIN n ON n.id = d.cluster_id),
+e AS (SELECT d.* FROM s_d_edges d JOIN n ON n.id = d.cluster_id),
+s AS (SELECT page_id, title, k, page_id % 4 = 0 AND k = 0 AS there FROM m, range(-1, 3) r(k) WHERE k < 2)
+SELECT 'page' AS kind, title AS a, '' AS b, 1 AS n FROM (SELECT DISTINCT title FROM m UNION SELECT DISTINCT title FROM s_d_members WHERE page_id % 2 = 0)
+UNION ALL SELECT 'snapshot', strftime(snapshot_ts, '%Y-%m'), '', 1 FROM n GROUP BY 2 UNION ALL SELECT 'snapshot', '1995-12', '', 1
+UNION ALL SELECT 'cluster', label, strftime(n.snapshot_ts, '%Y-%m'), count(*) FROM n GROUP BY 2, 3
+UNION ALL SELECT 'member', title, label, count(*) FROM m JOIN n ON n.id = m.cluster_id GROUP BY 2, 3
+UNION ALL SELECT 'edge', 'page_' || src, 'page_' || (a + b - src), count(*) FROM e GROUP BY 2, 3
+UNION ALL SELECT 'spike', title, CASE WHEN there THEN 'kept' ELSE 'copied' END, count(*) FROM s WHERE k IN (-1, 0) GROUP BY 2, 3""")
+def snk11b(t):
+    """January 1996 into a store that has every other page under other ids, the month before, and some of the spikes."""
+    clusters, people, edges, registry = store(t)
+    pages = people.select("page_id", "wiki", "title").distinct()
+    at = F.explode(F.array(*(F.lit(k) for k in (-2, -1, 0, 1)))).alias("k")
+    day = (F.lit("1996-01-01").cast("date") + F.col("k")).cast("timestamp")
+    spikes = people.where("snapshot_ts = '1996-01-01'").select("source", "page_id", at).select("source", "page_id", day.alias("window_start"), day.alias("detected_at"), F.lit("copied").alias("said"))
+    other = lambda c: (F.col(c) + 5_000).alias(c)
+    month = lambda df: df.where("snapshot_ts = '1995-12-01'")
+    there = spikes.where("page_id % 4 = 0 and window_start = '1996-01-01'").withColumn("said", F.lit("kept"))
+    target = {
+        "pages": pages.where("page_id % 2 = 0").select(other("page_id"), "wiki", "title"), "snapshots": month(registry), "clusters": clusters.where("false"), "members": people.where("false"), "edges": edges.where("false"),
+        "spikes": there.select("source", other("page_id"), "window_start", "detected_at", "said"),
+    }
+    out = copy_snapshots({"pages": pages, "snapshots": registry, "clusters": clusters, "members": people, "edges": edges, "spikes": spikes}, target, ["1996-01-01", "1995-12-01"])
+    name = out["pages"].select(F.col("page_id").alias("p"), F.col("title").alias("said_title"))
+    label = out["clusters"].select(F.col("id").alias("c"), F.col("label").alias("said_label"))
+    two = out["edges"].join(name, F.col("source_page_id") == F.col("p")).select("target_page_id", F.col("said_title").alias("a")).join(name, F.col("target_page_id") == F.col("p")).select("a", F.col("said_title").alias("b"))
+    parts = {
+        "page": out["pages"].select(F.col("title").alias("a"), F.lit("").alias("b")), "snapshot": out["snapshots"].select(F.date_format("snapshot_ts", "yyyy-MM").alias("a"), F.lit("").alias("b")),
+        "cluster": out["clusters"].select(F.col("label").alias("a"), F.date_format("snapshot_ts", "yyyy-MM").alias("b")),
+        "member": out["members"].join(name, F.col("page_id") == F.col("p")).join(label, F.col("cluster_id") == F.col("c")).select(F.col("said_title").alias("a"), F.col("said_label").alias("b")),
+        "edge": two, "spike": out["spikes"].join(name, F.col("page_id") == F.col("p")).select(F.col("said_title").alias("a"), F.col("said").alias("b")),
+    }
+    whole = [df.groupBy("a", "b").agg(F.count("*").cast("int").alias("n")).select(F.lit(kind).alias("kind"), "a", "b", "n") for kind, df in parts.items()]
+    rows = whole[0]
+    for w in whole[1:]:
+        rows = rows.unionByName(w)
+    return rows

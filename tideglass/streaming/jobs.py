@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import scalar as S
 from ..operators import attention as A
@@ -61,9 +62,43 @@ def start_diagnostic_stream(windows: DataFrame, name: str, kind: str = "memory")
     return (out.queryName(name) if kind == "memory" else out).start()
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark."""
-    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Rows of each query that came behind the watermark, added up over all of its batches while this listens; a query
+    itself remembers the last hundred only. Progress that comes again, such as that of an idle query, counts once."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.batch: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        key, n = str(p.id), sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        if p.batchId > self.batch.get(key, -1):
+            self.dropped[key] = self.dropped.get(key, 0) + n
+            self.batch[key] = p.batchId
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def of(self, query: StreamingQuery, seconds: float = 30) -> int:
+        """The rows of a query up to its last batch; listeners run behind, so it waits for that batch for some seconds."""
+        last, until = query.lastProgress, time.monotonic() + seconds
+        while last is not None and self.batch.get(str(query.id), -1) < last.batchId and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.dropped.get(str(query.id), 0)
+
+
+def count_late_rows(spark: SparkSession) -> LateRows:
+    """A listener on all queries of the session from now on."""
+    out = LateRows()
+    spark.streams.addListener(out)
+    return out
 
 
 def parity(stream: DataFrame, batch: DataFrame) -> DataFrame:
