@@ -142,8 +142,14 @@ UNION ALL SELECT 'edge', 'page_' || src, 'page_' || (a + b - src), count(*) FROM
 UNION ALL SELECT 'spike', title, CASE WHEN there THEN 'kept' ELSE 'copied' END, count(*) FROM s WHERE k IN (-1, 0) GROUP BY 2, 3""")
 def snk11b(t):
     """January 1996 into a store that has every other page under other ids, the month before, and some of the spikes."""
-    clusters, people, edges, registry = store(t)
-    pages = people.select("page_id", "wiki", "title").distinct()
+    base = scratch.path(t.spark, "copies")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return t.spark.read.parquet(f"{base}/{name}")
+
+    clusters, people, edges, registry = (kept(df, f"source{i}") for i, df in enumerate(store(t)))
+    pages = kept(people.select("page_id", "wiki", "title").distinct(), "pages")
     at = F.explode(F.array(*(F.lit(k) for k in (-2, -1, 0, 1)))).alias("k")
     day = (F.lit("1996-01-01").cast("date") + F.col("k")).cast("timestamp")
     spikes = people.where("snapshot_ts = '1996-01-01'").select("source", "page_id", at).select("source", "page_id", day.alias("window_start"), day.alias("detected_at"), F.lit("copied").alias("said"))
@@ -155,6 +161,7 @@ def snk11b(t):
         "spikes": there.select("source", other("page_id"), "window_start", "detected_at", "said"),
     }
     out = copy_snapshots({"pages": pages, "snapshots": registry, "clusters": clusters, "members": people, "edges": edges, "spikes": spikes}, target, ["1996-01-01", "1995-12-01"])
+    out = {k: kept(df, f"target_{k}") for k, df in out.items()}
     name = out["pages"].select(F.col("page_id").alias("p"), F.col("title").alias("said_title"))
     label = out["clusters"].select(F.col("id").alias("c"), F.col("label").alias("said_label"))
     two = out["edges"].join(name, F.col("source_page_id") == F.col("p")).select("target_page_id", F.col("said_title").alias("a")).join(name, F.col("target_page_id") == F.col("p")).select("a", F.col("said_title").alias("b"))
