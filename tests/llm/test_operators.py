@@ -497,11 +497,11 @@ def test_topk_against_all_scores(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(600)] + [(1000 + i, rng.normal(0, 0.2, 5).tolist()) for i in range(60)]
     rows += [(700, rows[3][1]), (701, rows[3][1]), (50, rows[3][1]), (50, rows[3][1]), (50, rows[50][1]), (750, None), (751, [None] * 16), (800, [float("nan")] * 16), (850, [float("inf")] * 16), (900, []), (None, rows[3][1]), (2000, [0.0, 900.0, -3.5]), (2001, [1.0, -70.0, 2.0]), (2002, [1.0, 1e4, 2.0])]
-    rows += [(2050, [1e13, -1e13]), (2051, [1e13, 1e13]), (2052, [1e13, -9e12]), (2100, [1e14, 0.0]), (2053, [0.0, 0.0])]
+    rows += [(2050, [1e13, -1e13]), (2051, [1e13, 1e13]), (2052, [1e13, -9e12]), (2100, [1e14, 0.0]), (2053, [0.0, 0.0]), (2054, [1.0, 2.0]), (2150, [-3e16, 3e16]), (2055, [1e300, -1e300]), (2200, [-1e17, 2.0])]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(3)
-    valid = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) and abs(x) <= 2**52 / 256 for x in v)]
     held = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    valid = [(i, [held(int(np.floor(x * 256))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     expected = Counter()
     for n, (i, q) in enumerate(valid):
         if i % 50 == 0:

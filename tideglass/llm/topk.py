@@ -9,10 +9,10 @@ down; rows that lie within the quantisation error of it are the boundary, and th
 Every row is indexed (recall 1). Queries are packed into blocks too; blocks of rows are dealt to groups, every block of
 queries goes to each group, and the two meet by an equal key of vector length and group. Each pair of blocks returns k
 rows a query, and a ranked window merges them. Nothing passes through the driver.
-Defined cases: vectors that are null, empty, or hold components that are null, not finite or beyond 2**52 / scale take
-no part; only vectors of a query's own dimension are candidates; the query's own row is not; ties go to the smaller id;
-rows that share an id are each a candidate and each a query of their own; a null id takes no part; a score that passes
-64 bits is held to their ends.
+Defined cases: vectors that are null, empty, or hold components that are null or not finite take no part; only vectors of a
+query's own dimension are candidates; the query's own row is not; ties go to the smaller id; rows that share an id are each a
+candidate and each a query of their own; a null id takes no part; a scaled component or a score that passes 64 bits is held to
+their ends.
 """
 
 from __future__ import annotations
@@ -39,14 +39,14 @@ FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("qu
 
 def quantised(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     ok = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
-    ok = ok & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) > 2.0**52 / scale))
+    ok = ok & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"))
 
 
 def sliced(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps [attribute, kept slice (least first), word] and meta [attribute]: smallest value, bits left out, bits kept."""
     low = x.min(axis=0)
-    u = (x - low).astype(U64)
+    u = (x - low).view(U64)  # differences pass 63 bits, but not 64
     bits = np.array([int(v).bit_length() for v in u.max(axis=0)])
     cut = np.maximum(bits - KEEP, 0)
     words = -(-len(x) // 64)
@@ -106,9 +106,9 @@ def best(q: np.ndarray, own: int, k: int, ids: np.ndarray, rows: np.ndarray, x:
     """(ids, scores) of the block's k best rows for a query; own is the query's row. maps: the slices [attribute * KEEP + b, word],
     and after them their complements."""
     j = np.flatnonzero(q)
-    weight, (_, cut, kept) = np.abs(q[j]), meta[j].T
+    weight, (_, cut, kept) = np.abs(q[j]).view(U64), meta[j].T
     slack = int(sum(int(w) * ((1 << int(c)) - 1) for w, c in zip(weight, cut, strict=True)))
-    at, bit = np.nonzero(weight[:, None] >> np.arange(64) & 1)
+    at, bit = np.nonzero(weight[:, None] >> np.arange(64, dtype=U64) & U64(1))
     which, b = np.repeat(np.arange(len(at)), kept[at]), np.arange(kept[at].sum()) - np.repeat(np.cumsum(kept[at]) - kept[at], kept[at])
     of = at[which]
     power = bit[which] + b + cut[of]
@@ -118,7 +118,7 @@ def best(q: np.ndarray, own: int, k: int, ids: np.ndarray, rows: np.ndarray, x:
     inside = bool((rows == own).any())
     near = boundary(slices, every, k + inside, slack)
     near = near[rows[near] != own]
-    if len(q) * float(np.abs(q).max(initial=0)) * float(np.abs(x[near]).max(initial=0)) < 2.0**62:
+    if len(q) * float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x[near].astype(float)).max(initial=0)) < 2.0**62:
         scores = x[near] @ q
     else:
         whole = x[near].astype(object) @ q.astype(object)
