@@ -259,7 +259,7 @@ def test_finished_shards_are_left_alone(spark, tmp_path):
 
 
 #: Queries that join one row of totals; in jon04 it is a row a wiki, and the tables have one wiki.
-ONE_ROW = {"agg10_org_lift", "ord05_page_with_total", "jon04_expire"}
+ONE_ROW = {"agg10_org_lift", "ord05_page_with_total", "jon04_expire", "win03c_history_page", "ord10c_stock_directory", "win10b_settled_slot"}
 
 
 def test_plans_pair_no_rows_and_hold_no_table_in_one_window(spark):
@@ -322,9 +322,37 @@ def test_asof_with_a_hot_key_in_blocks(spark, hot):
     assert (len({r.task for r in got if r.k == "a"}) > 4) == (hot == 10)  # one key over many tasks
 
 
+def plain_cosines(rows, queries, k, digits=9):
+    out = []
+    for q, u in queries:
+        def cos(v):
+            if len(u) != len(v) or not any(u) or not any(v):
+                return None
+            return round(sum(a * b for a, b in zip(u, v, strict=True)) / (sum(a * a for a in u) * sum(b * b for b in v)) ** 0.5, digits)
+
+        scored = sorted(((cos(v), i) for i, v in rows if i != q), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+        out += [(q, i, s, n + 1) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_cosine_topk_skips_blocks_and_loses_nothing(spark):
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.03) for c in centres[i % 12]]) for i in range(600)]
+    rows += [(700, [0.0] * 6), (701, rows[5][1]), (702, [3 * x for x in rows[5][1]]), (703, [1.0, 2.0])]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = [(i, v) for i, v in rows if i % 50 == 0 or i >= 700]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    trace = {}
+    got = V.cosine_topk(queries, items, 4, trace=trace)
+    assert [r[:2] + (r[2] if r[2] is None else pytest.approx(r[2], abs=2e-9), r[3]) for r in sorted(map(tuple, got.select("query_id", "item_id", "similarity", "place").collect()))] == plain_cosines(rows, asked, 4)
+    assert trace["read"] < 0.6 * trace["pairs"]  # two queries without a direction read all
+    assert V.cosine_topk(queries, items.where("false"), 4).count() == 0 and V.cosine_topk(queries.where("false"), items, 4).count() == 0
+
+
 def test_cosine_topk_takes_any_number_of_queries(spark):
     rng = random.Random(7)
     items = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)], "vec_id long, embedding array<double>").repartition(5)
     queries = items.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
-    whole, blocks = V.cosine_topk(queries, items, 4), V.cosine_topk(queries, items, 4, block=9)
+    whole, blocks = V.cosine_topk(queries, items, 4), V.cosine_topk(queries, items, 4, pivots=1)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 40 * 4

@@ -54,3 +54,51 @@ def clean_sections(df: DataFrame, column: str = "sections", members: str = "memb
     own = F.filter(F.coalesce(F.from_json(column, kind), F.array().cast(kind)), lambda s: full(s["id"]) & full(s["title"]))
     fixed = F.transform(own, lambda s: F.struct(s["id"].alias("id"), s["title"].alias("title"), s["body"].alias("body"), F.array_intersect(F.coalesce(s["evidenceIds"], F.array().cast("array<string>")), F.col(members)).alias("evidenceIds")))
     return df.withColumn(column, fixed)
+
+
+def window_violations(windows: DataFrame) -> DataFrame:
+    """windows with each rule that they break: end after start, last edit before end, detected after start. What is null breaks none
+    but the first, which needs both ends."""
+    rules = {
+        "end": ~F.coalesce(F.col("window_end") > F.col("window_start"), F.lit(False)), "last_edit": F.col("last_edit_ts") >= F.col("window_end"), "detected": F.col("detected_at") <= F.col("window_start"),
+    }
+    found = F.array_compact(F.array(*(F.when(wrong, name) for name, wrong in rules.items())))
+    return windows.withColumn("rule", F.explode(found))
+
+
+#: Keys and domains of an answer about a stock, and keys of a summary.
+ANSWER = ("issue_class", "verified", "match_path", "confidence", "rationale_en", "rationale_ko")
+ISSUE_CLASSES = ("SINGLE_COMPANY_EVENT", "SECTOR_OR_REGION_EVENT")
+MATCH_PATHS = ("DIRECT_MENTION", "PRODUCT_INDUSTRY", "SUPPLY_CHAIN", "REGION")
+CONFIDENCES = ("strong", "weak")
+SUMMARY = ("sufficient_context", "summary_ko")
+
+
+def of_schema(body: str, keys: tuple[str, ...], flag: str) -> tuple[Column, Column]:
+    """(fields as JSON texts by name, what is wrong): an object of exactly the keys, with true or false under flag."""
+    fields = F.from_json(body, "map<string,string>")
+    raw = F.get_json_object(body, f"$.{flag}")
+    quoted = F.rlike(body, F.lit(rf'"{flag}"\s*:\s*"'))
+    names = F.json_object_keys(body)
+    wrong = F.when(names.isNull(), "not_object").when(F.array_sort(names) != F.array(*(F.lit(k) for k in sorted(keys))), "keys").when(~F.coalesce(raw.isin("true", "false"), F.lit(False)) | quoted, flag)
+    return fields, wrong
+
+
+def answer_violations(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Answers about stocks that break their schema, with the first rule that they break: six keys, the issue's class, a flag, and
+    if it is true a path, a confidence and two texts, else nulls."""
+    x, wrong = of_schema(body, ANSWER, "verified")
+    blank = lambda k: F.trim(F.coalesce(x[k], F.lit(""))) == ""
+    yes = x["verified"] == "true"
+    wrong = wrong.when(~F.coalesce(x["issue_class"].isin(*ISSUE_CLASSES), F.lit(False)), "issue_class")
+    wrong = wrong.when(yes & ~F.coalesce(x["match_path"].isin(*MATCH_PATHS), F.lit(False)), "match_path").when(yes & ~F.coalesce(x["confidence"].isin(*CONFIDENCES), F.lit(False)), "confidence")
+    wrong = wrong.when(yes & blank("rationale_en"), "rationale_en").when(yes & blank("rationale_ko"), "rationale_ko")
+    rest = F.coalesce(x["match_path"], x["confidence"], x["rationale_en"], x["rationale_ko"])
+    return responses.withColumn("error", wrong.when(~yes & rest.isNotNull(), "not_null")).where("error is not null")
+
+
+def summary_violations(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Summaries that break their schema: two keys, a flag, and a text if and only if it is true."""
+    x, wrong = of_schema(body, SUMMARY, "sufficient_context")
+    blank, yes = F.trim(F.coalesce(x["summary_ko"], F.lit(""))) == "", x["sufficient_context"] == "true"
+    return responses.withColumn("error", wrong.when(yes & blank, "summary").when(~yes & x["summary_ko"].isNotNull(), "not_null")).where("error is not null")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,19 +149,80 @@ def combine(embedding: DataFrame, lift: DataFrame, keys: list[str]) -> DataFrame
     return both.withColumn("place", place)
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int, block: int = 1_000, digits: int = 9) -> DataFrame:
+def angles_to(pivots: np.ndarray, column: pa.ListArray) -> np.ndarray:
+    """Angles of each vector of a column to each pivot (rows of length 1); NaN for a vector without a direction or of another
+    length."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = np.full((len(lengths), len(pivots)), np.nan)
+    own = lengths == pivots.shape[1]
+    if own.any():
+        x = column.filter(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, pivots.shape[1])
+        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[own] = np.arccos(np.clip(x / size @ pivots.T, -1, 1))
+    return out
+
+
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int, digits: int = 9, pivots: int | None = None, trace: dict | None = None) -> DataFrame:
     """The k items nearest each query by cosine, rounded to digits so that order does not hang on the sum's order.
 
-    A stated set of queries against all items: queries are dealt to blocks of about `block` by the hash of query_id, an item
-    goes to every block, and each partition sends its k best a query on. Lengths are computed once a vector."""
-    length = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    blocks = max(1, -(-queries.count() // block))
-    own = queries.select("query_id", F.col("embedding").alias("q"), length("embedding").alias("qq"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    every = items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), length("embedding").alias("vv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, x: s + x)
-    pairs = every.join(own, "block").where("query_id <> item_id").select("query_id", "item_id", F.round(F.try_divide(dot, F.sqrt(F.col("qq") * F.col("vv"))), digits).alias("similarity"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k)
+    Items belong to the block of their nearest pivot, some hundred items at most. A block's items lie within an angle of it, its
+    radius, so an item's angle to a query is at least the pivot's less the radius. Each query first meets the blocks that can
+    be nearest, until they hold k items, and then only blocks that can still reach its k-th similarity; the others are not read
+    for it. Items without a direction (zero, or of another length) are a block of their own, which all read; so are all blocks for
+    such a query. trace gets how many pairs there are and how many were read. Pivots and radii are all that the driver holds."""
+    n = items.count()
+    wanted = pivots or max(1, min(256, math.isqrt(n)))
+    picked = items.where(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("embedding").collect()
+    dims = len(picked[0].embedding) if picked else 0
+    centre = np.array([r.embedding for r in picked if len(r.embedding) == dims], dtype=np.float64).reshape(-1, dims)
+    centre = centre / np.sqrt((centre * centre).sum(axis=1, keepdims=True))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = angles_to(centre, batch.column(1)) if len(centre) else np.full((batch.num_rows, 1), np.nan)
+            some = ~np.isnan(angle).any(axis=1)
+            block = np.where(some, np.where(np.isnan(angle), np.inf, angle).argmin(axis=1), -1).astype(np.int32)
+            near = np.where(some, np.where(np.isnan(angle), np.inf, angle).min(axis=1), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block), pa.array(near)], names=[*batch.schema.names, "block", "angle"])
+
+    fields = [T.StructField("item_id", items.schema["vec_id"].dataType), T.StructField("v", items.schema["embedding"].dataType)]
+    placed = items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")).mapInArrow(assign, T.StructType([*fields, T.StructField("block", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+    known = {r.block: (r.n, r.radius) for r in placed.groupBy("block").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    blocks = np.array(sorted(known), dtype=np.int32)
+    sizes, radii = (np.array([known[b][i] for b in blocks.tolist()]) for i in range(2))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angle = angles_to(centre, batch.column(1)) if len(centre) else np.full((batch.num_rows, 1), np.nan)
+            out: tuple[list, list, list] = ([], [], [])
+            for own in angle:
+                most = np.cos(np.maximum(0, np.where(blocks >= 0, own[blocks], 0) - radii - 1e-6)) + 1e-6
+                most = np.where((blocks < 0) | np.isnan(most), 2.0, most)
+                order = np.argsort(-most, kind="stable")
+                held = np.cumsum(np.where(blocks[order] < 0, 0, sizes[order]))
+                out[0].append(blocks[order]), out[1].append(most[order]), out[2].append(np.concatenate(([True], held[:-1] <= k)) if len(order) else [])
+            lists = [pa.array([list(x) for x in c], type=pa.list_(t)) for c, t in zip(out, (pa.int32(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "blocks", "most", "first"])
+
+    given = T.StructType([queries.schema["query_id"], T.StructField("q", queries.schema["embedding"].dataType), *(T.StructField(c, T.ArrayType(t)) for c, t in (("blocks", T.IntegerType()), ("most", T.DoubleType()), ("first", T.BooleanType())))])
+    asked = queries.select("query_id", F.col("embedding").alias("q")).mapInArrow(ask, given).select("query_id", "q", F.explode(F.arrays_zip("blocks", "most", "first")).alias("x")).select("query_id", "q", F.col("x.blocks").alias("block"), F.col("x.most").alias("most"), F.col("x.first").alias("first"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(placed.drop("angle"), "block").where("query_id <> item_id").select("query_id", "item_id", F.round(S.cosine(F.col("q"), F.col("v")), digits).alias("similarity"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
+        return rows.withColumn("place", place).where(F.col("place") <= k)
+
+    near = ranked(scored(asked.where("first")))
+    kth = near.where(F.col("place") == k).select("query_id", F.col("similarity").alias("kth"))
+    rest = asked.where("not first").join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - 10.0**-digits))
+    if trace is not None:
+        count = F.element_at(F.create_map(*(F.lit(x) for b in known for x in (b, known[b][0]))), F.col("block"))
+        read = asked.where("first").select("block").unionByName(rest.select("block")).agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+        trace |= {"pairs": n * queries.count(), "read": read}
+    return ranked(near.drop("place").unionByName(scored(rest)))
 
 
 def representative_text(lines: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
