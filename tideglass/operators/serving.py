@@ -175,7 +175,8 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, digits: int = 9, p
     wanted = pivots or max(1, min(256, math.isqrt(n)))
     picked = items.where(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("embedding").collect()
     dims = len(picked[0].embedding) if picked else 0
-    centre = np.array([r.embedding for r in picked if len(r.embedding) == dims], dtype=np.float64).reshape(-1, dims)
+    own = [r.embedding for r in picked if len(r.embedding) == dims]
+    centre = np.array(own, dtype=np.float64).reshape(len(own), dims)
     centre = centre / np.sqrt((centre * centre).sum(axis=1, keepdims=True))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, digits: int = 9, p
     placed = items.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")).mapInArrow(assign, T.StructType([*fields, T.StructField("block", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
     known = {r.block: (r.n, r.radius) for r in placed.groupBy("block").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
     blocks = np.array(sorted(known), dtype=np.int32)
-    sizes, radii = (np.array([known[b][i] for b in blocks.tolist()]) for i in range(2))
+    sizes, radii = (np.array([known[b][i] for b in blocks.tolist()], dtype=np.float64) for i in range(2))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
