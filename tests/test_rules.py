@@ -247,6 +247,45 @@ def test_archives_with_a_broken_one(spark, tmp_path):
     assert [(r.doc_id, r.orgs, r.themes, r.locations) for r in out] == [("http://x", ["acme", "beta"], ["A", "B"], ["paris, france"])]
 
 
+def test_edit_stream_asks_for_offsets_and_parses(spark):
+    asked = {}
+
+    class Reader:  # stands for a broker
+        def format(self, kind):
+            asked["format"] = kind
+            return self
+
+        def option(self, name, value):
+            asked[name] = value
+            return self
+
+        def load(self):
+            return spark.createDataFrame([('{"meta_id":"1","wiki":"w","title":"T","is_bot":false,"event_ts":"2024-01-01T00:00:00.000Z"}',), ("broken",), ('{"meta_id":" "}',)], "value string").select(F.encode("value", "UTF-8").alias("value"))
+
+    class Session:
+        readStream = Reader()  # noqa: N815
+
+    out = R.read_edit_stream(Session(), "host:9092", "edits", "earliest", 7)
+    assert asked == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "subscribe": "edits", "startingOffsets": "earliest", "maxOffsetsPerTrigger": 7}
+    assert {f.name for f in R.EDIT.fields} <= set(out.columns)
+    assert [r.meta_id for r in out.collect()] == ["1"]
+
+
+def plain_lead(text, budget):
+    head, *rest = text.split(". ")
+    used, kept = len(head), []
+    for s in reversed(rest):
+        if used + len(s) + 2 > budget:
+            break
+        used, kept = used + len(s) + 2, [s, *kept]
+    return ". ".join([head, *kept])[:budget]
+
+
+def test_leads_of_all_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", S.fit_lead(F.col("text"), 300).alias("lead")).collect()
+    assert [r.lead for r in rows] == [r.text and plain_lead(r.text, 300) for r in rows]
+
+
 def test_listing_with_trailer(spark, tmp_path):
     (tmp_path / "l.txt").write_text("Symbol|Security Name|Test Issue|ETF\nABC|Abc Inc. - Common Stock|N|N\nDEF|Def Trust|N|Y\nG$|G Common Stock|N|N\nFile Creation Time: 1|||\n")
     assert [r.ticker for r in R.common_stock(R.read_listing(spark, str(tmp_path))).collect()] == ["ABC"]

@@ -117,12 +117,24 @@ def fun21(t):
     return V.representative_text(rows, ["cluster"], [F.desc_nulls_last("n_chars"), F.col("doc_id")], 2000)
 
 
-@query("fun22_fit_lead")
+@query("fun22_fit_lead", """
+WITH p AS (SELECT doc_id, string_split(text, '. ') AS s FROM documents), n AS (SELECT *, len(s) AS n FROM p),
+m AS (SELECT *, list_max(list_filter(range(n), lambda m: len(s[1]) + coalesce(list_sum(list_transform(s[n - m + 1:n], lambda x: len(x) + 2)), 0) <= 400 OR m = 0)) AS m FROM n)
+SELECT doc_id, left(array_to_string(list_concat([s[1]], CASE WHEN m > 0 THEN s[n - m + 1:n] ELSE [] END), '. '), 400) AS lead FROM m""")
 def fun22(t):
     return t.documents.select("doc_id", S.fit_lead(F.col("text"), 400).alias("lead"))
 
 
-@query("fun23_lead_from_html")
+#: Tags go one kind after the other here, since the pattern language of the SQL has no back references.
+GONE = "html"
+for tag in ("table", "style", "figure", "sup"):
+    GONE = f"regexp_replace({GONE}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
+LEAD = f"array_to_string(list_transform(regexp_extract_all({GONE}, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda p: regexp_replace(p, '(?s)<[^>]+>', '', 'g')), ' ')"
+for entity, sign in S.ENTITIES:
+    LEAD = f"replace({LEAD}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("fun23_lead_from_html", f"SELECT page_id, trim(regexp_replace({LEAD}, '\\s+', ' ', 'g')) AS lead FROM pages")
 def fun23(t):
     return t.pages.select("page_id", S.lead_from_html(F.col("html")).alias("lead"))
 
