@@ -52,9 +52,10 @@ def asof_reuse(
     """Targets with the fields of the latest fact of the same keys at or before them that another owner made.
 
     Equal times are settled by the largest ties. Facts and targets are one table, dealt and sorted once by key and time;
-    running windows carry the latest fact forward, and the latest one of an owner before it. Nothing is joined but small
-    tables: a key with more than `hot` rows is cut into time blocks at its quantiles, dealt by key and block, and each of them begins
-    with what a scan over the blocks before it carries forward, their last fact and the last one of another owner.
+    running windows carry the latest fact forward, and the latest one of an owner before it. Keys are
+    counted first, at once: a key with more than `hot` rows is cut into time blocks at its quantiles, dealt by key and block, and
+    each of them begins with what a scan over the blocks before it carries forward, their last fact and the last one of
+    another owner. Nothing is joined but the cuts.
 
     Rows of one key and one time stay together. Targets with a null in a key find nothing and are dealt evenly."""
     k = [f"__k{i}" for i in range(len(keys))]
@@ -64,14 +65,18 @@ def asof_reuse(
     t = targets.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(target_ts).alias("__ts"), F.struct("*").alias("__row"))
     both = f.unionByName(t, allowMissingColumns=True)
     many = both.dropna(subset=k).groupBy(*k).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*k)
-    # There is at most one hot key for `hot` rows, so both small tables are bounded.
-    cuts = both.join(F.broadcast(many), k, "left_semi").groupBy(*k).agg(F.percentile_approx("__ts", [i / blocks for i in range(1, blocks)], 10_000).alias("__cuts"))
-    both = both.join(F.broadcast(cuts), k, "left")
     whole = reduce(and_, (F.col(c).isNotNull() for c in k))
-    block = F.when(~whole, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).otherwise(F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__ts"))), F.lit(0)))
-    both = both.withColumn("__block", block).withColumn("__seq", F.lit(0))
-    carried = carried_facts(both.where("__cuts is not null and __x is not null"), k, blocks)
-    both = both.drop("__cuts").unionByName(carried, allowMissingColumns=True).repartition(*k, "__block")
+    block = F.when(~whole, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+    both = both.withColumn("__seq", F.lit(0))
+    if many.isEmpty():
+        both = both.withColumn("__block", F.coalesce(block, F.lit(0)))
+    else:
+        # There is at most one hot key for `hot` rows, so both small tables are bounded.
+        cuts = both.join(F.broadcast(many), k, "left_semi").groupBy(*k).agg(F.percentile_approx("__ts", [i / blocks for i in range(1, blocks)], 10_000).alias("__cuts"))
+        both = both.join(F.broadcast(cuts), k, "left")
+        both = both.withColumn("__block", block.otherwise(F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__ts"))), F.lit(0))))
+        carried = carried_facts(both.where("__cuts is not null and __x is not null"), k, blocks)
+        both = both.drop("__cuts").unionByName(carried, allowMissingColumns=True).repartition(*k, "__block")
     w = W.partitionBy(*k, "__block").orderBy("__seq", "__ts", F.col("__row").isNotNull(), "__order")
     latest = F.last("__x", True).over(w.rowsBetween(W.unboundedPreceding, -1))
     # Where the owner changes, the fact before is the best of another owner until the next change.
