@@ -2,6 +2,9 @@
 
 Each stage takes all documents that its predecessor kept and returns a DataFrame, which is written as Parquet and read
 again as the next stage's documents. All but the last return the columns of documents; the last adds ids, the tokens.
+
+In every stage a null text counts as an empty one, nulls in other columns stay as they are, an empty table gives an empty one,
+and columns beyond those of documents are kept.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; rows with a null doc_id are judged by their text and source alone."""
+    """Documents that the classifier accepts. Rows with a null doc_id are judged by their text and source alone; rows equal in
+    doc_id, source and text share one decision, and a document at the threshold is kept."""
     bound_session(spark)
     keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
     judged = quality.classify(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("__key",))
@@ -27,19 +31,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one of the smallest doc_id. Of rows of a group that share it one
+    stays; rows without words or without a doc_id all stay."""
     bound_session(spark)
     return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Items without a word are contained in nothing; repeated rows are judged alike."""
     bound_session(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with secrets masked and n_chars counted anew where one was."""
+    """Every document, with secrets masked; n_chars is counted anew where the text then holds a mask, also one that was there
+    before. A null text stays null."""
     bound_session(spark)
     model = secrets.train(docs)
     masked = secrets.redact(docs, "text", model)
@@ -47,7 +53,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids, checked: the ids decode to the text's bytes again."""
+    """Every document with its token ids, checked: the ids decode to the text's bytes again. A null or empty text has no ids;
+    columns named ids or decoded, in either case, are replaced."""
     bound_session(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     whole = bpe.encode_and_decode(docs, path, pattern)
