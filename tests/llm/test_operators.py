@@ -451,6 +451,17 @@ def test_warc_shards_of_far_ids(spark, tmp_path):
         warc.read(spark, root, manifest)
 
 
+def test_warc_deals_null_ids_and_shards_evenly(spark, tmp_path):
+    pages = spark.createDataFrame([(i if i % 2 else None, f"u{i}", f"page {i} " * 20) for i in range(800)] + [(None, f"c{i}", "same " * 20) for i in range(20)], "page_id long, url string, html string")
+    root, manifest = warc.write(pages, str(tmp_path / "n"), shards=8)
+    sizes = [r.records for r in manifest.groupBy(F.regexp_extract("file", r"(\d+)", 1).alias("shard")).agg(F.sum("records").alias("records")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    out = warc.read(spark, root, manifest).collect()
+    assert sum(r.page_id is None for r in out) == 420 and sum(r.record_type == "revisit" for r in out) == 19
+    again = warc.write(pages.repartition(5), str(tmp_path / "m"), shards=8)[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
+
+
 def test_warc_small_payloads_stay_responses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "long enough"), (4, "d", "long enough")], "page_id long, url string, html string")
     out = {r.page_id: r.record_type for r in warc.read(spark, *warc.write(pages, str(tmp_path / "s"), dedup_bytes=5)).collect()}

@@ -7,8 +7,8 @@ file is written under a temporary name and renamed when whole, and a shard's fil
 is committed last; readers take only files in the manifest. A task that is run again writes the same bytes again.
 
 Payloads are equal if their SHA-1, their length and another 64-bit hash are. Of records with equal payloads of at least `dedup_bytes`, that with the smallest page_id is the response and others are
-revisits of it. Defined cases: null html is an empty payload; null urls have no target header; a null page_id sorts
-first and is never referred to while another is there; repeated rows: one response, the others revisit it.
+revisits of it. Defined cases: null html is an empty payload; null urls have no target header; records without a
+page_id are dealt by their payload, and are never referred to while another is there; repeated rows: one response, the others revisit it.
 """
 
 from __future__ import annotations
@@ -189,9 +189,9 @@ def write(pages: DataFrame, root: str | None = None, id_col: str = "page_id", ur
     def shard_of(page_id: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(starts, page_id, side="right"))
 
-    # A null id is no number to search for, so it does not go through as one.
-    shard = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long"))))
-    dealt = rows.select(shard.alias("shard"), "page_id", "digest", "check", "copy", "url", "html", "first", "n").repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "check", "copy", "url")
+    # A null id is no number to search for: such rows are dealt by their payloads, so that equal ones meet in order.
+    shard = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long"))))
+    dealt = rows.select(shard.alias("shard"), "page_id", "digest", "check", "copy", "url", "html", "first", "n").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "check", "copy", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done, last = None, [], None
