@@ -152,6 +152,37 @@ def test_near_links_inside_a_family(spark):
     assert len(pairs) < len(rows) ** 2 / 12
 
 
+def test_near_families_in_one_bucket(spark):
+    """Copies of several templates in one bucket: pairs grow with the copies, and no link is lost."""
+    import random
+
+    def in_one_bucket(sets):
+        ids = spark.createDataFrame([(i, sorted(own)) for i, own in enumerate(sets)], "cid long, shingles array<long>")
+        rest = ids.select(F.lit(0).alias("band"), F.col("cid").alias("id"), F.when(F.col("cid") == 0, 1).otherwise(0).alias("central"), F.col("cid").alias("comp"))
+        direct, pairs = minhash.by_leaders(minhash.families(minhash.centred(rest), ids, 80), ids, 80)
+        return [[tuple(r) for r in minhash.ordered(x).collect()] for x in (direct, pairs)]
+
+    common = set(range(100))
+    template = lambda k: common | set(range(1000 * k, 1000 * k + 60))
+    for own in (18, 24):
+        for n in (300, 1200):
+            sets = [template(1 + i % 3) | set(range(10**6 + 100 * i, 10**6 + 100 * i + own)) for i in range(n)]
+            direct, pairs = in_one_bucket(sets)
+            assert len(direct) + len(pairs) <= 2 * n
+            assert len(set(components(n, direct + pairs))) == (3 if own == 18 else n)
+
+    rng = random.Random(3)
+    sets = []
+    for i in range(240):
+        t = set(rng.choice(sets[-20:])) if i % 5 == 4 else template(1 + i % 3)
+        t -= set(rng.sample(sorted(t), rng.choice((0, 2, 6, 9))))
+        sets.append(t | {10**6 + rng.randrange(40 if i % 2 else 10**6) for _ in range(rng.choice((2, 9, 12, 18, 24)))})
+    links = [(j, i) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    direct, pairs = in_one_bucket(sets)
+    assert set(direct) <= set(links)
+    assert components(len(sets), direct + [p for p in pairs if p in set(links)]) == components(len(sets), links)
+
+
 def test_drop_near_duplicates(spark, awkward):
     kept = minhash.drop_near_duplicates(awkward)
     assert kept.columns == awkward.columns

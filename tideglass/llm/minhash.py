@@ -6,7 +6,8 @@ are compared: 100 * intersection >= percent * union.
 
 Documents with equal sets form a class and go through once. In each bucket every class is compared with one leader,
 the class that shares most buckets with others, so work is linear in a bucket's size. Buckets whose classes then still
-lie in more than one component are finished exactly by how their members differ from the leader (`by_difference`).
+lie in more than one component are finished exactly: members are dealt to a leader of their own family (`families`) and
+meet by how they differ from it (`by_leaders`).
 Before the leader's comparison a pair is left to that last step if set sizes forbid a link, or if a sketch of the
 signature's lowest bits falls SLACK standard deviations below the threshold.
 
@@ -32,6 +33,8 @@ from .common import U64, append_columns, circulant_minima, connected_components,
 BANDS, ROWS = 32, 4
 #: Bands of the first round, which joins most copies before the others are looked at.
 FIRST = 8
+#: Times that members far from all leaders so far are dealt to new ones; more families meet as members of one.
+ROUNDS = 3
 #: Standard deviations by which a sketch may fall short before a member and its leader wait for the last step.
 SLACK = 5
 
@@ -115,7 +118,59 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b"), "links")
 
 
+def centred(rest: DataFrame) -> DataFrame:
+    """(frame, top, id, central, comp, party): the members of each bucket with its leader. Pairs are sought between parties."""
+    top = stage(rest.groupBy("band").agg(F.max(F.struct("central", "id")).alias("top")).select("band", F.col("top.id").alias("top")), "top")
+    own = rest.join(top, "band").select("top", "id", "central", "comp").distinct()
+    return own.select(F.lit(0).alias("frame"), "*", F.col("comp").alias("party"))
+
+
+def with_sets(own: DataFrame, sets: DataFrame, leader: str) -> DataFrame:
+    """own with n and nl, the sizes of the sets of id and its leader, and what only the one (added) or the other (lost) has."""
+    x, y = sets.select(F.col("cid").alias("id"), F.col("shingles").alias("sx")), sets.select(F.col("cid").alias(leader), F.col("shingles").alias("sl"))
+    parts = [F.size("sx").alias("n"), F.size("sl").alias("nl"), F.array_except("sx", "sl").alias("added"), F.array_except("sl", "sx").alias("lost")]
+    return own.where(F.col("id") != F.col(leader)).join(x, "id").join(y, leader).select(*own.columns, *parts)
+
+
+def families(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """own with the members that are far from their leader dealt to leaders of their own, where these are at most half as far.
+
+    Members of one family add the same elements to the leader's set; the least hash among those that many of them add names
+    the family, and its most central member leads it. What a family has in common is then in nobody's difference. Members
+    of different families meet in a frame of their own (1), by their differences from the leader that they had."""
+    lo, hi = 100 - percent, 100 + percent
+    d = with_sets(own.select("top", "id", "central"), sets, "top").withColumn("d", F.size("added") + F.size("lost"))
+    far = stage(d.where(F.col("d") * hi > (F.col("n") + F.col("nl")) * lo).select("top", "id", "central", "d", "added"), "far")
+    dealt: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        e = far.select("top", "id", F.explode("added").alias("e"))
+        counts = stage(e.groupBy("top", "e").agg(F.count("*").alias("of")).where("of > 1"), "counts")
+        best = F.max("of").over(W.partitionBy("top", "id"))
+        named = e.join(counts, ["top", "e"]).withColumn("best", best).where("2 * of >= best").groupBy("top", "id").agg(F.min(F.xxhash64("e")).alias("name"))
+        named = stage(far.join(named, ["top", "id"]).select("top", "id", "central", "d", "name"), "named")
+        heads = named.groupBy("top", "name").agg(F.max(F.struct("central", "id")).alias("head"), F.count("*").alias("of")).where("of > 1")
+        heads = stage(heads.select("top", "name", F.col("head.id").alias("sub")), "heads")
+        nearer = with_sets(named.join(heads, ["top", "name"]).select("top", "id", "sub", "d"), sets, "sub")
+        moved = stage(nearer.where(2 * (F.size("added") + F.size("lost")) <= F.col("d")).select("top", "id", "sub"), "moved")
+        if moved.isEmpty():
+            break
+        dealt.append(stage(moved.union(moved.select("top", F.col("sub").alias("id"), "sub")).distinct(), "dealt"))
+        far = stage(far.join(dealt[-1].select("top", "id"), ["top", "id"], "left_anti"), "far")
+    if not dealt:
+        return own
+    subs = reduce(DataFrame.union, dealt)
+    placed = stage(own.join(subs, ["top", "id"], "left").withColumn("sub", F.coalesce("sub", "top")), "placed")
+    within = placed.select("frame", F.col("sub").alias("top"), "id", "comp", "party").distinct()
+    across = placed.join(subs.select("top").distinct(), "top").select(F.lit(1).alias("frame"), "top", "id", "comp", F.col("sub").alias("party"))
+    return within.union(across)
+
+
 def by_difference(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """by_leaders with one leader a bucket."""
+    return by_leaders(centred(rest), sets, percent)
+
+
+def by_leaders(own: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, pairs): the members of unresolved buckets that are linked to their leader, and all pairs of others that
     may still be linked.
 
@@ -124,31 +179,39 @@ def by_difference(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     in different components at most one is linked to L. That gives a least s > 0 for each member, so a linked pair
     shares one of the first |x ^ L| - s + 1 elements of both differences, in one order of all elements: rarest first.
     Changes that are a member's own come first there and meet nobody, so a family of unlinked near copies makes no
-    pairs. Linked members (near) look half as far as unlinked ones that look for them (far)."""
-    lo, hi = 100 - percent, 100 + percent
-    top = stage(rest.groupBy("band").agg(F.max(F.struct("central", "id")).alias("top")).select("band", F.col("top.id").alias("top")), "top")
-    own = rest.join(top, "band").where("id <> top").select("top", "id", "comp").distinct()
-    x, y = sets.select(F.col("cid").alias("id"), F.col("shingles").alias("sx")), sets.select(F.col("cid").alias("top"), F.col("shingles").alias("sl"))
-    d = own.join(x, "id").join(y, "top").select("top", "id", "comp", F.size("sx").alias("n"), F.size("sl").alias("nl"), F.concat(F.array_except("sx", "sl"), F.array_except("sl", "sx")).alias("parts"))
+    pairs. Linked members (near) look half as far as unlinked ones that look for them (far); of two unlinked ones that
+    with the smaller difference looks less far still (short), since s >= |x ^ L| - (|x| + |y|) (100 - percent) / 2 (100 + percent).
+    An element met by one party alone is left out, and members of its largest party meet only those of others."""
+    lo, hi, keys = 100 - percent, 100 + percent, ["frame", "top"]
+    d = with_sets(own.select(*keys, "id", "comp", "party").distinct(), sets, "top").withColumn("parts", F.concat("added", "lost")).drop("added", "lost")
     d = d.withColumn("d", F.size("parts"))
     d = stage(d.withColumn("linked", F.col("d") * hi <= (F.col("n") + F.col("nl")) * lo), "differences")
-    links = d.where("linked").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b"))
+    links = d.where("linked").select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b")).distinct()
 
-    e = d.select("top", "id", F.explode("parts").alias("e"))
-    counts = stage(e.groupBy("top", "e").agg(F.count("*").alias("of")).where("of > 1"), "counts")
-    mine = W.partitionBy("top", "id")
-    ranked = e.join(counts, ["top", "e"]).select("top", "id", "e", F.row_number().over(mine.orderBy("of", "e")).alias("rank"), F.count("*").over(mine).alias("common"))
+    e = d.select(*keys, "id", F.explode("parts").alias("e"))
+    counts = stage(e.groupBy(*keys, "e").agg(F.count("*").alias("of")).where("of > 1"), "counts")
+    mine = W.partitionBy(*keys, "id")
+    ranked = e.join(counts, [*keys, "e"]).select(*keys, "id", "e", F.row_number().over(mine.orderBy("of", "e")).alias("rank"), F.count("*").over(mine).alias("common"))
     near = F.floor((F.col("d") * hi + (F.col("nl") - F.col("n")) * lo) / F.lit(2 * hi)) + 1
     far = F.ceil((F.col("d") * percent - F.col("n") * lo) / F.lit(percent))
+    short = F.col("d") - F.floor(F.col("n") * lo / F.lit(2 * percent))
     first = lambda least: F.col("d") - F.greatest(least, F.lit(1)) + 1 - (F.col("d") - F.col("common"))
-    meets = ranked.join(d.drop("parts"), ["top", "id"]).withColumns({"near": F.col("rank") <= first(near), "far": F.col("rank") <= first(far)})
-    meets = stage(meets.where("near or far and not linked").select("top", "e", "id", "n", "comp", "linked", "near", "far"), "meets")
-    side = lambda s: meets.select("top", "e", "near", "far", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "linked")])
-    fits = (F.col("comp_x") != F.col("comp_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    alone = side("x").where("not linked_x and near").drop("near", "far").join(side("y").where("not linked_y and near"), ["top", "e"]).where("id_x < id_y")
-    mixed = side("x").where("not linked_x and far").drop("near", "far").join(side("y").where("linked_y and near"), ["top", "e"])
-    pairs = alone.where(fits).select("id_x", "id_y").union(mixed.where(fits).select("id_x", "id_y"))
-    return links, pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+    looks = {"near": F.col("rank") <= first(near), "far": F.col("rank") <= first(far), "short": F.col("rank") <= first(F.greatest(near, short))}
+    meets = ranked.join(d.drop("parts"), [*keys, "id"]).withColumns(looks)
+    meets = stage(meets.where("near or far and not linked").select(*keys, "e", "id", "n", "d", "comp", "party", "linked", *looks), "meets")
+    sizes = meets.groupBy(*keys, "e", "party").agg(F.count("*").alias("of")).groupBy(*keys, "e").agg(F.max(F.struct("of", "party")).alias("largest"), F.count("*").alias("parties"))
+    sizes = stage(sizes.where("parties > 1").select(*keys, "e", F.col("largest.party").alias("largest")), "parties")
+    meets = stage(meets.join(sizes, [*keys, "e"]).withColumn("other", F.col("party") != F.col("largest")).drop("largest"), "meets")
+    side = lambda s: meets.select(*keys, "e", *looks, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "d", "comp", "party", "linked", "other")])
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.drop(*looks), y.drop(*looks)
+        both = x.where("other_x").join(y, [*keys, "e"]).unionByName(x.where("not other_x").join(y.where("other_y"), [*keys, "e"]))
+        return both.where("party_x <> party_y and comp_x <> comp_y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+
+    alone = met(side("x").where("not linked_x and short"), side("y").where("not linked_y and near")).where("struct(d_x, id_x) < struct(d_y, id_y)")
+    mixed = met(side("x").where("not linked_x and far"), side("y").where("linked_y and near"))
+    return links, alone.union(mixed).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -211,7 +274,7 @@ def groups_of(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     rest = stage(labelled(members).drop("leader"), "rest")
     if not rest.isEmpty():
         sets = class_sets(rest.select(F.col("id").alias("cid")), classes, only, width)
-        direct, pairs = by_difference(rest, sets, percent)
+        direct, pairs = by_leaders(families(stage(centred(rest), "own"), sets, percent), sets, percent)
         if not direct.isEmpty():
             links.append(direct)
             comp = connected_components(reduce(DataFrame.union, links))
