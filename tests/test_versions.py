@@ -112,3 +112,17 @@ def test_vacuum_keeps_what_is_read(spark, store):
     store.replace(parts(spark, 1), {"clusters": clusters(spark, 1, 6)})
     assert len(store.vacuum(0)) == 1 and store.vacuum(0) == []  # the first version still has hour 2
     assert ids(store) == [3, 6] and ids(store, "members") == [3, 3]
+
+
+def test_rows_keys_are_not_broadcast(spark, store, monkeypatch):
+    """Keys of rows look small when they are compressed; their table must not be built on the driver."""
+    seen = []
+    plain = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: (plain(df), seen.append(df._jdf.queryExecution().executedPlan().toString()))[0])
+    stocks = spark.createDataFrame([(1, "A"), (2, "B"), (2, "C"), (3, "D")], "cluster_id long, ticker string")
+    with pytest.raises(WouldOrphan) as refused:
+        store.replace(parts(spark, 1), {"clusters": clusters(spark, 1, 1)}, {"stocks": stocks, "others": stocks.where("cluster_id = 3")}, "clusters")
+    assert refused.value.counts == {"stocks": 2, "others": 0}
+    assert sorted(r.ticker for r in store.kept(stocks, "clusters").collect()) == ["A", "B", "C", "D"]
+    joins = [line for plan in seen for line in plan.splitlines() if "Join" in line and ("[cluster_id" in line or "LeftAnti" in line)]
+    assert joins and all("SortMergeJoin" in line for line in joins)

@@ -5,7 +5,8 @@ version folders that nothing reads yet. Then one small pointer file names the ve
 newest whole pointer of each part and only the rows of the version that it names, so they never see half of a part, and
 a part that is rewritten with no rows has none. Pointers are numbered, and a number is created once: of two writers that started from the same
 number one fails. A rewrite that would leave rows of other tables without what they refer to is refused before its pointer is
-written.
+written. Keys of rows are always met by a sort-merge join: compressed they look small enough to broadcast, and the driver would
+build their table.
 
 What a failed or refused writer left is read by nobody; `vacuum` deletes it, and versions that have been replaced.
 Defined cases: key columns are never null; a part that never was has no pointer and no rows, one that was written empty has
@@ -18,6 +19,7 @@ import hashlib
 import json
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -81,12 +83,10 @@ class Versions:
     def orphans(self, version: str, parts: DataFrame, table: str, key: str, dependants: dict[str, DataFrame], refers: str) -> dict[str, int]:
         """Rows of each dependant that refer to keys of the committed parts which the version no longer has."""
         new = self.spark.read.schema(self.tables[table]).parquet(f"{self.path}/data/{table}/version={version}")
-        lost = self.read(table).join(parts, self.by, "left_semi").select(key).join(new.select(key), key, "left_anti").distinct()
-        counts = [d.join(lost.withColumnRenamed(key, refers), refers, "left_semi").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, d in dependants.items()]
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.unionByName(c)
-        return {r.name: r.n for r in out.collect()}
+        lost = self.read(table).join(parts, self.by, "left_semi").select(key).join(new.select(key).hint("merge"), key, "left_anti").distinct()
+        rows = reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("name"), refers) for name, d in dependants.items()])
+        counts = rows.join(lost.withColumnRenamed(key, refers).hint("merge"), refers, "left_semi").groupBy("name").count().collect()
+        return dict.fromkeys(dependants, 0) | {r["name"]: r["count"] for r in counts}
 
     def replace(
         self, parts: DataFrame, frames: dict[str, DataFrame], dependants: dict[str, DataFrame] | None = None, table: str = "", key: str = "id", refers: str = "cluster_id", allow: bool = False,
@@ -160,4 +160,4 @@ class Versions:
 
     def kept(self, dependant: DataFrame, table: str, key: str = "id", refers: str = "cluster_id") -> DataFrame:
         """The rows of a dependant whose key is still there, after an allowed rewrite."""
-        return dependant.join(self.read(table).select(F.col(key).alias(refers)), refers, "left_semi")
+        return dependant.join(self.read(table).select(F.col(key).alias(refers)).hint("merge"), refers, "left_semi")
