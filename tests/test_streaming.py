@@ -2,8 +2,10 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from tideglass.plans import QUERIES, io
 from tideglass.streaming import jobs as J
 
 KIND = "wiki string, title string, usr string, is_bot boolean, byte_delta int, rev_id long, event_ts timestamp, meta_id string"
@@ -59,3 +61,11 @@ def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
             query.stop()
         spark.streams.removeListener(late)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.parametrize("name", ["str03_sliding_windows", "str04_tumbling_windows"])
+def test_state_of_a_window_has_only_what_is_read(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(io, "streamed", lambda t, df, keys: seen.append(df) or df)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "editor_count" not in seen[0].columns and set(io.WINDOW) < set(seen[0].columns)
