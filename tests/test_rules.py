@@ -395,3 +395,13 @@ def test_cosine_topk_takes_any_number_of_queries(spark):
     queries = items.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
     whole, blocks = V.cosine_topk(queries, items, 4), V.cosine_topk(queries, items, 4, pivots=1)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 40 * 4
+
+
+def test_tasks_of_a_dealt_view_grow_with_its_rows(spark, monkeypatch):
+    from tideglass.plans import QUERIES, registry
+
+    monkeypatch.setattr(registry, "TASK_ROWS", 100, raising=False)
+    plan = QUERIES["agg12_lift_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert len(dealt) == 1 and "hashpartitioning(l_orderkey" in dealt[0] and f", {-(-rows // 100)})" in dealt[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.adapters import VIEWS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Rows of a table that one task gets, about, where a view is dealt by key.
+TASK_ROWS = 500_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Named steps that several SQL texts use, in the order of their dependence.
@@ -30,6 +33,14 @@ class Tables:
         text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", text)
         return self.spark.sql(text, **{t: getattr(self, t) for t in used})
 
+    def dealt(self, table: str, *keys: str) -> Tables:
+        """These tables with one dealt by keys over as many tasks as its rows need, so that a task's memory does not grow with
+        the table. What groups by the keys or more needs no other shuffle."""
+        out, rows = Tables(self.spark, self.sf_dir), getattr(self, table)
+        tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_ROWS))
+        setattr(out, table, rows.repartition(tasks, *keys))
+        return out
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register f(t: Tables) under name; sql may use adapter views and STEPS as if they were tables."""

@@ -174,7 +174,7 @@ def jon22(t):
 
 @query("agg12_lift_topk", "SELECT * FROM (SELECT cluster_id, ticker, max(gdelt_lift) AS lift, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY max(gdelt_lift) DESC, ticker) AS INT) AS place FROM f_cluster_stock GROUP BY 1, 2) WHERE place <= 3")
 def agg12(t):
-    m = t.f_cluster_stock.groupBy("cluster_id", "ticker").agg(F.max("gdelt_lift").alias("lift"))
+    m = t.dealt("lineitem", "l_orderkey").f_cluster_stock.groupBy("cluster_id", "ticker").agg(F.max("gdelt_lift").alias("lift"))
     return m.withColumn("place", F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("lift"), "ticker"))).where("place <= 3")
 
 
