@@ -152,6 +152,25 @@ def test_near_links_inside_a_family(spark):
     assert len(pairs) < len(rows) ** 2 / 12
 
 
+def test_copies_that_lose_much_of_a_template_make_few_pairs(spark):
+    """Copies that lack different parts of one template share lost elements by chance; only those that share enough become pairs."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.getrandbits(64) - 2**63
+    template = [word() for _ in range(147)]
+    for n in (60, 240):
+        sets = [set(template)] + [set(rng.sample(template, 111)) | {word(), word()} for _ in range(n)]
+        sets += [own - {rng.choice(sorted(own))} for own in sets[1 : n // 10]]
+        ids = spark.createDataFrame([(i, sorted(own)) for i, own in enumerate(sets)], "cid long, shingles array<long>")
+        rest = ids.select(F.lit(0).alias("band"), F.col("cid").alias("id"), F.when(F.col("cid") == 0, 1).otherwise(0).alias("central"), F.col("cid").alias("comp"))
+        direct, pairs = minhash.by_difference(rest, ids, 80)
+        links = {(j, i) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+        got = [tuple(r) for r in pairs.select(F.least("a", "b"), F.greatest("a", "b")).collect()]
+        assert direct.isEmpty() and len(links) == n // 10 - 1 and links <= set(got)
+        assert len(got) <= 2 * n
+
+
 def test_near_families_in_one_bucket(spark):
     """Copies of several templates in one bucket: pairs grow with the copies, and no link is lost."""
     import random

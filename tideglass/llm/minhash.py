@@ -35,6 +35,8 @@ BANDS, ROWS = 32, 4
 FIRST = 8
 #: Times that members far from all leaders so far are dealt to new ones; more families meet as members of one.
 ROUNDS = 3
+#: Words of 64 bits that bound how many elements two members' differences share (a power of two).
+WORDS = 4
 #: Standard deviations by which a sketch may fall short before a member and its leader wait for the last step.
 SLACK = 5
 
@@ -181,7 +183,8 @@ def by_leaders(own: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     Changes that are a member's own come first there and meet nobody, so a family of unlinked near copies makes no
     pairs. Linked members (near) look half as far as unlinked ones that look for them (far); of two unlinked ones that
     with the smaller difference looks less far still (short), since s >= |x ^ L| - (|x| + |y|) (100 - percent) / 2 (100 + percent).
-    An element met by one party alone is left out, and members of its largest party meet only those of others."""
+    An element met by one party alone is left out, and members of its largest party meet only those of others. Two members
+    that meet become a pair only if s can be large enough by the elements that follow and by their bits, which drops no link."""
     lo, hi, keys = 100 - percent, 100 + percent, ["frame", "top"]
     d = with_sets(own.select(*keys, "id", "comp", "party").distinct(), sets, "top").withColumn("parts", F.concat("added", "lost")).drop("added", "lost")
     d = d.withColumn("d", F.size("parts"))
@@ -191,23 +194,34 @@ def by_leaders(own: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     e = d.select(*keys, "id", F.explode("parts").alias("e"))
     counts = stage(e.groupBy(*keys, "e").agg(F.count("*").alias("of")).where("of > 1"), "counts")
     mine = W.partitionBy(*keys, "id")
-    ranked = e.join(counts, [*keys, "e"]).select(*keys, "id", "e", F.row_number().over(mine.orderBy("of", "e")).alias("rank"), F.count("*").over(mine).alias("common"))
+    # One bit for each of a member's elements that others have too: a bit that only one of two members has is an element that they do not share.
+    bits = [F.bit_or(F.when(F.expr(f"shiftright(e, 6) & {WORDS - 1} = {i}"), F.expr("shiftleft(1L, CAST(e & 63 AS INT))")).otherwise(F.lit(0))).over(mine).alias(f"w{i}") for i in range(WORDS)]
+    ranked = e.join(counts, [*keys, "e"]).select(*keys, "id", "e", F.row_number().over(mine.orderBy("of", "e")).alias("rank"), F.count("*").over(mine).alias("common"), *bits)
     near = F.floor((F.col("d") * hi + (F.col("nl") - F.col("n")) * lo) / F.lit(2 * hi)) + 1
     far = F.ceil((F.col("d") * percent - F.col("n") * lo) / F.lit(percent))
     short = F.col("d") - F.floor(F.col("n") * lo / F.lit(2 * percent))
     first = lambda least: F.col("d") - F.greatest(least, F.lit(1)) + 1 - (F.col("d") - F.col("common"))
     looks = {"near": F.col("rank") <= first(near), "far": F.col("rank") <= first(far), "short": F.col("rank") <= first(F.greatest(near, short))}
     meets = ranked.join(d.drop("parts"), [*keys, "id"]).withColumns(looks)
-    meets = stage(meets.where("near or far and not linked").select(*keys, "e", "id", "n", "d", "comp", "party", "linked", *looks), "meets")
+    words = [f"w{i}" for i in range(WORDS)]
+    meets = meets.where("near or far and not linked").withColumn("rest", F.col("common") - F.col("rank") + 1)
+    meets = stage(meets.select(*keys, "e", "id", "n", "d", "comp", "party", "linked", "common", "rest", *words, *looks), "meets")
     sizes = meets.groupBy(*keys, "e", "party").agg(F.count("*").alias("of")).groupBy(*keys, "e").agg(F.max(F.struct("of", "party")).alias("largest"), F.count("*").alias("parties"))
     sizes = stage(sizes.where("parties > 1").select(*keys, "e", F.col("largest.party").alias("largest")), "parties")
     meets = stage(meets.join(sizes, [*keys, "e"]).withColumn("other", F.col("party") != F.col("largest")).drop("largest"), "meets")
-    side = lambda s: meets.select(*keys, "e", *looks, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "d", "comp", "party", "linked", "other")])
+    side = lambda s: meets.select(*keys, "e", *looks, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "d", "comp", "party", "linked", "other", "common", "rest", *words)])
+
+    def shareable(s: str, t: str) -> Column:
+        return F.col(f"common_{s}") - reduce(Column.__add__, [F.bit_count(F.col(f"{w}_{s}").bitwiseAND(F.bitwise_not(f"{w}_{t}"))) for w in words])
+
+    # At the first element that two members share no more than the rest of either follows, and no more than the bits allow.
+    most = F.least("rest_x", "rest_y", shareable("x", "y"), shareable("y", "x"))
+    enough = 2 * hi * most >= hi * (F.col("d_x").cast("long") + F.col("d_y")) - lo * (F.col("n_x").cast("long") + F.col("n_y"))
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.drop(*looks), y.drop(*looks)
         both = x.where("other_x").join(y, [*keys, "e"]).unionByName(x.where("not other_x").join(y.where("other_y"), [*keys, "e"]))
-        return both.where("party_x <> party_y and comp_x <> comp_y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        return both.where("party_x <> party_y and comp_x <> comp_y").where(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")).where(enough)
 
     alone = met(side("x").where("not linked_x and short"), side("y").where("not linked_y and near")).where("struct(d_x, id_x) < struct(d_y, id_y)")
     mixed = met(side("x").where("not linked_x and far"), side("y").where("linked_y and near"))
