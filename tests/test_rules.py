@@ -405,3 +405,20 @@ def test_tasks_of_a_dealt_view_grow_with_its_rows(spark, monkeypatch):
     dealt = [line for line in plan.splitlines() if "Exchange" in line]
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert len(dealt) == 1 and "hashpartitioning(l_orderkey" in dealt[0] and f", {-(-rows // 100)})" in dealt[0]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_article_rows_come_over_as_many_tasks_as_they_need(spark, monkeypatch, most):
+    from tideglass.plans import QUERIES, graph, registry
+
+    monkeypatch.setattr(registry, "TASK_ROWS", 300)
+    monkeypatch.setattr(graph, "BROADCAST_PARTS", most, raising=False)
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    tasks = -(-t.lineitem.count() // 300)
+    plan = QUERIES["ord09_top_orgs"](spark, t.sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    wide = [line for line in dealt if "hashpartitioning(theme" not in line]
+    assert wide and all(f", {tasks})" in line for line in wide)
+    assert not any("doc_id" in line.partition("hashpartitioning(theme")[2].partition("REQUIRE")[0] for line in dealt)  # counts of (theme, org) alone
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "org", "theme", "location").collect()))
+    assert rows(graph.article_rows(t)) == rows(t.f_article_rows)

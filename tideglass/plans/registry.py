@@ -36,11 +36,14 @@ class Tables:
     def dealt(self, table: str, *keys: str) -> Tables:
         """These tables with one dealt by keys over as many tasks as its rows need, so that a task's memory does not grow with
         the table. What groups by the keys or more needs no other shuffle."""
-        out, rows = Tables(self.spark, self.sf_dir), getattr(self, table)
-        tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(rows.count() / TASK_ROWS))
-        setattr(out, table, rows.repartition(tasks, *keys))
+        out = Tables(self.spark, self.sf_dir)
+        setattr(out, table, getattr(self, table).repartition(self.tasks(table), *keys))
         return out
 
+    def tasks(self, table: str) -> int:
+        """As many tasks as the rows of a table need."""
+        return max(self.spark.sparkContext.defaultParallelism, math.ceil(getattr(self, table).count() / TASK_ROWS))
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register f(t: Tables) under name; sql may use adapter views and STEPS as if they were tables."""
