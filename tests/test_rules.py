@@ -397,6 +397,20 @@ def test_cosine_topk_takes_any_number_of_queries(spark):
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 40 * 4
 
 
+def test_cosine_topk_meets_in_slices_without_pairs(spark, monkeypatch):
+    """Many equal vectors, nulls and vectors without an angle, cut into several slices and parts; no join makes a row a pair."""
+    rng = random.Random(13)
+    rows = [(i, [1.0, 2.0, 2.0] if i % 3 else [rng.choice((-1.0, 0.0, 1.0, 3.0)) for _ in range(3)]) for i in range(150)]
+    rows += [(150, [0.0, 0.0, 0.0]), (151, [1.0, 2.0]), (152, [2.0, 4.0, 4.0])]
+    asked = [(i, v) for i, v in rows if i % 7 == 0 or i > 149]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    monkeypatch.setattr(V, "SIDE", 10, raising=False)
+    got = V.cosine_topk(queries, items, 5, pivots=4)
+    assert [r[:2] + (r[2] if r[2] is None else pytest.approx(r[2], abs=2e-9), r[3]) for r in sorted(map(tuple, got.select("query_id", "item_id", "similarity", "place").collect()))] == plain_cosines(rows, asked, 5)
+    assert "[block" not in "".join(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+
+
 def test_tasks_of_a_dealt_view_grow_with_its_rows(spark, monkeypatch):
     from tideglass.plans import QUERIES, registry
 

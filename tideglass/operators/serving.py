@@ -168,13 +168,68 @@ def angles_to(pivots: np.ndarray, column: pa.ListArray) -> np.ndarray:
     return out
 
 
+#: Queries, and items, of one matrix product at most, about.
+SIDE = 2_048
+#: Stands for the similarity of vectors without an angle, below all others.
+NO_ANGLE = -2.0
+
+
+def matrices(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: rows of a column of vectors, and the vectors; without those that are null or hold a null."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        flat = column.take(pa.array(at)).flatten()
+        some = np.asarray(flat.is_valid()).reshape(-1, n).all(axis=1)
+        out[n] = at[some], flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)[some]
+    return out
+
+
+def nearest(q: pa.ListArray, v: pa.ListArray, asking: np.ndarray, ids: np.ndarray, kth: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, value): for each row x of q the rows y of v that can be among its k nearest, with their cosine (NO_ANGLE: none).
+
+    Matrix products find them; they differ from the cosine by far less than the margin, and so does what order by a rounded cosine
+    may change. The cosine itself is summed term by term, as the expression `cosine` does. Of equal ones the k smallest ids stay.
+    Rows further than the margin below their kth are left out."""
+    alike = np.full((len(q), len(v)), NO_ANGLE)
+    left, right = matrices(q), matrices(v)
+    with np.errstate(all="ignore"):
+        for n in left.keys() & right.keys():
+            (i, a), (j, b) = left[n], right[n]
+            size = np.outer((a * a).sum(axis=1), (b * b).sum(axis=1))
+            found = np.where(size == 0, NO_ANGLE, a @ b.T / np.sqrt(size))
+            alike[np.ix_(i, j)] = np.where(np.isnan(found), 2.0, found)
+        alike[asking[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(alike, -k, axis=1)[:, -k] if 0 < k < len(v) else np.full(len(q), -np.inf)
+        x, y = np.nonzero((alike >= np.maximum(least, kth)[:, None] - margin) & (alike > -np.inf))
+        value = alike[x, y]
+        for n in left.keys() & right.keys():
+            (i, a), (j, b) = left[n], right[n]
+            row_a, row_b = np.full(len(q), -1), np.full(len(v), -1)
+            row_a[i], row_b[j] = np.arange(len(i)), np.arange(len(j))
+            at = np.flatnonzero((row_a[x] >= 0) & (row_b[y] >= 0) & (value != NO_ANGLE))
+            dots = [np.zeros(len(at)) for _ in range(3)]
+            for c in range(n):
+                p, r = a[row_a[x[at]], c], b[row_b[y[at]], c]
+                for s, term in zip(dots, (p * r, p * p, r * r), strict=True):
+                    s += term
+            value[at] = dots[0] / np.sqrt(dots[1] * dots[2])
+    order = np.lexsort((ids[y], -np.where(np.isnan(value), np.inf, value), x))
+    x, y, value = x[order], y[order], value[order]
+    first = np.ones(len(x), dtype=bool)
+    first[1:] = (x[1:] != x[:-1]) | ~((value[1:] == value[:-1]) | np.isnan(value[1:]) & np.isnan(value[:-1]))
+    run = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+    return x[run < k], y[run < k], value[run < k]
+
+
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, digits: int = 9, pivots: int | None = None, trace: dict | None = None) -> DataFrame:
     """The k items nearest each query by cosine, rounded to digits so that order does not hang on the sum's order.
 
     Items belong to the block of their nearest pivot, some hundred items at most. A block's items lie within an angle of it, its
     radius, so an item's angle to a query is at least the pivot's less the radius. Each query first meets the blocks that can
     be nearest, until they hold k items, and then only blocks that can still reach its k-th similarity; the others are not read
-    for it. Items without a direction (zero, or of another length) are a block of their own, which all read; so are all blocks for
+    for it. Queries and items of a block meet in slices, one matrix product each. Items without a direction (zero, or of another length) are a block of their own, which all read; so are all blocks for
     such a query. trace gets how many pairs there are and how many were read. Pivots and radii are all that the driver holds."""
     n = items.count()
     wanted = pivots or max(1, min(256, math.isqrt(n)))
@@ -214,14 +269,30 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, digits: int = 9, p
     given = T.StructType([queries.schema["query_id"], T.StructField("q", queries.schema["embedding"].dataType), *(T.StructField(c, T.ArrayType(t)) for c, t in (("blocks", T.IntegerType()), ("most", T.DoubleType()), ("first", T.BooleanType())))])
     asked = queries.select("query_id", F.col("embedding").alias("q")).mapInArrow(ask, given).select("query_id", "q", F.explode(F.arrays_zip("blocks", "most", "first")).alias("x")).select("query_id", "q", F.col("x.blocks").alias("block"), F.col("x.most").alias("most"), F.col("x.first").alias("first"))
 
+    parts = max(1, math.ceil(queries.count() / SIDE))
+    slices = F.element_at(F.create_map(*(F.lit(x) for b in known for x in (b, math.ceil(known[b][0] / SIDE)))), F.col("block")) if known else F.lit(1)
+    cut = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    dealt = placed.where("item_id is not null").withColumn("slice", cut("item_id", slices)).select("block", "slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "item_id", "v")
+    margin = 2 * 10.0**-digits
+
+    def best(asks: pa.Table, own: pa.Table) -> pa.Table:
+        """Of the items those that can be among the k nearest of each query, with their similarity."""
+        least = asks["kth"].to_numpy()
+        x, y, value = nearest(asks["q"].combine_chunks(), own["v"].combine_chunks(), asks["query_id"].to_numpy(), own["item_id"].to_numpy(), np.where(np.isnan(least), -np.inf, least), k, margin)
+        return pa.table({"query_id": asks["query_id"].take(pa.array(x)), "item_id": own["item_id"].take(pa.array(y)), "value": pa.array(value, mask=value == NO_ANGLE)})
+
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(placed.drop("angle"), "block").where("query_id <> item_id").select("query_id", "item_id", F.round(S.cosine(F.col("q"), F.col("v")), digits).alias("similarity"))
+        asks = pairs.where("query_id is not null").withColumn("kth", F.coalesce("kth", F.lit(float("nan")))).withColumn("part", cut("query_id", F.lit(parts)))
+        asks = asks.select("block", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "part", "query_id", "q", "kth")
+        met = [side.groupBy("block", "slice", "part") for side in (asks, dealt)]
+        out = T.StructType([given["query_id"], fields[0], T.StructField("value", T.DoubleType())])
+        return met[0].cogroup(met[1]).applyInArrow(best, out).select("query_id", "item_id", F.round("value", digits).alias("similarity"))
 
     def ranked(rows: DataFrame) -> DataFrame:
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
         return rows.withColumn("place", place).where(F.col("place") <= k)
 
-    near = ranked(scored(asked.where("first")))
+    near = ranked(scored(asked.where("first").withColumn("kth", F.lit(None).cast("double"))))
     kth = near.where(F.col("place") == k).select("query_id", F.col("similarity").alias("kth"))
     rest = asked.where("not first").join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("most") >= F.col("kth") - 10.0**-digits))
     if trace is not None:
