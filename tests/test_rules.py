@@ -361,6 +361,42 @@ def test_asof_with_a_hot_key_in_blocks(spark, hot):
     assert (len({r.task for r in got if r.k == "a"}) > 4) == (hot == 10)  # one key over many tasks
 
 
+@pytest.mark.parametrize("hot", [10, 1_000_000])
+def test_asof_within_one_table(spark, hot):
+    rng = random.Random(11)
+    some = lambda x: None if rng.random() < 0.05 else x
+    rows = [(i, some(rng.choice("aaab")), some(rng.randrange(90)), rng.choice([1, 2, 3, None]), rng.choice([True, True, False, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, k string, ts int, me int, told boolean").repartition(3)
+    got = V.asof_within(df, ["k"], "ts", "me", ["i"], {"i": "earlier", "ts": "earlier_ts"}, F.col("told"), hot=hot, blocks=16)
+    assert got.columns == [*df.columns, "earlier", "earlier_ts"]
+    known = [r for r in rows if r[4] and r[1] is not None and r[2] is not None]
+    want = []
+    for r in rows:
+        past = [(ts, i) for i, k, ts, own, _ in known if k == r[1] and r[2] is not None and ts <= r[2] and own != r[3]]
+        want.append((*r, *(max(past)[::-1] if past else (None, None))))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_asof_finds_no_fact_without_time(spark):
+    facts = spark.createDataFrame([("a", None, 1, 7)], "k string, fts int, owner int, v int")
+    targets = spark.createDataFrame([("a", None, 2), ("a", 5, 2)], "k string, ts int, me int")
+    got = V.asof_reuse(targets, facts, ["k"], "ts", "fts", "me", "owner", ["v"], ["v"])
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 5, 2, None), ("a", None, 2, None)]
+
+
+def test_rows_of_an_asof_join_within_a_table_are_dealt_once(spark, monkeypatch):
+    from tideglass.plans import QUERIES, registry
+
+    monkeypatch.setattr(registry, "TASK_ROWS", 200)
+    monkeypatch.setattr(V, "TASK_ROWS", 100, raising=False)
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    plan = QUERIES["jon10_asof_verdict"](spark, t.sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [line for line in plan if "FileScan" in line and "l_orderkey" in line]
+    dealt = [line for line in plan if "Exchange hashpartitioning" in line and "o_orderkey" not in line]
+    assert len(scans) == 1 and len(dealt) == 2  # lines by order, then rows by key
+    assert [line.partition(")")[0].rpartition(" ")[2] for line in dealt] == [str(-(-n // m)) for n, m in ((t.f_cluster_stock.count(), 100), (t.lineitem.count(), 200))]
+
+
 def plain_cosines(rows, queries, k, digits=9):
     out = []
     for q, u in queries:

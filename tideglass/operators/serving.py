@@ -46,45 +46,92 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> tuple[D
     return df.orderBy(*order).offset(max(0, offset)).limit(min(100, max(1, limit))), df.agg(F.count("*").alias("total"))
 
 
+#: Rows that one task of an as-of join gets, about.
+TASK_ROWS = 500_000
+#: Hash buckets that keys are counted by before any key is counted itself.
+KEY_BUCKETS = 65_536
+
+
 def asof_reuse(
     targets: DataFrame, facts: DataFrame, keys: list[str], target_ts: str, fact_ts: str, own: str, fact_own: str, ties: list[str], take: list[str], hot: int = 1_000_000, blocks: int = 64,
 ) -> DataFrame:
     """Targets with the fields of the latest fact of the same keys at or before them that another owner made.
 
-    Equal times are settled by the largest ties. Facts and targets are one table, dealt and sorted once by key and time;
-    running windows carry the latest fact forward, and the latest one of an owner before it. Keys are
-    counted first, at once: a key with more than `hot` rows is cut into time blocks at its quantiles, dealt by key and block, and
-    each of them begins with what a scan over the blocks before it carries forward, their last fact and the last one of
-    another owner. Nothing is joined but the cuts.
-
-    Rows of one key and one time stay together. Targets with a null in a key find nothing and are dealt evenly."""
-    k = [f"__k{i}" for i in range(len(keys))]
-    fact = F.struct(F.col(fact_own).alias("owner"), *[F.col(c) for c in take])
-    order = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.col(fact_own).alias("owner"))
-    f = facts.dropna(subset=keys).select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(fact_ts).alias("__ts"), order.alias("__order"), fact.alias("__x"))
-    t = targets.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(target_ts).alias("__ts"), F.struct("*").alias("__row"))
-    both = f.unionByName(t, allowMissingColumns=True)
-    many = both.dropna(subset=k).groupBy(*k).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*k)
+    Equal times are settled by the largest ties. Facts and targets are one table for `carried_forward`. Targets with a null in a
+    key or no time find nothing, facts with either are not found."""
+    names, at = shared_names(targets, keys, target_ts)
+    kept = {c: f"__f_{c}" for c in (fact_own, *ties, *take)}
+    k = names[: len(keys)]
+    f = facts.dropna(subset=[*keys, fact_ts]).select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(fact_ts).alias("__ts"), F.lit(True).alias("__fact"), *[F.col(c).alias(n) for c, n in kept.items()])
+    t = targets.select(*[F.col(c).alias(n) for c, n in at.items()], F.lit(True).alias("__target"))
+    found = carried_forward(f.unionByName(t, allowMissingColumns=True), k, at[own], kept[fact_own], [kept[c] for c in ties], {kept[c]: c for c in take}, hot, blocks)
+    # Keys and times of both sides have one type in the union; targets get theirs back.
+    return found.select(*[F.col(n).cast(targets.schema[c].dataType).alias(c) for c, n in at.items()], "__found.*")
+
+
+def asof_within(
+    rows: DataFrame, keys: list[str], ts: str, own: str, ties: list[str], take: dict[str, str], fact: Column | None = None, hot: int = 1_000_000, blocks: int = 64,
+) -> DataFrame:
+    """As `asof_reuse` of rows with those of them that are facts (default: all), with fields of the fact by the names in take. A row is
+    dealt and sorted once, as target and fact at a time."""
+    names, at = shared_names(rows, keys, ts)
+    is_fact = reduce(and_, (F.col(c).isNotNull() for c in (*keys, ts)), F.lit(True) if fact is None else F.coalesce(fact, F.lit(False)))
+    both = rows.select(*[F.col(c).alias(n) for c, n in at.items()], F.lit(True).alias("__target"), is_fact.alias("__fact"))
+    found = carried_forward(both, names[: len(keys)], at[own], at[own], [at[c] for c in ties], {at[c]: n for c, n in take.items()}, hot, blocks)
+    return found.select(*[F.col(n).alias(c) for c, n in at.items()], "__found.*")
+
+
+def shared_names(targets: DataFrame, keys: list[str], ts: str) -> tuple[list[str], dict[str, str]]:
+    """Names of the keys and the time in the table that is dealt, and those of all columns of the targets."""
+    names = [*[f"__k{i}" for i in range(len(keys))], "__ts"]
+    known = dict(zip((*keys, ts), names, strict=True))
+    return names, {c: known.get(c, f"__t_{c}") for c in targets.columns}
+
+
+def carried_forward(both: DataFrame, k: list[str], own: str, owner: str, ties: list[str], take: dict[str, str], hot: int, blocks: int) -> DataFrame:
+    """Rows with `__target`, each with the latest row with `__fact` of its keys k at or before its `__ts` whose owner is not its own, as
+    `__found`, by the names in take.
+
+    Rows are dealt once by key over as many tasks as they need, without what can be made of their columns there, and sorted once
+    by time; running windows carry the latest fact forward, and the latest one of an owner before it. Keys are counted before,
+    by their hash buckets, and themselves only in buckets with more than `hot` rows: a key with more than that is cut into time
+    blocks at its quantiles, dealt by key and block, and each of them begins with what a scan over the blocks before it carries
+    forward, their last fact and the last one of another owner. Nothing is joined but the cuts. Rows of one key and one time stay
+    together; rows with a null in a key are dealt evenly."""
     whole = reduce(and_, (F.col(c).isNotNull() for c in k))
+    bucket = F.when(whole, F.pmod(F.xxhash64(*k), F.lit(KEY_BUCKETS)))
+    counts = both.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    n, full = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(F.col("n") > hot, F.col("b")))).first()
+    # There is at most one hot key for `hot` rows, so both small tables are bounded.
+    many = both.where(bucket.isin(full)).groupBy(*k).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(*k) if full else None
+    tasks = max(both.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS))
     block = F.when(~whole, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+    fact, order = F.coalesce("__fact", F.lit(False)), F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.col(owner).alias("owner"))
+    x = F.struct(F.col(owner).alias("owner"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(take)])
     both = both.withColumn("__seq", F.lit(0))
-    if many.isEmpty():
+    if many is None or many.isEmpty():
         both = both.withColumn("__block", F.coalesce(block, F.lit(0)))
     else:
-        # There is at most one hot key for `hot` rows, so both small tables are bounded.
         cuts = both.join(F.broadcast(many), k, "left_semi").groupBy(*k).agg(F.percentile_approx("__ts", [i / blocks for i in range(1, blocks)], 10_000).alias("__cuts"))
         both = both.join(F.broadcast(cuts), k, "left")
         both = both.withColumn("__block", block.otherwise(F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__ts"))), F.lit(0))))
-        carried = carried_facts(both.where("__cuts is not null and __x is not null"), k, blocks)
-        both = both.drop("__cuts").unionByName(carried, allowMissingColumns=True).repartition(*k, "__block")
-    w = W.partitionBy(*k, "__block").orderBy("__seq", "__ts", F.col("__row").isNotNull(), "__order")
-    latest = F.last("__x", True).over(w.rowsBetween(W.unboundedPreceding, -1))
+        carried = carried_facts(both.where(F.col("__cuts").isNotNull() & fact).select(*k, "__block", "__ts", order.alias("__order"), x.alias("__x")), k, blocks)
+        fields = {owner: "owner"} | {c: f"x{i}" for i, c in enumerate(take)}
+        carried = carried.select(*k, "__block", "__seq", F.lit(True).alias("__fact"), *[F.col(f"__x.{n}").alias(c) for c, n in fields.items() if c not in k])
+        both = both.drop("__cuts").unionByName(carried, allowMissingColumns=True)
+    both = both.repartition(tasks, *k, "__block").withColumns({"__x": F.when(fact, x), "__order": F.when(fact, order)})
+    dealt = W.partitionBy(*k, "__block")
+    row = dealt.orderBy("__seq", "__ts", "__order")
     # Where the owner changes, the fact before is the best of another owner until the next change.
-    both = both.withColumn("__before", latest)
+    before = F.last("__x", True).over(row.rowsBetween(W.unboundedPreceding, -1))
+    both = both.withColumn("__before", before)
     both = both.withColumn("__left", F.when(F.col("__x").isNotNull() & ~F.col("__before.owner").eqNullSafe(F.col("__x.owner")), F.col("__before")))
-    both = both.withColumn("__other", F.last("__left", True).over(w.rowsBetween(W.unboundedPreceding, -1))).where("__row is not null")
-    chosen = F.when(~F.col("__before.owner").eqNullSafe(F.col(f"__row.{own}")), F.col("__before")).otherwise(F.col("__other"))
-    return both.withColumn("__found", chosen).select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in take])
+    both = both.withColumn("__other", F.last("__left", True).over(row.rowsBetween(W.unboundedPreceding, 0)))
+    # A target sees all facts of its own time, also those sorted after it.
+    seen = F.max_by(F.struct("__x", "__other"), F.when(F.col("__x").isNotNull(), F.struct("__seq", "__ts", "__order")))
+    both = both.withColumn("__seen", seen.over(dealt.orderBy("__seq", "__ts").rangeBetween(W.unboundedPreceding, 0))).where("__target")
+    chosen = F.when(~F.col("__seen.__x.owner").eqNullSafe(F.col(own)), F.col("__seen.__x")).otherwise(F.col("__seen.__other"))
+    return both.withColumn("__one", chosen).withColumn("__found", F.struct(*[F.col(f"__one.x{i}").alias(n) for i, n in enumerate(take.values())]))
 
 
 def carried_facts(facts: DataFrame, k: list[str], blocks: int) -> DataFrame:

@@ -102,9 +102,10 @@ SELECT cluster_id, ticker, verified AS earlier_verified, similarity AS earlier_s
 
 @query("jon10_asof_verdict", ASOF)
 def jon10(t):
-    v = t.f_cluster_stock.join(t.f_clusters.select(F.col("id").alias("cluster_id"), "issue_key", "snapshot_ts"), "cluster_id")
-    facts = v.select("issue_key", "ticker", F.col("snapshot_ts").alias("fact_ts"), F.col("cluster_id").alias("owner"), F.col("verified").alias("earlier_verified"), F.col("similarity").alias("earlier_similarity"))
-    out = V.asof_reuse(v.select("cluster_id", "ticker", "issue_key", "snapshot_ts"), facts, ["issue_key", "ticker"], "snapshot_ts", "fact_ts", "cluster_id", "owner", ["owner"], ["earlier_verified", "earlier_similarity"])
+    own = t.dealt("lineitem", "l_orderkey")
+    v = own.f_cluster_stock.join(own.f_clusters.select(F.col("id").alias("cluster_id"), "issue_key", "snapshot_ts"), "cluster_id")
+    v = v.select("cluster_id", "ticker", "issue_key", "snapshot_ts", "verified", "similarity")
+    out = V.asof_within(v, ["issue_key", "ticker"], "snapshot_ts", "cluster_id", ["cluster_id"], {"verified": "earlier_verified", "similarity": "earlier_similarity"})
     return out.select("cluster_id", "ticker", "earlier_verified", "earlier_similarity")
 
 
@@ -112,9 +113,8 @@ def jon10(t):
 SELECT id, earlier FROM (SELECT c.id, p.label AS earlier, row_number() OVER (PARTITION BY c.id ORDER BY p.snapshot_ts DESC, p.id DESC) AS n
 FROM f_clusters c LEFT JOIN (SELECT * FROM f_clusters WHERE status = 'CONFIRMED') p ON p.issue_key = c.issue_key AND p.id <> c.id AND p.snapshot_ts <= c.snapshot_ts) WHERE n = 1""")
 def jon11(t):
-    c = t.f_clusters
-    facts = c.where("status = 'CONFIRMED'").select("issue_key", F.col("snapshot_ts").alias("fact_ts"), F.col("id").alias("owner"), F.col("label").alias("earlier"))
-    return V.asof_reuse(c.select("id", "issue_key", "snapshot_ts"), facts, ["issue_key"], "snapshot_ts", "fact_ts", "id", "owner", ["owner"], ["earlier"]).select("id", "earlier")
+    c = t.f_clusters.select("id", "issue_key", "snapshot_ts", "label", "status")
+    return V.asof_within(c, ["issue_key"], "snapshot_ts", "id", ["id"], {"label": "earlier"}, F.col("status") == "CONFIRMED").select("id", "earlier")
 
 
 @query("jon12_asof_intro", """
